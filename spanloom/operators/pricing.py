@@ -32,7 +32,8 @@ BROADCAST_ROWS = 50_000
 
 
 def default_prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_PRICES, PRICE_SCHEMA)
+    rows = ", ".join(f"('{m}', {i}D, {o}D, {w}D, {r}D)" for m, i, o, w, r in DEFAULT_PRICES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(model, input, output, cache_write, cache_read)")
 
 
 def merge_prices(base: DataFrame, override: DataFrame) -> DataFrame:
@@ -41,8 +42,11 @@ def merge_prices(base: DataFrame, override: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting at most ``rows`` rows; else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast local copy when there are at most ``rows`` rows; else unchanged."""
+    local = df.limit(rows + 1).toArrow()
+    if local.num_rows > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(local, df.schema))
 
 
 def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:

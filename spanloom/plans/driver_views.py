@@ -21,52 +21,52 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _pick(values: list, n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+_MODEL = "element_at(array({}), cast({{}} % 5 + 1 as int))".format(", ".join(f"'{m}'" for m in MODELS))
+_AGENT = "element_at(array({}), cast(user_id % 4 + 1 as int))".format(", ".join(f"'{a}'" for a in AGENTS))
+_PROJECT = "if(user_id % 13 = 0, '', concat('/work/p', user_id % 11))"
+_SOURCE = "concat('/logs/f', user_id % 40, '.jsonl')"
+_TS = "unix_micros(cast(ts as timestamp)) / 1e6D"
+_TOOLS = "case event_id % 7 {} end".format(
+    " ".join(
+        "when {} then {}".format(k, "array({})".format(", ".join(f"'{n}'" for n in names)) if names else "cast(array() as array<string>)")
+        for k, names in enumerate(TOOLS)
+    )
+)
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """One wire request per event; ``line_no`` is the capture order."""
-    e = table(spark, sf, "events")
-    i, u = F.col("event_id"), F.col("user_id")
-    err = F.col("event_type") == "error"
-    none = F.lit(None)
-    responded = ~(err & (i % 2 == 1))
-    idle = err & (i % 4 == 0)
-    ts = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - F.when(i % 50 == 0, F.lit(86400.0)).otherwise(F.lit(0.0))
-    duration = F.floor(F.col("value") * 100 + 0.5).cast("bigint")
-    sub = i % 7 == 3
-    tools = F.lit(None).cast("array<string>")
-    for k, names in reversed(list(enumerate(TOOLS))):
-        arr = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-        tools = F.when(i % 7 == k, arr).otherwise(tools)
-    return e.select(
-        F.concat(F.lit("s"), u.cast("string")).alias("session_id"),
-        F.concat(F.lit("/logs/f"), (u % 40).cast("string"), F.lit(".jsonl")).alias("source_path"),
-        i.alias("line_no"),
-        F.when(i % 211 == 0, F.lit(0.0)).otherwise(ts).alias("ts"),
-        _pick(AGENTS, u % 4).alias("agent"),
-        _pick(MODELS, i % 5).alias("model"),
-        F.when(responded, F.when(err, 529).otherwise(200)).cast("int").alias("status"),
-        err.alias("errored"),
-        F.when(responded, duration).alias("duration_ms"),
-        F.when(~err & (i % 3 != 0), F.floor(duration / 4).cast("bigint")).alias("ttft_ms"),
-        ((i * 37) % 900 + 100).alias("prompt_tokens"),
-        F.when(err, F.lit(0)).otherwise((i * 53) % 700 + 20).cast("bigint").alias("completion_tokens"),
-        F.when(idle, F.lit(0)).otherwise((i * 97) % 40000).cast("bigint").alias("cache_read"),
-        F.when(idle, F.lit(0)).otherwise((i * 29) % 3000).cast("bigint").alias("cache_creation"),
-        F.when(i % 5 == 2, (i * 7) % 300).otherwise(F.lit(0)).cast("bigint").alias("reasoning_tokens"),
-        F.when(err, F.lit("")).otherwise(_pick(["end_turn", "tool_use", "max_tokens"], i % 3)).alias("stop_reason"),
-        ((i * 31) % 40 + 1).alias("transcript_items"),
-        F.when(i % 17 == 0, F.lit(""))
-        .otherwise(F.concat(F.lit("p"), ((u * 7 + i % 3) % 23).cast("string")))
-        .alias("prompt_hash"),
-        F.when(i % 19 != 0, F.concat(F.lit("t"), ((u + i % 2) % 6).cast("string"))).alias("toolset_hash"),
-        sub.alias("is_subagent"),
-        F.when(i % 14 == 3, F.concat(F.lit("review part "), (i % 5).cast("string"))).alias("agent_label"),
-        F.when(sub, _pick(["general-purpose", "code-reviewer"], i % 2)).alias("agent_type"),
-        F.when(err, F.array().cast("array<string>")).otherwise(tools).alias("tool_names"),
-        u.alias("user_id"),
+    base = table(spark, sf, "events").selectExpr(
+        "*", "event_id as i", "event_type = 'error' as err",
+        "event_type = 'error' and event_id % 2 = 1 as lost",
+        "event_type = 'error' and event_id % 4 = 0 as idle",
+        "cast(floor(value * 100 + 0.5D) as bigint) as ms",
+    )
+    return base.selectExpr(
+        "concat('s', user_id) as session_id",
+        f"{_SOURCE} as source_path",
+        "i as line_no",
+        f"if(i % 211 = 0, 0.0D, {_TS} - if(i % 50 = 0, 86400.0D, 0.0D)) as ts",
+        f"{_AGENT} as agent",
+        f"{_MODEL.format('i')} as model",
+        "if(lost, null, if(err, 529, 200)) as status",
+        "err as errored",
+        "if(lost, null, ms) as duration_ms",
+        "if(not err and i % 3 <> 0, cast(floor(ms / 4) as bigint), null) as ttft_ms",
+        "(i * 37) % 900 + 100 as prompt_tokens",
+        "if(err, 0L, (i * 53) % 700 + 20) as completion_tokens",
+        "if(idle, 0L, (i * 97) % 40000) as cache_read",
+        "if(idle, 0L, (i * 29) % 3000) as cache_creation",
+        "if(i % 5 = 2, (i * 7) % 300, 0L) as reasoning_tokens",
+        "if(err, '', element_at(array('end_turn', 'tool_use', 'max_tokens'), cast(i % 3 + 1 as int))) as stop_reason",
+        "(i * 31) % 40 + 1 as transcript_items",
+        "if(i % 17 = 0, '', concat('p', (user_id * 7 + i % 3) % 23)) as prompt_hash",
+        "if(i % 19 <> 0, concat('t', (user_id + i % 2) % 6), null) as toolset_hash",
+        "i % 7 = 3 as is_subagent",
+        "if(i % 14 = 3, concat('review part ', i % 5), null) as agent_label",
+        "if(i % 7 = 3, element_at(array('general-purpose', 'code-reviewer'), cast(i % 2 + 1 as int)), null) as agent_type",
+        f"if(err, cast(array() as array<string>), {_TOOLS}) as tool_names",
+        "user_id",
     )
 
 
@@ -79,26 +79,22 @@ def with_seq(req: DataFrame) -> DataFrame:
 
 def session_dims(spark: SparkSession, sf: str) -> DataFrame:
     """Session attributes that do not come from its requests."""
-    u = table(spark, sf, "events").select("user_id").distinct()
-    n = F.col("user_id")
-    return u.select(
-        F.concat(F.lit("s"), n.cast("string")).alias("session_id"),
-        _pick(AGENTS, n % 4).alias("agent"),
-        _pick(MODELS, n % 5).alias("model"),
-        F.when(n % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("/work/p"), (n % 11).cast("string"))).alias("project"),
-        F.concat(F.lit("/logs/f"), (n % 40).cast("string"), F.lit(".jsonl")).alias("source_path"),
-        F.when(n % 10 != 0, F.concat(F.lit("c"), (n % 60).cast("string"))).alias("client_session_id"),
+    return table(spark, sf, "events").select("user_id").distinct().selectExpr(
+        "concat('s', user_id) as session_id",
+        f"{_AGENT} as agent",
+        f"{_MODEL.format('user_id')} as model",
+        f"{_PROJECT} as project",
+        f"{_SOURCE} as source_path",
+        "if(user_id % 10 <> 0, concat('c', user_id % 60), null) as client_session_id",
     )
 
 
 def usage_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events of answered calls, under the session's model and project."""
-    r = requests(spark, sf).where(~F.col("errored"))
-    u = F.col("user_id")
-    return r.select(
+    return requests(spark, sf).where("not errored").selectExpr(
         "session_id", "line_no", "ts", "agent",
-        _pick(MODELS, u % 5).alias("model"),
-        F.when(u % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("/work/p"), (u % 11).cast("string"))).alias("project"),
+        f"{_MODEL.format('user_id')} as model",
+        f"{_PROJECT} as project",
         "prompt_tokens", "completion_tokens", "cache_read", "cache_creation", "reasoning_tokens", "tool_names",
     )
 
@@ -115,21 +111,17 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def hooks(spark: SparkSession, sf: str) -> DataFrame:
     """Hook events from sign-ups, keyed by the client session id of the user."""
-    e = table(spark, sf, "events").where(F.col("event_type") == "signup")
-    i, u = F.col("event_id"), F.col("user_id")
-    return e.select(
-        i.alias("hook_id"),
-        F.when(u % 10 == 0, F.concat(F.lit("x"), (u % 7).cast("string")))
-        .otherwise(F.concat(F.lit("c"), (u % 60).cast("string")))
-        .alias("hook_session"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"),
-        _pick(["PreToolUse", "PostToolUse", "PreCompact", "Stop"], i % 4).alias("event"),
-        F.concat(F.lit("/work/p"), (u % 11).cast("string"), F.when(i % 3 == 0, F.lit("/")).otherwise(F.lit(""))).alias("cwd"),
-        F.when(i % 6 == 0, F.lit("block")).when(i % 6 == 1, F.lit("allow")).alias("decision"),
-        F.when(i % 6 == 0, F.lit("blocked")).otherwise(F.lit("ok")).alias("outcome"),
-        F.when(i % 5 == 0, F.lit("manual")).when(i % 5 == 1, F.lit("auto")).alias("trigger"),
-        (i % 4 == 1).alias("observe_only"),
-        F.concat(F.lit("payload "), i.cast("string")).alias("payload"),
+    return table(spark, sf, "events").where("event_type = 'signup'").selectExpr(
+        "event_id as hook_id",
+        "if(user_id % 10 = 0, concat('x', user_id % 7), concat('c', user_id % 60)) as hook_session",
+        f"{_TS} as ts",
+        "element_at(array('PreToolUse', 'PostToolUse', 'PreCompact', 'Stop'), cast(event_id % 4 + 1 as int)) as event",
+        "concat('/work/p', user_id % 11, if(event_id % 3 = 0, '/', '')) as cwd",
+        "case event_id % 6 when 0 then 'block' when 1 then 'allow' end as decision",
+        "if(event_id % 6 = 0, 'blocked', 'ok') as outcome",
+        "case event_id % 5 when 0 then 'manual' when 1 then 'auto' end as trigger",
+        "event_id % 4 = 1 as observe_only",
+        "concat('payload ', event_id) as payload",
     )
 
 
