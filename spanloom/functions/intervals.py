@@ -10,41 +10,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = 16
 LEVELS = 8  # 16**8 seconds is beyond any epoch time
 
 
-def _blocks(lo: str, hi: str) -> Column:
-    """Array of (level, block) covering [lo, hi], both epoch seconds."""
-    parts: list[str] = []
-    a, b = f"cast(floor({lo} / {BASE}) as bigint)", f"cast(floor({hi} / {BASE}) as bigint) + 1"
-    expr = None
-    for level in range(1, LEVELS + 1):
-        parts.append((level, f"_a{level}", f"_b{level}"))
-    del expr
-    out = []
-    for level, av, bv in parts:
-        up = f"cast(ceil({av} / {BASE}D) * {BASE} as bigint)"
-        down = f"cast(floor({bv} / {BASE}D) * {BASE} as bigint)"
-        seq = lambda x, y: (
-            f"transform(if({x} < {y}, sequence({x}, {y} - 1), cast(array() as array<bigint>)), "
-            f"k -> struct({level} as level, k as block))"
-        )
-        if level == LEVELS:
-            out.append(seq(av, bv))
-        else:
-            whole = f"({up} >= {down})"
-            out.append(f"if({whole}, {seq(av, bv)}, concat({seq(av, up)}, {seq(down, bv)}))")
-    return a, b, out
+def _sequence(level: int, start: str, stop: str) -> str:
+    return (
+        f"transform(if({start} < {stop}, sequence({start}, {stop} - 1), cast(array() as array<bigint>)), "
+        f"k -> struct({level} as level, k as block))"
+    )
+
+
+def _level_blocks(level: int) -> str:
+    """Blocks kept at this level: all of [a, b), or what no whole parent covers."""
+    a, b = f"_a{level}", f"_b{level}"
+    if level == LEVELS:
+        return _sequence(level, a, b)
+    up = f"cast(ceil({a} / {BASE}D) * {BASE} as bigint)"
+    down = f"cast(floor({b} / {BASE}D) * {BASE} as bigint)"
+    return (
+        f"if({up} >= {down}, {_sequence(level, a, b)}, "
+        f"concat({_sequence(level, a, up)}, {_sequence(level, down, b)}))"
+    )
 
 
 def with_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
     """One row per covering block of [lo, hi]; adds ``_level`` and ``_block``."""
-    a, b, out = _blocks(lo, hi)
-    cur = df.selectExpr("*", f"{a} as _a1", f"{b} as _b1")
+    cur = df.selectExpr(
+        "*", f"cast(floor({lo} / {BASE}) as bigint) as _a1", f"cast(floor({hi} / {BASE}) as bigint) + 1 as _b1"
+    )
     for level in range(1, LEVELS):
         av, bv = f"_a{level}", f"_b{level}"
         up = f"cast(ceil({av} / {BASE}D) as bigint)"
@@ -53,7 +50,7 @@ def with_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
         cur = cur.selectExpr(
             "*", f"if({stop}, 0L, {up}) as _a{level + 1}", f"if({stop}, 0L, {down}) as _b{level + 1}"
         )
-    cur = cur.withColumn("_blk", F.explode(F.expr("concat(" + ", ".join(out) + ")")))
+    cur = cur.withColumn("_blk", F.explode(F.expr("concat(" + ", ".join(map(_level_blocks, range(1, LEVELS + 1))) + ")")))
     return cur.select(*df.columns, F.col("_blk.level").alias("_level"), F.col("_blk.block").alias("_block"))
 
 

@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 _MODEL = "element_at(array({}), cast({{}} % 5 + 1 as int))".format(", ".join(f"'{m}'" for m in MODELS))
 _AGENT = "element_at(array({}), cast(user_id % 4 + 1 as int))".format(", ".join(f"'{a}'" for a in AGENTS))
-_PROJECT = "if(user_id % 13 = 0, '', concat('/work/p', user_id % 11))"
-_SOURCE = "concat('/logs/f', user_id % 40, '.jsonl')"
+_PROJECT = "if(user_id % 13 = 0, '', concat('/work/p', user_id div 10))"
+_SOURCE = "concat('/logs/f', user_id div 4, '.jsonl')"
 _TS = "unix_micros(cast(ts as timestamp)) / 1e6D"
 _TOOLS = "case event_id % 7 {} end".format(
     " ".join(
@@ -85,7 +85,7 @@ def session_dims(spark: SparkSession, sf: str) -> DataFrame:
         f"{_MODEL.format('user_id')} as model",
         f"{_PROJECT} as project",
         f"{_SOURCE} as source_path",
-        "if(user_id % 10 <> 0, concat('c', user_id % 60), null) as client_session_id",
+        "if(user_id % 10 <> 0, concat('c', user_id div 3), null) as client_session_id",
     )
 
 
@@ -113,10 +113,11 @@ def hooks(spark: SparkSession, sf: str) -> DataFrame:
     """Hook events from sign-ups, keyed by the client session id of the user."""
     return table(spark, sf, "events").where("event_type = 'signup'").selectExpr(
         "event_id as hook_id",
-        "if(user_id % 10 = 0, concat('x', user_id % 7), concat('c', user_id % 60)) as hook_session",
+        "if(user_id % 10 = 0, concat('x', user_id div 10), concat('c', user_id div 3)) as hook_session",
         f"{_TS} as ts",
         "element_at(array('PreToolUse', 'PostToolUse', 'PreCompact', 'Stop'), cast(event_id % 4 + 1 as int)) as event",
-        "concat('/work/p', user_id % 11, if(event_id % 3 = 0, '/', '')) as cwd",
+        "concat(if(user_id div 10 % 2 = 1 and user_id % 10 <> 0, concat('/tmp/h', user_id), "
+        "concat('/work/p', user_id div 10)), if(event_id % 3 = 0, '/', '')) as cwd",
         "case event_id % 6 when 0 then 'block' when 1 then 'allow' end as decision",
         "if(event_id % 6 = 0, 'blocked', 'ok') as outcome",
         "case event_id % 5 when 0 then 'manual' when 1 then 'auto' end as trigger",

@@ -11,12 +11,12 @@ _tools = (
     "CASE event_id % 7 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['Bash'] WHEN 2 THEN ['Read','Bash'] "
     "WHEN 3 THEN ['mcp__git__status'] WHEN 4 THEN ['Task'] WHEN 5 THEN ['Read'] ELSE ['mcp__db__query','Read'] END"
 )
-_project = "CASE WHEN user_id % 13 = 0 THEN '' ELSE '/work/p' || (user_id % 11) END"
+_project = "CASE WHEN user_id % 13 = 0 THEN '' ELSE '/work/p' || (user_id // 10) END"
 
 CTES: dict[str, tuple[list[str], str]] = {
     "prices": ([], f"SELECT * FROM (VALUES {_prices}) v(pmodel, pin, pout, pcw, pcr)"),
     "reqs": ([], f"""
-        SELECT 's' || user_id AS session_id, '/logs/f' || (user_id % 40) || '.jsonl' AS source_path,
+        SELECT 's' || user_id AS session_id, '/logs/f' || (user_id // 4) || '.jsonl' AS source_path,
           event_id AS line_no,
           CASE WHEN event_id % 211 = 0 THEN 0.0
                ELSE epoch_us(ts) / 1e6 - CASE WHEN event_id % 50 = 0 THEN 86400.0 ELSE 0.0 END END::DOUBLE AS ts,
@@ -59,9 +59,9 @@ CTES: dict[str, tuple[list[str], str]] = {
         FROM (SELECT unnest({_model}) AS model) m JOIN prices ON starts_with(lower(model), pmodel) GROUP BY model"""),
     "sess": (["usage"], f"""
         SELECT session_id, any_value(agent) AS agent, any_value(model) AS model, any_value(project) AS project,
-          '/logs/f' || (CAST(substr(session_id, 2) AS BIGINT) % 40) || '.jsonl' AS source_path,
+          '/logs/f' || (CAST(substr(session_id, 2) AS BIGINT) // 4) || '.jsonl' AS source_path,
           CASE WHEN CAST(substr(session_id, 2) AS BIGINT) % 10 <> 0
-               THEN 'c' || (CAST(substr(session_id, 2) AS BIGINT) % 60) END AS client_session_id,
+               THEN 'c' || (CAST(substr(session_id, 2) AS BIGINT) // 3) END AS client_session_id,
           coalesce(min(CASE WHEN ts > 0 THEN ts END), 0) AS started_at,
           coalesce(max(CASE WHEN ts > 0 THEN ts END), 0) AS ended_at,
           CAST(sum(prompt_tokens) AS BIGINT) AS total_in_tokens, CAST(sum(completion_tokens) AS BIGINT) AS total_out_tokens,
@@ -72,12 +72,21 @@ CTES: dict[str, tuple[list[str], str]] = {
     "toolcalls": (["usage"], """
         SELECT session_id, tool, count(*) AS calls
         FROM (SELECT session_id, unnest(tool_names) AS tool FROM usage) GROUP BY ALL"""),
+    "bytime": (["reqseq"], """
+        SELECT *, ts * 1000 + greatest(0, coalesce(duration_ms, 0)) AS end_ms, lag(seq) OVER w AS p_seq, lag(ts) OVER w AS p_ts,
+          lag(transcript_items) OVER w AS p_items, lag(ctx) OVER w AS p_ctx, lag(cache_read) OVER w AS p_cache_read,
+          lag(ts * 1000 + greatest(0, coalesce(duration_ms, 0))) OVER w AS p_end
+        FROM reqseq WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)"""),
+    "comps": (["bytime"], """
+        SELECT * FROM bytime WHERE p_items > 0 AND transcript_items < p_items AND p_ctx - ctx >= 2000
+          AND NOT (ts * 1000 < p_end AND p_ts * 1000 < end_ms)"""),
     "hooks": ([], """
         SELECT event_id AS hook_id,
-          CASE WHEN user_id % 10 = 0 THEN 'x' || (user_id % 7) ELSE 'c' || (user_id % 60) END AS hook_session,
+          CASE WHEN user_id % 10 = 0 THEN 'x' || (user_id // 10) ELSE 'c' || (user_id // 3) END AS hook_session,
           epoch_us(ts) / 1e6 AS ts,
           (['PreToolUse','PostToolUse','PreCompact','Stop'])[event_id % 4 + 1] AS event,
-          '/work/p' || (user_id % 11) AS cwd,
+          CASE WHEN (user_id // 10) % 2 = 1 AND user_id % 10 <> 0 THEN '/tmp/h' || user_id
+               ELSE '/work/p' || (user_id // 10) END AS cwd,
           CASE event_id % 6 WHEN 0 THEN 'block' WHEN 1 THEN 'allow' END AS decision,
           CASE WHEN event_id % 6 = 0 THEN 'blocked' ELSE 'ok' END AS outcome,
           CASE event_id % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'auto' END AS trigger,
