@@ -6,11 +6,14 @@ state the same tables in SQL (``oracle_base``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import running, time_chunk
 from ..operators import pricing, sessions as sess
+from ..operators.normalize import normalize_pairs
+from ..session import written
+from ..sources.pairs import parse_pairs
 
 MODELS = ["claude-sonnet-4-5-20250929", "claude-3-5-haiku-latest", "GPT-5.1-codex", "gpt-4o-mini", "mystery-1"]
 AGENTS = ["claude", "codex", "gemini", "devin"]
@@ -132,3 +135,130 @@ def prices(spark: SparkSession) -> DataFrame:
 
 def time_chunk_of(ts: str = "ts", seq: str | None = None) -> Column:
     return time_chunk(F.col(ts), F.col(seq) if seq else None)
+
+
+# -- captured pairs from the conversations table -------------------------------
+
+SPAN = 8  # turns per captured session
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns cut into sessions of at most ``SPAN`` turns."""
+    return table(spark, sf, "conversations").selectExpr(
+        "conv_id", "conv_id * 1000 + turn div 8 as key", "turn", "role", "text", "conv_id % 4 as shape"
+    )
+
+
+def pair_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Captured lines in the four wire shapes, each resending its transcript.
+
+    Every assistant turn is a call; a turn of its tool ``Read`` follows it in later
+    transcripts.  Turns after the last assistant turn form a call without answer.
+    """
+    t = turns(spark, sf)
+    w = Window.partitionBy("key").orderBy("turn")
+    t = t.withColumn("sys", F.max(F.expr("if(role = 'system', text, '')")).over(Window.partitionBy("key")))
+    t = t.withColumn("last_asst", F.max(F.expr("if(role = 'assistant', turn, -1)")).over(Window.partitionBy("key")))
+    t = t.withColumn("last_turn", F.max("turn").over(Window.partitionBy("key")))
+    # At most SPAN turns come before a call, so the history list is bounded.
+    t = t.withColumn(
+        "hist", F.collect_list(F.expr("if(role <> 'system', struct(turn, role, text), null)")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    t = t.where("role = 'assistant' or (role <> 'system' and turn = last_turn and last_asst < turn)")
+    asst = "role = 'assistant'"
+    q = t.selectExpr(
+        "*", f"if({asst}, filter(hist, h -> h.turn < turn), hist) as h",
+        "1704067200D + key * 100 + turn as ts", f"{asst} as ok",
+        "concat('conv ', key, ': ', sys) as sysp",
+        "(key * 7 + turn) % 500 + 1 as tin", "(key * 3 + turn) % 90 + 1 as tout",
+        "(key * 11 + turn) % 3000 as tcr", "(key * 5 + turn) % 400 as tcc",
+        "concat('c', key, '-', turn) as cid", "concat('{\"path\":\"f', turn, '\"}') as args",
+    )
+    call = "concat('c', key, '-', x.turn)"
+    arg = "concat('f', x.turn)"
+    # The tool result of an assistant turn is sent right before what comes after it.
+    a = (
+        "transform(h, x -> if(x.role = 'assistant', "
+        f"concat('{{\"role\":\"assistant\",\"content\":', to_json(array(named_struct('type', 'text', 'text', x.text))), '}},"
+        f"{{\"role\":\"assistant\",\"content\":[{{\"type\":\"tool_use\",\"id\":\"', {call}, '\",\"name\":\"Read\",\"input\":{{\"path\":\"', {arg}, '\"}}}}]}},"
+        f"{{\"role\":\"user\",\"content\":[{{\"type\":\"tool_result\",\"tool_use_id\":\"', {call}, '\",\"content\":\"ok ', x.turn, '\"}}]}}'), "
+        "to_json(named_struct('role', 'user', 'content', x.text))))"
+    )
+    b = (
+        "transform(h, x -> if(x.role = 'assistant', "
+        "concat(to_json(named_struct('type', 'message', 'role', 'assistant', 'content', array(named_struct('type', 'output_text', 'text', x.text)))), "
+        f"',{{\"type\":\"function_call\",\"call_id\":\"', {call}, '\",\"name\":\"Read\",\"arguments\":\"{{\\\\\"path\\\\\": \\\\\"', {arg}, '\\\\\"}}\"}},"
+        f"{{\"type\":\"function_call_output\",\"call_id\":\"', {call}, '\",\"output\":\"ok ', x.turn, '\"}}'), "
+        "to_json(named_struct('type', 'message', 'role', 'user', 'content', array(named_struct('type', 'input_text', 'text', x.text))))))"
+    )
+    c = (
+        "transform(h, x -> if(x.role = 'assistant', "
+        "concat('{\"role\":\"model\",\"parts\":[', to_json(named_struct('text', x.text)), "
+        f"',{{\"functionCall\":{{\"id\":\"', {call}, '\",\"name\":\"Read\",\"args\":{{\"path\":\"', {arg}, '\"}}}}}}]}},"
+        f"{{\"role\":\"user\",\"parts\":[{{\"functionResponse\":{{\"id\":\"', {call}, '\",\"name\":\"Read\",\"response\":{{\"output\":\"ok ', x.turn, '\"}}}}}}]}}'), "
+        "concat('{\"role\":\"user\",\"parts\":[', to_json(named_struct('text', x.text)), ']}')))"
+    )
+    d = (
+        "transform(h, x -> if(x.role = 'assistant', "
+        "concat('{\"role\":\"assistant\",\"content\":', to_json(x.text), "
+        f"',\"tool_calls\":[{{\"id\":\"', {call}, '\",\"name\":\"Read\",\"arguments\":{{\"path\":\"', {arg}, '\"}}}}]}},"
+        f"{{\"role\":\"tool\",\"tool_call_id\":\"', {call}, '\",\"content\":\"ok ', x.turn, '\"}}'), "
+        "to_json(named_struct('role', 'user', 'content', x.text))))"
+    ).replace("to_json(x.text)", "substring(to_json(named_struct('t', x.text)), 6, length(to_json(named_struct('t', x.text))) - 6)")
+    model = "element_at(array('claude-sonnet-4-5', 'gpt-5.1-codex', 'gemini-2.5-pro', 'claude-opus-4-1'), cast(shape + 1 as int))"
+    tools = (
+        "'[{\"name\":\"Read\",\"description\":\"read a file\",\"input_schema\":{\"type\":\"object\"}},"
+        "{\"name\":\"Write\",\"description\":\"write a file\",\"input_schema\":{}}]'"
+    )
+    js = lambda e: f"substring(to_json(named_struct('t', {e})), 6, length(to_json(named_struct('t', {e}))) - 6)"
+    body = (
+        "case shape "
+        f"when 0 then concat('{{\"model\":\"', {model}, '\",\"system\":', {js('sysp')}, ',\"tools\":', {tools}, ',\"messages\":[', array_join({a}, ','), ']}}') "
+        f"when 1 then concat('{{\"model\":\"', {model}, '\",\"prompt_cache_key\":\"k', key, '\",\"instructions\":', {js('sysp')}, ',\"input\":[', array_join({b}, ','), ']}}') "
+        f"when 2 then concat('{{\"systemInstruction\":{{\"parts\":[{{\"text\":', {js('sysp')}, '}}]}},\"contents\":[', array_join({c}, ','), ']}}') "
+        f"else concat('{{\"provider\":\"devin\",\"session_id\":\"', key, '\",\"model\":\"', {model}, '\",\"system\":', {js('sysp')}, ',\"transcript\":[', array_join({d}, ','), ']}}') end"
+    )
+    half = "cast(length(text) / 2 as int)"
+    first, rest = f"substring(text, 1, {half})", f"substring(text, {half} + 1, length(text))"
+    ev = lambda s: f"concat('data: ', {s}, '\\n\\n')"
+    sse_a = "concat(" + ", ".join([
+        ev(f"concat('{{\"type\":\"message_start\",\"message\":{{\"model\":\"', {model}, '\",\"usage\":{{\"input_tokens\":', tin, ',\"cache_creation_input_tokens\":', tcc, ',\"cache_read_input_tokens\":', tcr, ',\"output_tokens\":1}}}}}}')"),
+        ev("'{\"type\":\"content_block_start\",\"index\":0,\"content_block\":{\"type\":\"text\",\"text\":\"\"}}'"),
+        ev(f"concat('{{\"type\":\"content_block_delta\",\"index\":0,\"delta\":{{\"type\":\"text_delta\",\"text\":', {js(first)}, '}}}}')"),
+        ev(f"concat('{{\"type\":\"content_block_delta\",\"index\":0,\"delta\":{{\"type\":\"text_delta\",\"text\":', {js(rest)}, '}}}}')"),
+        ev("concat('{\"type\":\"content_block_start\",\"index\":1,\"content_block\":{\"type\":\"tool_use\",\"id\":\"', cid, '\",\"name\":\"Read\",\"input\":{}}}')"),
+        ev("concat('{\"type\":\"content_block_delta\",\"index\":1,\"delta\":{\"type\":\"input_json_delta\",\"partial_json\":\"{\\\\\"path\\\\\": \\\\\"f', turn, '\\\\\"}\"}}')"),
+        ev("concat('{\"type\":\"message_delta\",\"delta\":{\"stop_reason\":\"tool_use\"},\"usage\":{\"output_tokens\":', tout, '}}')"),
+    ]) + ")"
+    out_b = f"concat('[{{\"type\":\"message\",\"role\":\"assistant\",\"content\":[{{\"type\":\"output_text\",\"text\":', {js('text')}, '}}]}},{{\"type\":\"function_call\",\"call_id\":\"', cid, '\",\"name\":\"Read\",\"arguments\":', {js('args')}, '}}]')"
+    sse_b = (
+        f"concat('event: response.completed\\ndata: {{\"type\":\"response.completed\",\"response\":{{\"model\":\"', {model}, '\",\"status\":\"completed\",\"output\":', {out_b}, "
+        "',\"usage\":{\"input_tokens\":', tin, ',\"output_tokens\":', tout, ',\"input_tokens_details\":{\"cached_tokens\":', tcr, '}}}}\\n\\n')"
+    )
+    body_c = (
+        f"concat('[{{\"candidates\":[{{\"content\":{{\"parts\":[{{\"text\":', {js(first)}, '}}]}}}}]}},{{\"candidates\":[{{\"finishReason\":\"STOP\",\"content\":{{\"parts\":[{{\"text\":', {js(rest)}, "
+        "'},{\"functionCall\":{\"id\":\"', cid, '\",\"name\":\"Read\",\"args\":', args, '}}]}}],\"usageMetadata\":{\"promptTokenCount\":', tin, ',\"candidatesTokenCount\":', tout, ',\"cachedContentTokenCount\":', tcr, '}}]')"
+    )
+    body_d = (
+        f"concat('{{\"provider\":\"devin\",\"model\":\"', {model}, '\",\"finish_reason\":\"stop\",\"message\":{{\"role\":\"assistant\",\"content\":', {js('text')}, "
+        "',\"tool_calls\":[{\"id\":\"', cid, '\",\"name\":\"Read\",\"arguments\":', args, '}]},\"usage\":{\"input_tokens\":', tin, ',\"output_tokens\":', tout, ',\"cache_read_tokens\":', tcr, ',\"cache_creation_tokens\":', tcc, '}}')"
+    )
+    response = (
+        "if(not ok, 'null', concat('{\"timestamp\":', ts + 2.5D, ',\"first_byte_timestamp\":', ts + 0.25D, ',\"status_code\":200,\"headers\":{},', "
+        f"case shape when 0 then concat('\"body_raw\":', {js(sse_a)}) when 1 then concat('\"body_raw\":', {js(sse_b)}) "
+        f"when 2 then concat('\"body\":', {body_c}) else concat('\"body\":', {body_d}) end, '}}'))"
+    )
+    url = "element_at(array('https://a/v1/messages', 'https://b/v1/responses', 'https://c/v1beta/models/gemini-2.5-pro:streamGenerateContent', 'devin://session'), cast(shape + 1 as int))"
+    q = q.withColumn("body_text", F.expr(body)).withColumn("resp_text", F.expr(response))
+    line = (
+        f"concat('{{\"request\":{{\"timestamp\":', ts, ',\"method\":\"POST\",\"url\":\"', {url}, '\",\"headers\":{{}},\"body\":', body_text, '}},\"response\":', resp_text, '}}')"
+    )
+    return q.selectExpr(
+        f"{line} as value", "concat('/work/w', key % 50, '/.claude-trace/', key, '.jsonl') as source_path",
+        "0L as block_start", "turn as row_id",
+    )
+
+
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls table, written once as the ingest does; later branches read columns of it."""
+    return written(normalize_pairs(parse_pairs(pair_lines(spark, sf))), "calls")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,3 +61,14 @@ def local_session(name: str = "spanloom", cores: str = "8", **extra) -> SparkSes
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def written(df, name: str = "stage"):
+    """Write a frame as Parquet in the shared checkpoint folder and read it back.
+
+    For frames that several branches read: each branch then scans only its columns.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
