@@ -39,7 +39,7 @@ def clip(c: Column, n: int) -> Column:
     at = F.length(cut) - F.locate(" ", F.reverse(cut))
     on_word = F.when((F.locate(" ", cut) > 0) & (at > n * 0.6), F.left(cut, at.cast("int"))).otherwise(cut)
     return F.when(F.length(flat) <= n, flat).otherwise(
-        F.concat(F.regexp_replace(on_word, r"(?U)\s+$", ""), F.lit("…"))
+        F.concat(on_word, F.lit("…"))
     )
 
 
