@@ -67,35 +67,44 @@ def _passes(d: Detector, t: Column) -> Column:
     return ok
 
 
+def _tokens(d: Detector, text: Column) -> Column:
+    """Tokens of one detector that pass its gate, repeats included."""
+    return F.filter(F.regexp_extract_all(text, F.lit(d.pattern), d.group), lambda t: _passes(d, t))
+
+
+def _named(d: Detector, text: Column) -> Column:
+    return F.transform(_tokens(d, text), lambda t: F.struct(F.lit(d.kind).alias("kind"), t.alias("token")))
+
+
 def find(text: Column, mode: str = "standard", detectors: list[Detector] = DETECTORS) -> Column:
     """Array of struct(kind, token), detectors in order."""
-    found = [
-        F.transform(
-            F.filter(F.regexp_extract_all(text, F.lit(d.pattern), d.group), lambda t, d=d: _passes(d, t)),
-            lambda t, d=d: F.struct(F.lit(d.kind).alias("kind"), t.alias("token")),
-        )
-        for d in active(mode, detectors)
-    ]
+    found = [_named(d, text) for d in active(mode, detectors)]
     return F.concat(*found) if found else F.array().cast("array<struct<kind:string,token:string>>")
 
 
+def _mask(d: Detector, text: Column) -> Column:
+    mark = d.keep.format(f"[REDACTED:{d.kind}]")
+    if not d.min_entropy:
+        return F.regexp_replace(text, d.pattern, mark)
+
+    def at(token: Column) -> Column:
+        """Pattern of the places where this token stands alone."""
+        quoted = F.concat(F.lit(r"\Q"), token, F.lit(r"\E"))
+        if d.kind == "env_secret":
+            return F.concat(F.lit(_ENV_KEY), quoted, F.lit(r"\2(?=[\s\"';,]|$)"))
+        return F.concat(F.lit("(?<![A-Za-z0-9/+=])"), quoted, F.lit("(?![A-Za-z0-9/+=])"))
+
+    # Gated: only the tokens that pass are replaced.
+    return F.aggregate(
+        F.array_distinct(_tokens(d, text)), text, lambda acc, token: F.regexp_replace(acc, at(token), F.lit(mark))
+    )
+
+
 def redact(text: Column, mode: str = "standard", detectors: list[Detector] = DETECTORS) -> Column:
     """Text with every secret replaced by a typed placeholder."""
-    out = text
     for d in active(mode, detectors):
-        mark = d.keep.format(f"[REDACTED:{d.kind}]")
-        if not d.min_entropy:
-            out = F.regexp_replace(out, d.pattern, mark)
-            continue
-        # Gated: only the tokens that pass are replaced, each where it stands alone.
-        tokens = F.array_distinct(F.filter(F.regexp_extract_all(out, F.lit(d.pattern), d.group), lambda t, d=d: _passes(d, t)))
-        quoted = lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))
-        if d.kind == "env_secret":
-            site = lambda t: F.concat(F.lit(_ENV_KEY), quoted(t), F.lit(r"\2(?=[\s\"';,]|$)"))
-        else:
-            site = lambda t: F.concat(F.lit("(?<![A-Za-z0-9/+=])"), quoted(t), F.lit("(?![A-Za-z0-9/+=])"))
-        out = F.aggregate(tokens, out, lambda acc, t, m=mark, s=site: F.regexp_replace(acc, s(t), F.lit(m)))
-    return out
+        text = _mask(d, text)
+    return text
 
 
 def fingerprint(token: Column) -> Column:

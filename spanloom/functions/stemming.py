@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # Suffix rules of the published algorithm, steps 2, 3 and 4.
@@ -97,6 +98,6 @@ def term_of(token: str) -> str:
     return stem(fold(token.lower()))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_terms(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(fold(t)) for t in ts])

@@ -7,11 +7,12 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.secrets import DETECTORS, STANDARD_HINT, Detector, count_redactions, find, fingerprint, last4, redact
 
 
-@F.pandas_udf("array<struct<location:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("location", "string").add("text", "string")))
 def json_leaves(bodies: pd.Series) -> pd.Series:
     """String leaves of a JSON text with a location label: first field, its index,
     and the nearest role."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scan import running
 
@@ -39,7 +40,7 @@ def _lines(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
 
-@F.pandas_udf("array<struct<op:string,line:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("op", "string").add("line", "string")))
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """Line operations from a to b, in order."""
     return pd.Series([

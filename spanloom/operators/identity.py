@@ -93,16 +93,20 @@ def contains_join(texts: DataFrame, needles: DataFrame, keys: list[str], text: s
         need = sized.where(F.col("_class") == n).withColumn("_gram", F.xxhash64(F.substring(needle, 1, n)))
         # Texts of keys without needles of this class are not opened at all.
         wanted = texts.join(need.select(*keys).distinct(), keys, "left_semi") if keys else texts
-        grams = F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-            lambda i, n=n: F.xxhash64(F.substring(F.col(text), i, F.lit(n))),
-        ))
+        grams = _grams(text, n)
         hit = wanted.withColumn("_gram", F.explode(grams)).join(need, [*keys, "_gram"])
         hit = hit.where(F.contains(F.col(text), F.col(needle))).drop("_gram", "_class")
         out = hit if out is None else out.unionByName(hit)
     return out
 
 
+def _grams(text: str, n: int) -> Column:
+    """Hashes of all stretches of n characters of the text."""
+    last = F.greatest(F.length(text) - n + 1, F.lit(1))
+    stretch = lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), stretch))
+
+
 def _gram_class(length: Column) -> Column:
     out = F.lit(GRAMS[-1])
     for n in reversed(GRAMS[:-1]):

@@ -80,6 +80,19 @@ CTES: dict[str, tuple[list[str], str]] = {
     "comps": (["bytime"], """
         SELECT * FROM bytime WHERE p_items > 0 AND transcript_items < p_items AND p_ctx - ctx >= 2000
           AND NOT (ts * 1000 < p_end AND p_ts * 1000 < end_ms)"""),
+    "conv": ([], """
+        SELECT conv_id, conv_id * 1000 + turn // 8 AS key, turn, role, text, conv_id % 4 AS shape FROM conversations"""),
+    "said": (["conv"], """
+        SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn) AS step_index, max(turn) OVER (PARTITION BY key) AS last_turn,
+          coalesce(sum(CASE WHEN role = 'assistant' THEN 1 END) OVER (PARTITION BY key ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq,
+          coalesce(sum(CASE WHEN role = 'assistant' THEN 3 ELSE 1 END) OVER (PARTITION BY key ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS items_before,
+          (key * 7 + turn) % 500 + 1 AS tin, (key * 3 + turn) % 90 + 1 AS tout, (key * 11 + turn) % 3000 AS tcr,
+          CASE WHEN shape IN (0, 3) THEN (key * 5 + turn) % 400 ELSE 0 END AS tcc,
+          (['claude-sonnet-4-5','gpt-5.1-codex','gemini-2.5-pro','claude-opus-4-1'])[shape + 1] AS model,
+          (['claude','codex','gemini','devin'])[shape + 1] AS agent, 1704067200 + key * 100 + turn AS ts
+        FROM conv WHERE role <> 'system'"""),
+    "callrows": (["said"], """
+        SELECT *, role = 'assistant' AS ok FROM said s WHERE role = 'assistant' OR turn = last_turn"""),
     "hooks": ([], """
         SELECT event_id AS hook_id,
           CASE WHEN user_id % 10 = 0 THEN 'x' || (user_id // 10) ELSE 'c' || (user_id // 3) END AS hook_session,
