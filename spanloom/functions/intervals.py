@@ -1,7 +1,7 @@
 """Exact joins of points with intervals, of any length and overlap.
 
-Every interval is cut into aligned blocks of 16, 256, 4096 ... seconds (at most 30
-per level, so a few dozen in all); a point lies in one block per level.  The join
+Every interval is cut into aligned blocks of 64, 4096, 262144 ... seconds (at most
+126 per level, mostly a few dozen in all); a point lies in one block per level.  The join
 is then an equi-join on (keys, level, block), with the true bounds checked after.
 Rows grow with the inputs and the answer, never with their product.
 """
@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BASE = 16
-LEVELS = 8  # 16**8 seconds is beyond any epoch time
+BASE = 64
+LEVELS = 6  # 64**6 seconds is beyond any epoch time
 
 
 def _sequence(level: int, start: str, stop: str) -> str:

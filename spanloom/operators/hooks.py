@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import stab_join
-from ..functions.scan import halo
+from ..functions.scan import halo, running
+from ..functions.text import collapse
 
 SLACK_SEC = 600
-OPEN_END = 16.0 ** 8 - 16
+OPEN_END = 4e9  # an open end, beyond any time recorded
 
 
 def norm_cwd(c: Column) -> Column:
@@ -60,23 +61,14 @@ def hooks_by_time(sessions: DataFrame, hooks: DataFrame) -> DataFrame:
     A hook naming another project is dropped; one that names its project joins on
     it.  Where a session is matched by several hook sessions the payload is withheld.
     """
-    s = _window(sessions.where("client_session_id is null"), "project").withColumn("_p", norm_cwd(F.col("project")))
-    h = hooks.withColumn("_cwd", norm_cwd(F.col("cwd")))
-    named = stab_join(
-        h.where("_cwd <> ''").withColumnRenamed("_cwd", "_p"), s.where("_p <> ''").drop("project"), ["_p"],
-        "ts", "w_lo", "w_hi",
-    ).drop("_p")
-    # Either side without a directory can be matched by time alone.
-    k = F.lit(1)
-    bare = stab_join(
-        h.where("_cwd = ''").drop("_cwd").withColumn("_k", k), s.drop("project", "_p").withColumn("_k", k), ["_k"],
-        "ts", "w_lo", "w_hi",
-    )
-    free = stab_join(
-        h.where("_cwd <> ''").drop("_cwd").withColumn("_k", k),
-        s.where("_p = ''").drop("project", "_p").withColumn("_k", k), ["_k"], "ts", "w_lo", "w_hi",
-    )
-    hit = named.unionByName(bare.drop("_k")).unionByName(free.drop("_k")).drop("w_lo", "w_hi")
+    project, cwd = norm_cwd(F.col("project")), norm_cwd(F.col("cwd"))
+    s = _window(sessions.where("client_session_id is null"), "project")
+    # A session joins hooks of its project and hooks without one; a session
+    # without project joins every hook, under one key for all.
+    wants = F.when(project == "", F.array(F.lit("*"))).otherwise(F.array(project, F.lit("")))
+    s = s.withColumn("_p", F.explode(wants)).drop("project")
+    h = hooks.withColumn("_p", F.explode(F.array(cwd, F.lit("*"))))
+    hit = stab_join(h, s, ["_p"], "ts", "w_lo", "w_hi").drop("_p", "w_lo", "w_hi")
     distinct = hit.groupBy("session_id").agg(
         (F.min("hook_session") != F.max("hook_session")).alias("_ambiguous")
     )
@@ -198,3 +190,72 @@ def orphan_hooks(requests: DataFrame, hooks: DataFrame) -> DataFrame:
         .withColumn("orphan", F.col("total") - F.coalesce("placed", F.lit(0)))
         .select("session_id", "total", "orphan", "last_seq")
     )
+
+
+# -- what a turn was about -----------------------------------------------------
+
+# Tool arguments in order of preference, and text sizes.
+TOOL_ARG_KEYS = [
+    "file_path", "path", "pattern", "command", "url", "query", "prompt", "description", "notebook_path", "skill", "name",
+]
+ARG_CHARS, ARG_SUMMARY_CHARS, STEP_CHARS = 60, 34, 200
+EMPTY_STEP = "<block>no"
+
+
+def one_line(c: Column, n: int) -> Column:
+    """One line without reminders, clipped to n characters."""
+    t = collapse(F.regexp_replace(c, r"(?s)<system-reminder>.*?</system-reminder>", " "))
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.left(t, F.lit(n - 1)), F.lit("…")))
+
+
+def tool_argument(input_json: Column) -> Column:
+    """The argument that tells a tool call from its neighbours."""
+    parsed = F.try_parse_json(input_json)
+    fields = F.from_json(input_json, "map<string,string>")
+    named = F.coalesce(*[F.nullif(fields[k], F.lit("")) for k in TOOL_ARG_KEYS], F.lit(""))
+    return F.when(F.coalesce(input_json, F.lit("")) == "", "").when(parsed.isNull(), one_line(input_json, ARG_CHARS)).otherwise(
+        one_line(named, ARG_CHARS)
+    )
+
+
+def step_text(message: Column) -> Column:
+    """Readable text of a step: its one-key envelope opened, command tags dropped."""
+    raw = F.coalesce(message, F.lit(""))
+    keys = F.json_object_keys(raw)
+    one = raw.startswith("{") & (F.size(keys) == 1) & F.schema_of_variant(F.try_parse_json(raw)).rlike(": STRING>$")
+    key, value = F.get(keys, F.lit(0)), F.get(F.map_values(F.from_json(raw, "map<string,string>")), F.lit(0))
+    label = F.when(one & (key != "user"), F.concat(key, F.lit(" "))).otherwise(F.lit(""))
+    t = F.when(one, value).otherwise(raw)
+    for pattern, to in (
+        (r"<command-name>\s*", ""), (r"</command-name>", ""), (r"(?s)<command-message>.*?</command-message>", ""),
+        (r"<command-args>\s*", " "), (r"</command-args>", ""), (r"</?local-command-stdout>", ""), (r"</?transcript>", ""),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    return F.when((raw == "") | raw.startswith(EMPTY_STEP), F.lit("")).otherwise(F.concat(label, one_line(t, STEP_CHARS)))
+
+
+def turn_prompts(steps: DataFrame) -> DataFrame:
+    """Each step with the nearest user message at or before it."""
+    chunk = F.floor(F.col("step_index") / F.lit(1 << 20))
+    asked = F.when(F.col("role") == "user", F.col("message"))
+    return running(steps, ["session_id"], chunk, ["step_index"], last={"prompt": asked})
+
+
+def turn_summaries(requests: DataFrame, steps: DataFrame) -> DataFrame:
+    """One line per call: the tools it used, else what it said, else what it was asked."""
+    s = turn_prompts(steps).select(
+        "session_id", F.col("step_index").alias("agent_step_index"), "tool_names", "tool_inputs", "message", "prompt"
+    )
+    r = requests.select("session_id", "seq", "agent_step_index").join(s, ["session_id", "agent_step_index"], "left")
+
+    def tool_line(name: Column, i: Column) -> Column:
+        arg = tool_argument(F.get("tool_inputs", i))
+        return F.when(arg != "", F.concat(name, F.lit(" "), one_line(arg, ARG_SUMMARY_CHARS))).otherwise(name)
+
+    tools = F.array_join(F.transform("tool_names", tool_line), "  ·  ")
+    said, asked = step_text(F.col("message")), step_text(F.col("prompt"))
+    summary = (
+        F.when(F.size("tool_names") > 0, tools).when(said != "", said)
+        .when(asked != "", F.concat(F.lit("› "), asked)).otherwise(F.lit(""))
+    )
+    return r.select("session_id", "seq", summary.alias("summary"))

@@ -90,7 +90,7 @@ def contains_join(texts: DataFrame, needles: DataFrame, keys: list[str], text: s
     classes = [r["_class"] for r in sized.select("_class").distinct().collect()]  # at most len(GRAMS) rows
     out = None
     for n in classes or GRAMS[-1:]:
-        need = sized.where(F.col("_class") == n).withColumn("_gram", F.xxhash64(F.substring(needle, 1, n)))
+        need = sized.where(F.col("_class") == n).withColumn("_gram", F.xxhash64(F.substring(_wide(needle), F.lit(1), F.lit(4 * n))))
         # Texts of keys without needles of this class are not opened at all.
         wanted = texts.join(need.select(*keys).distinct(), keys, "left_semi") if keys else texts
         grams = _grams(text, n)
@@ -100,11 +100,19 @@ def contains_join(texts: DataFrame, needles: DataFrame, keys: list[str], text: s
     return out
 
 
+def _wide(text: str) -> Column:
+    """Four bytes per character, so that a stretch is cut out in constant time."""
+    return F.encode(F.col(text), "UTF-32")
+
+
 def _grams(text: str, n: int) -> Column:
     """Hashes of all stretches of n characters of the text."""
     last = F.greatest(F.length(text) - n + 1, F.lit(1))
-    stretch = lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n)))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), stretch))
+
+    def cut(wide: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * n))))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(_wide(text)), cut)))
 
 
 def _gram_class(length: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as C, hooks as H, sessions as S
+from ..session import written
 from . import driver_views as V
 from .catalog_usage import money
 from .oracle_base import sql
@@ -92,7 +93,7 @@ def regrow(spark, sf):
         WHEN reclaimed < attributable THEN 'marginal' WHEN regrow <= 5 THEN 'marginal' ELSE 'positive' END AS verdict FROM x""",
     "reqseq", "comps"))
 def efficacy(spark, sf):
-    return C.efficacy(_seq(spark, sf))
+    return C.efficacy(written(_seq(spark, sf), "requests"))
 
 
 @query("calls_in_flight", sql(
@@ -137,12 +138,12 @@ _SHOWN = _OWNER + """, byid AS (SELECT o.session_id, h.* FROM hooks h JOIN owner
 
 @query("hook_owner_election", sql(_OWNER + " SELECT client_session_id, session_id FROM owner", "sess", "reqs"))
 def owner(spark, sf):
-    return H.hook_owner(V.sessions(spark, sf), V.requests(spark, sf))
+    return H.hook_owner(V.session_spans(spark, sf), V.requests(spark, sf))
 
 
 @query("session_hooks", sql(_SHOWN + " SELECT session_id, hook_id, payload FROM shown", "sess", "reqs", "hooks"))
 def session_hooks(spark, sf):
-    h = H.session_hooks(V.sessions(spark, sf), V.requests(spark, sf), V.hooks(spark, sf))
+    h = V.shown_hooks(spark, sf)
     return h.select("session_id", "hook_id", "payload")
 
 
@@ -150,7 +151,7 @@ def session_hooks(spark, sf):
     """SELECT s.session_id, h.hook_id FROM sess s JOIN hooks h ON h.hook_session = s.client_session_id
       AND h.ts BETWEEN s.started_at - 600 AND s.ended_at + 600 WHERE s.project = '' OR h.cwd = s.project""", "sess", "hooks"))
 def conversation_hooks(spark, sf):
-    return H.conversation_hooks(V.sessions(spark, sf), V.hooks(spark, sf)).select("session_id", "hook_id")
+    return H.conversation_hooks(V.session_spans(spark, sf), V.hooks(spark, sf)).select("session_id", "hook_id")
 
 
 @query("hook_availability", sql(
@@ -162,7 +163,7 @@ def conversation_hooks(spark, sf):
         WHEN n > 0 AND owner <> session_id THEN 'listed on owner' WHEN client_session_id IS NULL THEN 'no client id'
         WHEN n > 0 THEN 'other project' ELSE 'none for this conversation' END AS reason FROM m""", "sess", "reqs", "hooks"))
 def availability(spark, sf):
-    return H.hooks_meta(V.sessions(spark, sf), V.requests(spark, sf), V.hooks(spark, sf))
+    return H.hooks_meta(V.session_spans(spark, sf), V.requests(spark, sf), V.hooks(spark, sf))
 
 
 @query("signal_hooks", sql("SELECT hook_id, event FROM hooks WHERE NOT observe_only", "hooks"))
@@ -182,7 +183,7 @@ _TURNS = """, turns AS (SELECT session_id, seq, ts AS t_lo, coalesce(lead(ts) OV
 
 @query("turn_hooks", sql(_SHOWN + _TURNS + " SELECT * FROM th", "sess", "reqs", "hooks", "reqseq"))
 def turn_hooks(spark, sf):
-    h = H.session_hooks(V.sessions(spark, sf), V.requests(spark, sf), V.hooks(spark, sf))
+    h = V.shown_hooks(spark, sf)
     return H.turn_hooks(_seq(spark, sf), h)
 
 
@@ -213,17 +214,28 @@ def turn_filter(spark, sf):
         any_value((SELECT count(*) FROM th WHERE th.session_id = s.session_id)) AS p FROM shown s GROUP BY 1) WHERE n - p > 0""",
     "sess", "reqs", "hooks", "reqseq", "comps").replace("bytime AS (SELECT * EXCLUDE", "bytime2 AS (SELECT * EXCLUDE").replace("payload FROM bytime)", "payload FROM bytime2)"))
 def session_insights(spark, sf):
-    r = _seq(spark, sf)
-    h = H.session_hooks(V.sessions(spark, sf), V.requests(spark, sf), V.hooks(spark, sf))
+    # Ten rules read the calls and their hooks: both are written once.
+    r = written(_seq(spark, sf), "requests")
+    h = written(V.shown_hooks(spark, sf), "hooks")
     ev = H.turn_events(r, h, C.find_compactions(r))
     return C.session_insights(r, H.busiest_turn(ev), H.orphan_hooks(r, h))
 
 
+@query("turn_prompts", sql(
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, turn + 1 AS step_index,
+      last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM conversations"""))
+def turn_prompts(spark, sf):
+    steps = V.table(spark, sf, "conversations").selectExpr(
+        "cast(conv_id as string) as session_id", "turn + 1 as step_index", "role", "text as message"
+    )
+    return H.turn_prompts(steps).select("session_id", "step_index", "prompt")
+
+
 @query("compaction_triggers")
 def triggers(spark, sf):
     r = _seq(spark, sf)
     comps = C.find_compactions(r, by="seq").select("session_id", "seq", "ts")
-    h = H.conversation_hooks(V.sessions(spark, sf), V.hooks(spark, sf)).where("event = 'PreCompact'")
+    h = H.conversation_hooks(V.session_spans(spark, sf), V.hooks(spark, sf)).where("event = 'PreCompact'")
     return C.compaction_triggers(comps, h.select("session_id", "hook_id", "ts", "trigger"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.secrets import DETECTORS, Detector, count_redactions, entropy, redact
 from ..functions.titles import activity_title
 from ..operators import audit as A, diff as D, flow as W, forest as R, identity as N, prompts as P, search as Q, tooltax as X
+from ..session import written
 from . import driver_views as V
 from .catalog_usage import money
 from .oracle_base import sql
@@ -301,12 +302,12 @@ def flow_edges(spark, sf):
 
     r = V.with_seq(V.requests(spark, sf))
     ok = running(r.where("not errored"), ["session_id"], F.floor(F.col("line_no") / F.lit(1 << 20)), ["line_no"], number="_n")
-    ok = ok.withColumn("agent_step_index", F.col("_n") + 1)
+    ok = written(ok.withColumn("agent_step_index", F.col("_n") + 1), "requests")
     steps = ok.selectExpr(
         "session_id", "agent_step_index as step_index", "'agent' as role", "'' as message", "'' as reasoning", "tool_names",
         "cast(array() as array<string>) as tool_inputs", "'' as observation", "false as errored",
     )
-    h = conversation_hooks(V.sessions(spark, sf), V.hooks(spark, sf))
+    h = conversation_hooks(V.session_spans(spark, sf), V.hooks(spark, sf))
     return W.flow_edges(W.flow_graph(W.flow_nodes(steps, ok, h)))
 
 

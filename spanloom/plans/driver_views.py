@@ -112,6 +112,24 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return sess.session_rows(rolled, session_dims(spark, sf), pricing.default_prices(spark))
 
 
+def session_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions with what hook attribution needs, from one aggregate."""
+    u = requests(spark, sf).where("not errored").groupBy("user_id").agg(
+        F.expr("coalesce(min(if(ts > 0, ts, null)), 0.0D)").alias("started_at"),
+        F.expr("coalesce(max(if(ts > 0, ts, null)), 0.0D)").alias("ended_at"),
+    )
+    return u.selectExpr(
+        "concat('s', user_id) as session_id", f"{_PROJECT} as project", "started_at", "ended_at",
+        "if(user_id % 10 <> 0, concat('c', user_id div 3), null) as client_session_id",
+    )
+
+
+def shown_hooks(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.hooks import session_hooks
+
+    return session_hooks(session_spans(spark, sf), requests(spark, sf), hooks(spark, sf))
+
+
 def hooks(spark: SparkSession, sf: str) -> DataFrame:
     """Hook events from sign-ups, keyed by the client session id of the user."""
     return table(spark, sf, "events").where("event_type = 'signup'").selectExpr(
