@@ -1,9 +1,9 @@
 """Exact joins of points with intervals, of any length and overlap.
 
-Every interval is cut into aligned blocks of 64, 4096, 262144 ... seconds (at most
-126 per level, mostly a few dozen in all); a point lies in one block per level.  The join
-is then an equi-join on (keys, level, block), with the true bounds checked after.
-Rows grow with the inputs and the answer, never with their product.
+Every interval is cut into aligned blocks of 64, 512, 4096 ... seconds (at most 14
+per level); a point lies in one block per level.  The join is then an equi-join on
+(keys, level, block), with the true bounds checked after.  Rows grow with the inputs
+and the answer, never with their product.
 """
 
 from __future__ import annotations
@@ -13,54 +13,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BASE = 64
-LEVELS = 6  # 64**6 seconds is beyond any epoch time
+UNIT, BASE, LEVELS = 64, 8, 10  # the widest block is beyond any epoch time
 
+_BLOCK = "struct<level: int, block: bigint>"
 
-def _sequence(level: int, start: str, stop: str) -> str:
+
+def _run(start: str, stop: str) -> str:
     return (
         f"transform(if({start} < {stop}, sequence({start}, {stop} - 1), cast(array() as array<bigint>)), "
-        f"k -> struct({level} as level, k as block))"
+        f"k -> struct(l as level, k as block))"
     )
 
 
-def _level_blocks(level: int) -> str:
-    """Blocks kept at this level: all of [a, b), or what no whole parent covers."""
-    a, b = f"_a{level}", f"_b{level}"
-    if level == LEVELS:
-        return _sequence(level, a, b)
-    up = f"cast(ceil({a} / {BASE}D) * {BASE} as bigint)"
-    down = f"cast(floor({b} / {BASE}D) * {BASE} as bigint)"
+def _cover(lo: str, hi: str) -> str:
+    """Blocks covering [lo, hi]: per level those that no whole parent covers."""
+    up = f"cast(ceil(s.a / {BASE}D) as bigint)"
+    down = f"cast(floor(s.b / {BASE}D) as bigint)"
+    all_here = f"named_struct('a', 0L, 'b', 0L, 'out', concat(s.out, {_run('s.a', 's.b')}))"
+    edges = f"concat(s.out, {_run('s.a', f'{up} * {BASE}')}, {_run(f'{down} * {BASE}', 's.b')})"
+    pass_up = f"named_struct('a', {up}, 'b', {down}, 'out', {edges})"
+    last = f"l = {LEVELS} or {up} >= {down}"
     return (
-        f"if({up} >= {down}, {_sequence(level, a, b)}, "
-        f"concat({_sequence(level, a, up)}, {_sequence(level, down, b)}))"
+        f"aggregate(sequence(1, {LEVELS}), named_struct('a', cast(floor({lo} / {UNIT}) as bigint), "
+        f"'b', cast(floor({hi} / {UNIT}) as bigint) + 1, 'out', cast(array() as array<{_BLOCK}>)), "
+        f"(s, l) -> if(s.a >= s.b, s, if({last}, {all_here}, {pass_up})), s -> s.out)"
     )
 
 
 def with_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
     """One row per covering block of [lo, hi]; adds ``_level`` and ``_block``."""
-    cur = df.selectExpr(
-        "*", f"cast(floor({lo} / {BASE}) as bigint) as _a1", f"cast(floor({hi} / {BASE}) as bigint) + 1 as _b1"
-    )
-    for level in range(1, LEVELS):
-        av, bv = f"_a{level}", f"_b{level}"
-        up = f"cast(ceil({av} / {BASE}D) as bigint)"
-        down = f"cast(floor({bv} / {BASE}D) as bigint)"
-        stop = f"({up} >= {down})"
-        cur = cur.selectExpr(
-            "*", f"if({stop}, 0L, {up}) as _a{level + 1}", f"if({stop}, 0L, {down}) as _b{level + 1}"
-        )
-    cur = cur.withColumn("_blk", F.explode(F.expr("concat(" + ", ".join(map(_level_blocks, range(1, LEVELS + 1))) + ")")))
-    return cur.select(*df.columns, F.col("_blk.level").alias("_level"), F.col("_blk.block").alias("_block"))
+    return df.selectExpr("*", f"inline({_cover(lo, hi)}) as (_level, _block)")
 
 
 def point_blocks(df: DataFrame, t: str) -> DataFrame:
     blocks = ", ".join(
-        f"struct({k} as level, cast(floor({t} / {BASE ** k}D) as bigint) as block)" for k in range(1, LEVELS + 1)
-    )
-    return df.withColumn("_blk", F.explode(F.expr(f"array({blocks})"))).select(
-        *df.columns, F.col("_blk.level").alias("_level"), F.col("_blk.block").alias("_block")
+        f"struct({k} as level, cast(floor({t} / {float(UNIT * BASE ** (k - 1))!r}D) as bigint) as block)"
+        for k in range(1, LEVELS + 1)
     )
+    return df.selectExpr("*", f"inline(array({blocks})) as (_level, _block)")
 
 
 def stab_join(
