@@ -123,7 +123,7 @@ def live_steps(calls: DataFrame) -> DataFrame:
         "array_join(transform(filter(resp_items, x -> x.kind = 'message'), x -> x.text), '') as message",
         "transform(filter(resp_items, x -> x.kind = 'tool_call'), x -> x.call_id) as call_ids",
     )
-    return c.groupBy("session_id").transformWithStateInPandas(LiveSteps(), LIVE_SCHEMA, "Append", "None")
+    return c.groupBy("session_id").transformWithStateInPandas(LiveSteps(), LIVE_SCHEMA, "Append", "ProcessingTime")
 
 
 def match_hooks(calls: DataFrame, hooks: DataFrame, before: str = "5 seconds", after: str = "120 seconds", delay: str = "10 minutes") -> DataFrame:
