@@ -19,18 +19,19 @@ class Detector:
     min_entropy: float = 0.0
     mixed: bool = False  # token must hold lower case, upper case and a digit
     keep: str = "{}"  # replacement around the placeholder
+    hints: tuple[str, ...] = ()  # every match holds one of these; spares the pattern
 
 
 # The detectors, in the order they are applied.
 _ENV_KEY = r"\b([A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|PWD|CREDENTIAL))\s*=\s*(\"?)"
 DETECTORS = [
-    Detector("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"),
-    Detector("openai_key", r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\b"),
-    Detector("github_token", r"\bgh[pousr]_[A-Za-z0-9]{20,255}\b"),
-    Detector("github_token", r"\bgithub_pat_[A-Za-z0-9_]{20,255}\b"),
-    Detector("slack_token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b"),
-    Detector("aws_access_key_id", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    Detector("bearer_token", r"\bBearer\s+([A-Za-z0-9._~+/=-]{20,})", 1, keep="Bearer {}"),
+    Detector("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", hints=("eyJ",)),
+    Detector("openai_key", r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\b", hints=("sk-",)),
+    Detector("github_token", r"\bgh[pousr]_[A-Za-z0-9]{20,255}\b", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Detector("github_token", r"\bgithub_pat_[A-Za-z0-9_]{20,255}\b", hints=("github_pat_",)),
+    Detector("slack_token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", hints=("xox",)),
+    Detector("aws_access_key_id", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])", hints=("AKIA", "ASIA")),
+    Detector("bearer_token", r"\bBearer\s+([A-Za-z0-9._~+/=-]{20,})", 1, keep="Bearer {}", hints=("Bearer",)),
     Detector(
         "aws_secret_access_key", r"(?<![A-Za-z0-9/+=])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])", 1,
         strict=True, min_entropy=4.0, mixed=True,
@@ -67,9 +68,17 @@ def _passes(d: Detector, t: Column) -> Column:
     return ok
 
 
+def _hinted(d: Detector, text: Column) -> Column:
+    out = F.contains(text, F.lit(d.hints[0]))
+    for h in d.hints[1:]:
+        out = out | F.contains(text, F.lit(h))
+    return out
+
+
 def _tokens(d: Detector, text: Column) -> Column:
     """Tokens of one detector that pass its gate, repeats included."""
-    return F.filter(F.regexp_extract_all(text, F.lit(d.pattern), d.group), lambda t: _passes(d, t))
+    found = F.filter(F.regexp_extract_all(text, F.lit(d.pattern), d.group), lambda t: _passes(d, t))
+    return F.when(_hinted(d, text), found).otherwise(F.array().cast("array<string>")) if d.hints else found
 
 
 def _named(d: Detector, text: Column) -> Column:
@@ -85,7 +94,8 @@ def find(text: Column, mode: str = "standard", detectors: list[Detector] = DETEC
 def _mask(d: Detector, text: Column) -> Column:
     mark = d.keep.format(f"[REDACTED:{d.kind}]")
     if not d.min_entropy:
-        return F.regexp_replace(text, d.pattern, mark)
+        masked = F.regexp_replace(text, d.pattern, mark)
+        return F.when(_hinted(d, text), masked).otherwise(text) if d.hints else masked
 
     def at(token: Column) -> Column:
         """Pattern of the places where this token stands alone."""

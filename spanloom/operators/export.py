@@ -133,8 +133,8 @@ def nest_children(tasks: DataFrame, children: DataFrame) -> DataFrame:
     t = tasks.join(one.select("source_path"), "source_path", "left_semi").withColumn("h", F.xxhash64("prompt"))
     prompts = t.where("prompt <> ''").select("source_path", "prompt", "h").distinct()
     c = children.where("first_user <> ''").select("source_path", "child_no", "first_user")
-    held = contains_join(c, prompts, key, "first_user", "prompt")
-    holds = contains_join(prompts, c, key, "prompt", "first_user")
+    held = contains_join(c, prompts, key, "first_user", "prompt", ["child_no"], ["h"])
+    holds = contains_join(prompts, c, key, "prompt", "first_user", ["h"], ["child_no"])
     cand = held.select("source_path", "h", "child_no").unionByName(holds.select("source_path", "h", "child_no")).distinct()
     n = children.groupBy("source_path").agg((F.max("child_no") + 1).alias("n"))
     rows = (

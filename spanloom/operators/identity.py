@@ -10,7 +10,9 @@ from ..functions.text import collapse
 
 # Fixed value: text scanned of a child's opening.
 CHILD_SCAN_CHARS = 40_000
-GRAMS = (48, 12, 3, 1)
+# Needle length -> (gram length, step): a needle of that length covers ``step``
+# neighbouring grams, one of which starts at a multiple of the step in the text.
+GRAMS = {48: (24, 25), 12: (8, 5), 3: (2, 2), 1: (1, 1)}
 
 
 def marker(system_text: Column) -> Column:
@@ -79,46 +81,52 @@ def spawns(opened_calls: DataFrame) -> DataFrame:
     )
 
 
-def contains_join(texts: DataFrame, needles: DataFrame, keys: list[str], text: str, needle: str) -> DataFrame:
+def contains_join(
+    texts: DataFrame, needles: DataFrame, keys: list[str], text: str, needle: str,
+    text_id: list[str], needle_id: list[str],
+) -> DataFrame:
     """Pairs where the text contains the needle, found through a shared gram.
 
-    A needle is keyed by its first characters; a text offers every gram of that
-    length it holds.  Only texts that share the gram are compared, and the work
-    grows with the length of the texts, not with texts times needles.
+    A text offers its grams at every step, a needle those at its first offsets, so
+    any occurrence meets on one of them.  Grams travel with ids alone; the texts of
+    the candidate pairs are fetched afterwards and compared in full.  The work grows
+    with the length of the texts, not with texts times needles.
     """
-    sized = needles.withColumn("_class", _gram_class(F.length(needle)))
+    sized = needles.withColumn("_class", _needle_class(F.length(needle)))
     classes = [r["_class"] for r in sized.select("_class").distinct().collect()]  # at most len(GRAMS) rows
-    out = None
-    for n in classes or GRAMS[-1:]:
-        need = sized.where(F.col("_class") == n).withColumn("_gram", F.xxhash64(F.substring(_wide(needle), F.lit(1), F.lit(4 * n))))
+    found = None
+    for size in classes or [1]:
+        n, step = GRAMS[size]
+        need = sized.where(F.col("_class") == size)
         # Texts of keys without needles of this class are not opened at all.
         wanted = texts.join(need.select(*keys).distinct(), keys, "left_semi") if keys else texts
-        grams = _grams(text, n)
-        hit = wanted.withColumn("_gram", F.explode(grams)).join(need, [*keys, "_gram"])
-        hit = hit.where(F.contains(F.col(text), F.col(needle))).drop("_gram", "_class")
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def _wide(text: str) -> Column:
-    """Four bytes per character, so that a stretch is cut out in constant time."""
-    return F.encode(F.col(text), "UTF-32")
-
-
-def _grams(text: str, n: int) -> Column:
-    """Hashes of all stretches of n characters of the text."""
-    last = F.greatest(F.length(text) - n + 1, F.lit(1))
-
+        ends = F.floor((F.length(text) - n) / step)
+        places = F.when(ends >= 0, F.transform(F.sequence(F.lit(0), F.greatest(ends, F.lit(0))), lambda i: i * step))
+        offered = wanted.select(*keys, *text_id, F.explode(_grams(text, n, places)).alias("_gram"))
+        offsets = F.sequence(F.lit(0), F.lit(step - 1))
+        sought = need.select(*keys, *needle_id, F.explode(_grams(needle, n, offsets)).alias("_gram"))
+        hit = offered.join(sought, [*keys, "_gram"]).select(*keys, *text_id, *needle_id)
+        found = hit if found is None else found.unionByName(hit)
+    pairs = found.distinct()
+    whole = pairs.join(needles, [*keys, *needle_id]).join(texts, [*keys, *text_id])
+    return whole.where(F.contains(F.col(text), F.col(needle)))
+
+
+def _grams(text: str, n: int, places: Column) -> Column:
+    """Hashes of the stretches of n characters at the places (from 0).
+
+    Four bytes per character, so that a stretch is cut out in constant time.
+    """
     def cut(wide: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * n))))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(wide, i.cast("int") * 4 + 1, F.lit(4 * n))))
 
-    return F.array_distinct(F.flatten(F.transform(F.array(_wide(text)), cut)))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(F.col(text), "UTF-32")), cut)))
 
 
-def _gram_class(length: Column) -> Column:
-    out = F.lit(GRAMS[-1])
-    for n in reversed(GRAMS[:-1]):
-        out = F.when(length >= n, F.lit(n)).otherwise(out)
+def _needle_class(length: Column) -> Column:
+    out = F.lit(1)
+    for size in sorted(GRAMS)[1:]:
+        out = F.when(length >= size, F.lit(size)).otherwise(out)
     return out
 
 
@@ -130,7 +138,10 @@ def name_subagents(opened_calls: DataFrame) -> DataFrame:
     """
     ids = ["source_path", "block_start", "row_id"]
     child = opened_calls.where("is_subagent and opening <> ''").select(*ids, "opening")
-    hits = contains_join(child, spawns(opened_calls), ["source_path"], "opening", "prompt")
+    named = spawns(opened_calls).withColumn("prompt_id", F.xxhash64("prompt"))
+    hits = contains_join(
+        child, named, ["source_path"], "opening", "prompt", ["block_start", "row_id"], ["prompt_id"]
+    )
     rank = F.struct(-F.length("prompt"), F.col("first_at"))
     best = hits.groupBy(*ids).agg(
         F.min_by("label", rank).alias("agent_label"), F.min_by("agent_type", rank).alias("agent_type")

@@ -85,7 +85,7 @@ def index_sizes(spark, sf):
 # -- secrets in documents ---------------------------------------------------------
 
 # The documents' own kind of secret, beside the built-in detectors.
-_ASSIGNED = [*DETECTORS, Detector("assigned_token", r'token = "([0-9a-fA-F]{40})"', 1, keep='token = "{}"')]
+_ASSIGNED = [*DETECTORS, Detector("assigned_token", r'token = "([0-9a-fA-F]{40})"', 1, keep='token = "{}"', hints=('token = "',))]
 _FOUND = """f AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(text, 'token = "([0-9a-fA-F]{40})"', 1)) AS token FROM documents)"""
 
 
@@ -136,7 +136,7 @@ def name_entropy(spark, sf):
 def passages(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", "text")
     b = V.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage")).where("passage <> ''")
-    return N.contains_join(d, b, [], "text", "passage").select("doc_id", "item_id")
+    return N.contains_join(d, b, [], "text", "passage", ["doc_id"], ["item_id"]).select("doc_id", "item_id")
 
 
 @query("subagent_marker", """SELECT event_id, event_id % 2 = 0 AS is_subagent FROM events""")

@@ -279,4 +279,6 @@ def pair_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """The calls table, written once as the ingest does; later branches read columns of it."""
-    return written(normalize_pairs(parse_pairs(pair_lines(spark, sf))), "calls")
+    lines = pair_lines(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_path")
+    lines = lines.sortWithinPartitions("source_path", "block_start", "row_id")
+    return written(normalize_pairs(parse_pairs(lines)), "calls")
