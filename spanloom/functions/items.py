@@ -35,6 +35,15 @@ def read(text: str, schema: str) -> str:
     return f"from_json({text}, '{schema}')"
 
 
+def content_list(text: str) -> str:
+    """The content of an object when it is a list, else NULL.
+
+    Texts are compact JSON, where quotes inside strings are escaped, so the test
+    spares a second reading of every object whose content is plain.
+    """
+    return f"if(instr({text}, '\"content\":[') > 0, {read(text, CONTENTS)}.content, null)"
+
+
 def or_empty(x: str) -> str:
     return f"coalesce({x}, '')"
 
@@ -112,14 +121,17 @@ def block_answer(blocks: str) -> str:
 
 
 def message_items(messages: str) -> str:
-    head = read("msg", "role string, content string")
-    opened = f"transform({messages}, msg -> struct({head} as h, {read('msg', CONTENTS)}.content as blocks))"
+    listed = "instr(msg, '\"content\":[') > 0"
+    opened = (
+        f"transform({messages}, msg -> struct(if({listed}, {read('msg', 'role string, content array<string>')}, null) as l, "
+        f"if({listed}, null, {read('msg', 'role string, content string')}) as h))"
+    )
     plain = "array(to_json(named_struct('type', 'text', 'text', m.h.content)))"
-    blocks = f"coalesce(m.blocks, if(m.h.content is null, {NO_TEXTS}, {plain}))"
+    blocks = f"coalesce(m.l.content, if(m.h.content is null, {NO_TEXTS}, {plain}))"
     spread = (
         f"flatten(transform({opened}, m -> transform({blocks}, blk -> struct("
-        f"coalesce(m.h.role = 'assistant', false) as asst, {read('blk', BLOCK)} as b, "
-        f"{read('blk', CONTENTS)}.content as parts))))"
+        f"coalesce(coalesce(m.l.role, m.h.role) = 'assistant', false) as asst, {read('blk', BLOCK)} as b, "
+        f"{content_list('blk')} as parts))))"
     )
     return kept(f"transform({spread}, s -> if(s.asst, {assistant_block('s.b')}, {user_block('s.b', 's.parts')}))")
 
@@ -153,7 +165,7 @@ def entry_item(e: str, parts: str) -> str:
 
 
 def entry_items(entries: str) -> str:
-    opened = f"transform({entries}, ent -> struct({read('ent', ENTRY)} as e, {read('ent', CONTENTS)}.content as parts))"
+    opened = f"transform({entries}, ent -> struct({read('ent', ENTRY)} as e, {content_list('ent')} as parts))"
     return kept(f"transform({opened}, o -> {entry_item('o.e', 'o.parts')})")
 
 

@@ -159,7 +159,7 @@ def unfinished_items(ev: str) -> str:
         f"'name', {I.last_of(ev, f'e.ev = {chr(39)}{args_event}{chr(39)} and {own}', 'e.j.name')}))"
     )
     seed = "coalesce(g.done, g.added)"
-    opened = f"{I.read(seed, I.ENTRY)} as e, {I.read(seed, I.CONTENTS)}.content as parts"
+    opened = f"{I.read(seed, I.ENTRY)} as e, {I.content_list(seed)} as parts"
     seeded = f"transform(transform({gathered}, g -> struct(g, {opened})), w -> struct(w.g as g, {I.entry_item('w.e', 'w.parts')} as s))"
     grown_args = I.minified("concat(coalesce(w.s.args, ''), w.g.args)")
     keep = ("w.s.kind", "w.s.role", "w.s.text", "w.s.call_id", "w.s.name", "w.s.args")

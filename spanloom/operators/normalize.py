@@ -89,7 +89,7 @@ def _session_key() -> str:
         f"(k, v) -> if(k = 'text', {stable('v', VOLATILE_MESSAGES)}, v))))"
     )
     system = f"coalesce({blocks}, {stable('b.system', VOLATILE_MESSAGES)})"
-    entry = f"struct({I.read('x', 'role string, content string')} as e, {I.read('x', I.CONTENTS)}.content as parts)"
+    entry = f"struct({I.read('x', 'role string, content string')} as e, {I.content_list('x')} as parts)"
     users = f"filter(transform(b.input, x -> {entry}), o -> o.e.role = 'user')"
     first_entry = f"get(transform(slice({users}, 1, 1), o -> {I.text_or_parts('o.e.content', 'o.parts')}), 0)"
     spoken = (
@@ -124,7 +124,7 @@ def normalize_pairs(pairs: DataFrame) -> DataFrame:
     )
     p = p.selectExpr(
         "*",
-        f"{I.read('request.body', 'system array<string>')}.system as system_blocks",
+        f"if(instr(request.body, '\"system\":[') > 0 and b.system like '[%', {I.read('b.system', 'array<string>')}, null) as system_blocks",
         "coalesce(b.systemInstruction, b.system_instruction) as si",
         f"{_model()} as req_model",
         "response.body as rbody",
