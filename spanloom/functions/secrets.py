@@ -113,10 +113,15 @@ def _mask(d: Detector, text: Column) -> Column:
 def redact(text: Column, mode: str = "standard", detectors: list[Detector] = DETECTORS) -> Column:
     """Text with every secret replaced by a typed placeholder."""
     for d in active(mode, detectors):
-        text = _mask(d, text)
+        text = _once(text, d)
     return text
 
 
+def _once(text: Column, d: Detector) -> Column:
+    """Mask with the text bound to a name, so that it is computed once per detector."""
+    return F.get(F.transform(F.array(text), lambda t: _mask(d, t)), F.lit(0))
+
+
 def fingerprint(token: Column) -> Column:
     return F.substring(F.sha2(token, 256), 1, 12)
 
