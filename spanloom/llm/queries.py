@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_planes, packing, simhash
+from . import bit_planes, classifier_chain, fm_index, packing, simhash, zstd_language
 from .common import checkpoint_dir, ready, table
 
 QUERIES = {}
@@ -32,11 +32,67 @@ def op2_bit_planes(spark, sf_dir):
     return bit_planes.read_planes(spark, path)
 
 
+@query
+def op3_fm_index(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fm_index.report(
+        fm_index.find_phrases(documents, table(spark, sf_dir, "benchmark"), columns=["doc_id"]))
+
+
+ORACLES["op3_fm_index"] = r"""
+with split as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), sized as (select distinct least(len(w), 10) as n from split where kind = 'b' and len(w) > 0),
+phrases as (
+  select distinct id as item_id, n, array_to_string(w[k:k + n - 1], ' ') as phrase
+  from (select id, w, least(len(w), 10) as n from split where kind = 'b' and len(w) > 0) b,
+       unnest(range(1, len(w) - n + 2)) as t(k)
+), windows as (
+  select id as doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') as phrase
+  from (select id, w, n from split, sized where kind = 'd' and len(w) >= n) d, unnest(range(1, len(w) - n + 2)) as t(k)
+), met as (select w.doc_id, w.k, w.n, p.item_id from windows w join phrases p using (n, phrase)),
+hits as (select doc_id, count(distinct j) as n_hit from met, unnest(range(k, k + n)) as t(j) group by doc_id),
+items as (
+  select doc_id, count(distinct item_id) as n_items,
+         string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as listed
+  from met group by doc_id
+)
+select d.id as doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit,
+       coalesce(i.n_items, 0)::bigint as n_items, sha256(coalesce(i.listed, '')) as items_sha256,
+       coalesce(h.n_hit, 0) > 0 as contaminated
+from split d left join hits h on h.doc_id = d.id left join items i on i.doc_id = d.id where d.kind = 'd'
+""".replace("\\\\", "\\")
+
+
 @query
 def op6_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_zstd_language(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    made = zstd_language.train(documents.where(fold != 1))
+    found = zstd_language.identify(documents, made)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_classifier_chain(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    categories = ["quality", "toxic"]
+    chain = classifier_chain.train(documents, table(spark, sf_dir, "labels"), categories)
+    return classifier_chain.score(documents, chain, categories).select(
+        "doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 @query
 def op10_packing(spark, sf_dir):
     placed = packing.pack_documents(
