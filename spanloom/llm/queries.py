@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_planes, classifier_chain, fm_index, packing, simhash, zstd_language
+from . import (
+    bit_planes, classifier_chain, fm_index, packing, preferences, rare_features, simhash, zstd_language,
+)
 from .common import checkpoint_dir, ready, table
 
 QUERIES = {}
@@ -24,6 +26,40 @@ def query(fn):
     return fn
 
 
+@query
+def op1_preferences(spark, sf_dir):
+    """Masks as text ("12-" not trained, "40+" trained) so that they compare as values."""
+    made = preferences.format_preferences(
+        preferences.continued_pairs(table(spark, sf_dir, "conversations")), ["conv_id"])
+
+    def runs(mask):
+        return F.array_join(
+            F.transform(mask, lambda m: F.concat(m["chars"].cast("string"), F.when(m["trained"], "+").otherwise("-"))), " ")
+
+    return made.withColumns({c: runs(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+ORACLES["op1_preferences"] = """
+with whole as (
+  select conv_id, list({'role': role, 'text': text} order by turn nulls first, role nulls first, text nulls first) as c
+  from conversations where conv_id is not null group by conv_id
+), pairs as (
+  select a.conv_id, a.c, list_concat(a.c[1:len(a.c) // 2], coalesce(b.c[len(a.c) // 2 + 1:], [])) as r
+  from whole a left join whole b on b.conv_id = a.conv_id + 1
+), cut as (
+  select *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] is distinct from r[i])) - 1,
+                     least(len(c), len(r))) as n from pairs
+), parts as (select conv_id, n, c[1:n] as p, c[n + 1:] as c, r[n + 1:] as r from cut)
+select conv_id, n::bigint as n_shared,
+  coalesce(array_to_string(list_transform(p, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), ''), '') as prompt,
+  coalesce(array_to_string(list_transform(c, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), ''), '') as chosen_completion,
+  coalesce(array_to_string(list_transform(r, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), ''), '') as rejected_completion,
+  coalesce(array_to_string(list_transform(c, lambda t: (length(coalesce(t.role, '')) + 5) || '- ' || (length(coalesce(t.text, '')) + 8) || if(t.role = 'assistant', '+', '-')), ' '), '') as chosen_mask,
+  coalesce(array_to_string(list_transform(r, lambda t: (length(coalesce(t.role, '')) + 5) || '- ' || (length(coalesce(t.text, '')) + 8) || if(t.role = 'assistant', '+', '-')), ' '), '') as rejected_mask
+from parts
+"""
+
+
 @query
 def op2_bit_planes(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/planes-{uuid.uuid4().hex}"
@@ -70,6 +106,11 @@ from split d left join hits h on h.doc_id = d.id left join items i on i.doc_id =
 """.replace("\\\\", "\\")
 
 
+@query
+def op5_rare_features(spark, sf_dir):
+    return rare_features.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))

@@ -7,6 +7,8 @@ smallest is chosen, and a choice with a narrow margin is rejected.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -18,8 +20,15 @@ from .common import pieces
 DICTIONARY_BYTES = 96 << 10
 SAMPLE_DOCS = 256
 MARGIN = 0.01
-_PIECE = 4096
-_LEVEL = 3
+_PIECE = 2048
+_LEVEL = 9
+_SHARE = 1024  # bytes of one document in a dictionary
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Small letters with single blanks: case, digits and marks say little about a language."""
+    return _OTHER.sub(" ", text.lower())
 
 
 def train(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -37,15 +46,14 @@ def train(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, size: int = DI
         return {}
     spark = labelled.sparkSession
     chosen = spark.createDataFrame(first, "lang string, doc_id long, n int")
-    # sample_docs ids a language: small whatever the input; texts are cut to a dictionary's share
-    share = F.substring(F.lower("text"), 1, size)
+    # sample_docs ids a language: small whatever the input
     texts = labelled.where("text is not null").join(F.broadcast(chosen), ["lang", "doc_id"]).select(
-        "lang", "n", share.alias("text")).collect()
+        "lang", "n", F.substring("text", 1, 4 * _SHARE).alias("text")).collect()
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in texts}):
         held, room = [], size
         for r in sorted((r for r in texts if r["lang"] == lang), key=lambda r: (r["n"], r["text"])):
-            part = r["text"].encode()[:min(room, size // 16)]
+            part = letters(r["text"]).encode()[:min(room, _SHARE)]
             held.append(part)
             room -= len(part)
         content = b" ".join(held)
@@ -79,7 +87,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, margin: float =
                 if not made or text is None or not any(map(str.isalpha, text)):
                     out.append(("und", 0.0, True))
                     continue
-                raw = text.lower().encode()
+                raw = letters(text).encode()
                 cuts = [raw[k:k + _PIECE] for k in range(0, len(raw), _PIECE)]
                 sizes = np.array([sum(len(pack(c)) for c in cuts) for pack in made], float)
                 best = int(sizes.argmin())
