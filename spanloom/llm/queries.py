@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bit_planes, classifier_chain, fm_index, packing, preferences, rare_features, simhash, zstd_language,
+    backoff, bit_planes, classifier_chain, fm_index, packing, preferences, rare_features, simhash, zstd_language,
 )
 from .common import checkpoint_dir, ready, table
 
@@ -134,6 +134,37 @@ def op8_classifier_chain(spark, sf_dir):
         "doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+@query
+def op9_backoff(spark, sf_dir):
+    return backoff.score_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_backoff"] = r"""
+with split as (
+  select doc_id, row_number() over () as r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), one as (select doc_id, r, i, w[i] as c, if(i > 1, w[i - 1], null) as b, if(i > 2, w[i - 2], null) as a
+           from split, unnest(range(1, len(w) + 1)) as t(i)),
+c1 as (select c, count(*) as n from one group by c),
+c2 as (select b, c, count(*) as n from one where b is not null group by b, c),
+c3 as (select a, b, c, count(*) as n from one where a is not null group by a, b, c),
+total as (select count(*) as n from one),
+scored as (
+  select o.r, round(1000000 * case
+      when c3.n >= 2 then ln(c3.n / ab.n::double)
+      when c2.n >= 2 then ln(c2.n / b.n::double) + ln(0.4)
+      else ln(c1.n / total.n::double) + 2 * ln(0.4) end)::bigint as s
+  from one o cross join total join c1 on c1.c = o.c
+  left join c1 b on b.c = o.b left join c2 on c2.b = o.b and c2.c = o.c
+  left join c2 ab on ab.b = o.a and ab.c = o.b
+  left join c3 on c3.a = o.a and c3.b = o.b and c3.c = o.c
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(sum(s.s), 0)::bigint as micro_score
+from split d left join scored s on s.r = d.r group by d.r, d.doc_id, d.w
+""".replace("\\\\", "\\")
+
+
 @query
 def op10_packing(spark, sf_dir):
     placed = packing.pack_documents(
