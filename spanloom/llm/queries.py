@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    backoff, bit_planes, classifier_chain, fm_index, packing, preferences, rare_features, simhash, zstd_language,
+    backoff, bit_planes, classifier_chain, compact_windows, fm_index, packing, preferences, rare_features, simhash,
+    zstd_language,
 )
 from .common import checkpoint_dir, ready, table
 
@@ -106,6 +107,11 @@ from split d left join hits h on h.doc_id = d.id left join items i on i.doc_id =
 """.replace("\\\\", "\\")
 
 
+@query
+def op4_compact_windows(spark, sf_dir):
+    return compact_windows.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_rare_features(spark, sf_dir):
     return rare_features.compare_with_next(table(spark, sf_dir, "documents"))
