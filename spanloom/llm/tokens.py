@@ -10,13 +10,14 @@ blanks before a word, characters that are not composed) are encoded whole.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 _WIDE = re.compile(r"\s\s\S")
 
 
@@ -120,5 +121,9 @@ class Encoder:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> Encoder:
-    """One encoder per worker process, so that its cache outlives a batch."""
+    """One encoder per worker process, so that its cache outlives a batch.
+
+    One thread: Spark runs a task on each core already.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, kind)
