@@ -334,7 +334,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated passages; a text without one is unchanged."""
     found = written(merged_passages(repeated_passages(docs, **options)).select("doc_id", "spans"), "passages")
-    kept = [c for c in docs.columns if c != "text"]
+    columns = docs.columns
+    kept = [c for c in columns if c != "text"]
     met = zipped(docs, kept).join(found, "doc_id", "left").select(*kept, "_z", "spans")
 
     def run(batches):
@@ -347,6 +348,6 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                     t = cut_spans(t, [(s["first"], min(s["last"], n - 1)) for s in spans if s["first"] < n])
                 texts.append(t)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in docs.columns], names=docs.columns)
+                [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
 
     return met.mapInArrow(run, docs.schema)
