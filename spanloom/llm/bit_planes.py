@@ -113,7 +113,7 @@ def write_planes(
         if held_ids:
             yield pa.RecordBatch.from_pylist([emit(b"".join(held))], _ARROW)
 
-    ordered = zipped(docs, ["doc_id"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_z")
+    ordered = zipped(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_z")
     ordered.mapInArrow(run, _CHUNKS).write.parquet(f"{path}/chunks")
     spark = docs.sparkSession
     index = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "first_id", "n_ids", "plane_sizes")

@@ -335,8 +335,9 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated passages; a text without one is unchanged."""
     found = written(merged_passages(repeated_passages(docs, **options)).select("doc_id", "spans"), "passages")
     columns = docs.columns
-    kept = [c for c in columns if c != "text"]
-    met = zipped(docs, kept).join(found, "doc_id", "left").select(*kept, "_z", "spans")
+    hidden = [c if c in ("doc_id", "text") else f"_c{k}" for k, c in enumerate(columns)]  # no clash with spans
+    kept = [c for c in hidden if c != "text"]
+    met = zipped(docs.toDF(*hidden), kept).join(found, "doc_id", "left").select(*kept, "_z", "spans")
 
     def run(batches):
         for b in pieces(batches, "_z", 1 << 20):
@@ -348,6 +349,6 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                     t = cut_spans(t, [(s["first"], min(s["last"], n - 1)) for s in spans if s["first"] < n])
                 texts.append(t)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
+                [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in hidden], names=columns)
 
     return met.mapInArrow(run, docs.schema)

@@ -231,16 +231,16 @@ def report(found: DataFrame) -> DataFrame:
 
 def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the merged spans cut out of ``text``; clean texts are unchanged."""
-    found = find_phrases(docs, items, window)
     columns = docs.columns
+    hidden = [c if c == "text" else f"_c{k}" for k, c in enumerate(columns)]  # no clash with spans and items
+    found = find_phrases(docs.toDF(*hidden), items, window)
 
     def run(batches):
         for b in batches:
             texts = [
                 cut_spans(t, [(x["first"], x["last"]) for x in s]) if s else t
                 for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
-            cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns]
+            cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in hidden]
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return found.select(*columns, "spans").mapInArrow(run, docs.schema)
-
+    return found.select(*hidden, "spans").mapInArrow(run, docs.schema)

@@ -10,7 +10,6 @@ are independent; the last bins of a group are the only ones far from full.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,10 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+_FIRST = ["doc_id", "start", "length", "doc_tokens"]
+_PLACE = ["sequence_id", "offset"]
+
+
 class Tournament:
     """Free room of bins; finds the leftmost bin with at least a given room."""
 
@@ -81,7 +84,7 @@ def token_pieces(
                 [pa.array(c, t) for c, t in zip(zip(*out), [*[pa.int64()] * 4, pa.binary()])],
                 names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
 
 
 def pack(found: DataFrame, *, groups: int, length: int = 2048, seed: int = 7) -> DataFrame:
@@ -92,16 +95,14 @@ def pack(found: DataFrame, *, groups: int, length: int = 2048, seed: int = 7) ->
     offset; it holds at most ``length`` ids and nothing is dropped.
     """
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(frame["length"].tolist(), length)
-        frame["sequence_id"] = np.array(bins, np.int64) + (int(key[0]) << 32)
-        frame["offset"] = np.array(offsets, np.int64)
-        return frame[["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]]
+    def run(key, t):
+        t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending")])
+        bins, offsets = first_fit_decreasing(t.column("length").to_pylist(), length)
+        placed = [pa.array(np.array(bins, np.int64) + (key[0].as_py() << 32)), pa.array(offsets, pa.int64())]
+        return pa.table([*[t.column(c) for c in _FIRST], *placed, t.column("ids")], names=[*_FIRST, *_PLACE, "ids"])
 
     group = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups))
-    return found.withColumn("_group", group).groupBy("_group").applyInPandas(
-        lambda key, frame: run(key, frame.drop(columns="_group")), _PACKED)
+    return found.withColumn("_group", group).groupBy("_group").applyInArrow(run, _PACKED)
 
 
 def pack_documents(

@@ -47,19 +47,20 @@ def format_preferences(pairs: DataFrame, keys: list[str]) -> DataFrame:
     other columns are left out.  No shuffle.
     """
     none = F.array().cast(_TURN)
+    own = [F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]  # no clash with the names below
     both = pairs.select(
-        *keys, F.coalesce(F.col("chosen").cast(_TURN), none).alias("c"),
-        F.coalesce(F.col("rejected").cast(_TURN), none).alias("r"))
+        *own, F.coalesce(F.col("chosen").cast(_TURN), none).alias("_c"),
+        F.coalesce(F.col("rejected").cast(_TURN), none).alias("_r"))
     differs = F.transform(
-        F.arrays_zip("c", "r"), lambda z, i: F.when(~z["c"].eqNullSafe(z["r"]), i))
-    shorter = F.least(F.size("c"), F.size("r"))
-    both = both.withColumn("n_shared", F.least(shorter, F.coalesce(F.array_min(differs), shorter)))
-    rest = lambda c: F.slice(c, F.col("n_shared") + 1, F.size(c))
+        F.arrays_zip("_c", "_r"), lambda z, i: F.when(~z["_c"].eqNullSafe(z["_r"]), i))
+    shorter = F.least(F.size("_c"), F.size("_r"))
+    both = both.withColumn("_n", F.least(shorter, F.coalesce(F.array_min(differs), shorter)))
+    rest = lambda c: F.slice(c, F.col("_n") + 1, F.size(c))
     return both.select(
-        *keys, F.col("n_shared").cast("long").alias("n_shared"),
-        _render(F.slice("c", F.lit(1), F.col("n_shared"))).alias("prompt"),
-        _render(rest("c")).alias("chosen_completion"), _mask(rest("c")).alias("chosen_mask"),
-        _render(rest("r")).alias("rejected_completion"), _mask(rest("r")).alias("rejected_mask"))
+        *[F.col(f"_k{n}").alias(k) for n, k in enumerate(keys)], F.col("_n").cast("long").alias("n_shared"),
+        _render(F.slice("_c", F.lit(1), F.col("_n"))).alias("prompt"),
+        _render(rest("_c")).alias("chosen_completion"), _mask(rest("_c")).alias("chosen_mask"),
+        _render(rest("_r")).alias("rejected_completion"), _mask(rest("_r")).alias("rejected_mask"))
 
 
 def continued_pairs(turns: DataFrame) -> DataFrame:
