@@ -9,7 +9,6 @@ uncertain as they are on new documents.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,51 +26,55 @@ OPENINGS = (4, 5)
 _FLOOR = 4.0  # standard errors by which a feature's shares must differ
 
 
-def features(text: str | None) -> set[bytes]:
-    """Distinct words of a text, and their openings of 4 and 5 bytes (marked by a blank)."""
-    found = set(words(text))
-    return found.union(*({b" " + w[:n] for w in found if len(w) > n} for n in OPENINGS))
+def word_features(word: bytes) -> list[int]:
+    """Numbers of a word and of its openings of 4 and 5 bytes (told apart by a blank)."""
+    return [zlib.crc32(word), *[zlib.crc32(b" " + word[:n]) for n in OPENINGS if len(word) > n]]
+
+
+def features(text: str | None) -> np.ndarray:
+    """Distinct features of a text, ascending."""
+    return np.unique(np.array([f for w in set(words(text)) for f in word_features(w)], np.uint32))
 
 
 @dataclass
 class Linear:
-    """Logistic model: weights of binary features, then of earlier probabilities, then a constant."""
+    """Logistic model: weights of binary features (ascending), then of earlier probabilities, then a constant."""
 
-    names: dict[bytes, int] = field(default_factory=dict)
+    names: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def probability(self, columns: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(columns @ self.weights, -30, 30)))
 
 
-def _matrix(names: dict[bytes, int], docs: list[set[bytes]], earlier: np.ndarray) -> np.ndarray:
+def _matrix(names: np.ndarray, docs: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
     out = np.zeros((len(docs), len(names) + earlier.shape[1] + 1))
-    get = names.get
-    for row, d in zip(out, docs):
-        row[[k for k in map(get, d) if k is not None]] = 1
+    if len(names) and docs:
+        every = np.concatenate(docs)
+        at = np.minimum(np.searchsorted(names, every), len(names) - 1)
+        known = names[at] == every
+        out[np.repeat(np.arange(len(docs)), [len(d) for d in docs])[known], at[known]] = 1
     out[:, len(names):-1] = earlier
     out[:, -1] = 1
     return out
 
 
-def fit_linear(docs: list[set[bytes]], y: np.ndarray, earlier: np.ndarray, limit: int = FEATURES) -> Linear:
+def fit_linear(docs: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, limit: int = FEATURES) -> Linear:
     """Keep the features whose document shares differ most between classes, then Newton steps with a ridge."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     model = Linear(weights=np.zeros(earlier.shape[1] + 1))
     if not n1 or not n0:  # one class only, or no row
         model.weights[-1] = 20.0 if n1 else -20.0
         return model
-    inside, outside = Counter(), Counter()
-    for d, one in zip(docs, y):
-        (inside if one else outside).update(d)
-    score = []
-    for f in inside.keys() | outside.keys():
-        a, b = inside[f] / n1, outside[f] / n0
-        p = (inside[f] + outside[f]) / (n1 + n0)
-        z = abs(a - b) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        if z >= _FLOOR and inside[f] + outside[f] >= 5:
-            score.append((-z, f))
-    names = {f: k for k, (_, f) in enumerate(sorted(score)[:limit])}
+    every, total = np.unique(np.concatenate(docs), return_counts=True)
+    ones = np.zeros(len(every))
+    mine, count = np.unique(np.concatenate([d for d, one in zip(docs, y) if one]), return_counts=True)
+    ones[np.searchsorted(every, mine)] = count
+    share = total / (n1 + n0)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    z = np.abs(ones / n1 - (total - ones) / n0) / spread
+    fit = np.flatnonzero((z >= _FLOOR) & (total >= 5))
+    names = np.sort(every[fit[np.argsort(-z[fit], kind="stable")[:limit]]])
     x = _matrix(names, docs, earlier)
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
     ridge[-1] = 1e-3
@@ -84,7 +87,7 @@ def fit_linear(docs: list[set[bytes]], y: np.ndarray, earlier: np.ndarray, limit
     return Linear(names, w)
 
 
-def fit_chain(docs: list[set[bytes]], labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[Linear]:
+def fit_chain(docs: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """One model per column of ``labels``; ``fold`` deals rows to folds."""
     earlier = np.zeros((len(docs), 0))
     chain = []
@@ -112,14 +115,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows
 
     def run(batches):
         for b in pieces(batches, "text"):
-            bags = [b"\n".join(sorted(features(t))) for t in b.column("text").to_pylist()]
+            bags = [features(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
 
     chosen = F.broadcast(docs.sparkSession.createDataFrame(first.collect(), first.schema))
     got = docs.select("doc_id", "text").join(chosen, "doc_id").select(
         "doc_id", F.array(*[f"_y{k}" for k in range(len(categories))]).alias("y"), "text")
     table = got.mapInArrow(run, "doc_id long, y array<int>, bag binary").toArrow().sort_by("doc_id")
-    bags = [set(x.split(b"\n")) - {b""} for x in table.column("bag").to_pylist()]
+    bags = [np.frombuffer(x, np.uint32) for x in table.column("bag").to_pylist()]
     y = np.array(table.column("y").to_pylist(), float).reshape(len(bags), len(categories))
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in table.column("doc_id").to_pylist()])
     return fit_chain(bags, y, fold)
@@ -138,22 +141,22 @@ def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFr
     def run(batches):
         models = shared.value
         memo: dict[bytes, list] = {}
-        use = {f for m in models for f in m.names}
+        use = {int(f) for m in models for f in m.names}
 
         def known(w):
-            if len(memo) > 500_000:
+            if len(memo) > 300_000:
                 memo.clear()
-            hit = memo[w] = [f for f in (w, *[b" " + w[:n] for n in OPENINGS if len(w) > n]) if f in use]
+            hit = memo[w] = [f for f in word_features(w) if f in use]
             return hit
 
         for b in pieces(batches, "text"):
             bags = []
             for t in b.column("text").to_pylist():
-                bag: set[bytes] = set()
+                bag: set[int] = set()
                 for w in set(words(t)):
                     hit = memo.get(w)
                     bag.update(known(w) if hit is None else hit)
-                bags.append(bag)
+                bags.append(np.array(sorted(bag), np.uint32))
             earlier = np.zeros((len(bags), 0))
             for m in models:
                 earlier = np.column_stack([earlier, m.probability(_matrix(m.names, bags, earlier))])

@@ -347,7 +347,7 @@ def test_toxic_documents_are_found_and_clean_ones_kept(spark, awkward, nothing):
 
 
 def test_later_models_train_on_unseen_probabilities():
-    docs = [{b"x", b"n%d" % k} if k % 2 else {b"n%d" % k} for k in range(300)]
+    docs = [classifier_chain.features(f"x n{k}" if k % 2 else f"n{k}") for k in range(300)]
     y = np.array([[k % 2, k % 2] for k in range(300)], float)
     chain = classifier_chain.fit_chain(docs, y, np.arange(300) % 3)
     assert len(chain) == 2 and len(chain[1].weights) == len(chain[1].names) + 2 and chain[1].weights[-2] > 0

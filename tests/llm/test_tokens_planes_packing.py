@@ -128,7 +128,7 @@ def test_every_id_is_packed_once(spark, sf, small):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = check_packed(packing.pack_documents(docs, WORD, group_docs=64).collect(), small, 2048)
     total = sum(r["length"] for r in packing.token_pieces(docs, WORD).select("length").collect())
-    assert n * 2048 <= total * 1.03
+    assert n * 2048 <= total * 1.02 + 4 * 2048  # a last sequence for each of 4 groups
 
 
 def test_awkward_documents_are_packed(spark, awkward, nothing):
