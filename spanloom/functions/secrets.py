@@ -99,7 +99,7 @@ def _mask(d: Detector, text: Column) -> Column:
 
     def at(token: Column) -> Column:
         """Pattern of the places where this token stands alone."""
-        quoted = F.concat(F.lit(r"\Q"), token, F.lit(r"\E"))
+        quoted = F.regexp_replace(token, r"([^A-Za-z0-9_])", r"\\$1")
         if d.kind == "env_secret":
             return F.concat(F.lit(_ENV_KEY), quoted, F.lit(r"\2(?=[\s\"';,]|$)"))
         return F.concat(F.lit("(?<![A-Za-z0-9/+=])"), quoted, F.lit("(?![A-Za-z0-9/+=])"))

@@ -45,3 +45,9 @@ def clip(c: Column, n: int) -> Column:
 
 def sha(c: Column, chars: int = 64) -> Column:
     return F.substring(F.sha2(c, 256), 1, chars)
+
+
+def like_any(c: Column, text: str) -> Column:
+    """Case-insensitive substring; ``%`` and ``_`` in the text stay wildcards, a backslash is itself."""
+    said = text.lower().replace("\\", "\\\\")
+    return F.lower(c).like(f"%{said}%")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import clip
@@ -27,7 +27,7 @@ INTERJECTION = (
     r"(?:\s*this is how claude code surfaces|$)"
 )
 SESSION_WRAP = r"(?is)^<(session|conversation)>(.*?)</\1>"
-TITLE_CHARS, ROLE_CHARS, FIRST_STEPS = 120, 64, 24
+TITLE_CHARS, ROLE_CHARS = 120, 64
 
 
 def unwrapped(raw: Column) -> Column:
@@ -74,13 +74,9 @@ def ask_title(text: Column, n: int = TITLE_CHARS) -> Column:
 
 
 def session_titles(steps: DataFrame, keys: list[str] = ("session_id",)) -> DataFrame:
-    """First ask among the first 24 user steps, else the first interjection, else ''."""
+    """First ask among all user steps, else the first interjection, else ''."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("step_index")
-    # The rank limit is applied before the shuffle as well, so a long session
-    # sends few rows to its window.
-    first = steps.where("role = 'user'").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= FIRST_STEPS)
-    s = first.withColumn("u", unwrapped(F.coalesce("message", F.lit(""))))
+    s = steps.where("role = 'user'").withColumn("u", unwrapped(F.coalesce("message", F.lit(""))))
     ask = F.when(~is_noise(F.col("u")) & (F.col("u.text") != ""), ask_title(F.col("u.text")))
     aside = F.nullif(interjection(F.col("u")), F.lit(""))
     s = s.select(*keys, "step_index", ask.alias("ask"), F.when(aside.isNotNull(), clip(aside, TITLE_CHARS)).alias("aside"))

@@ -43,18 +43,27 @@ def json_leaves(bodies: pd.Series) -> pd.Series:
     return bodies.map(leaves)
 
 
-def payloads(pairs: DataFrame, mode: str = "standard", hint: str | None = STANDARD_HINT) -> DataFrame:
+def hint_of(mode: str = "standard", detectors: list[Detector] = DETECTORS) -> str | None:
+    """Pattern that every body with a match holds; None when no such pattern is known.
+
+    The standard pattern serves the detectors it was made for and no others.
+    """
+    return STANDARD_HINT if mode == "standard" and all(d in DETECTORS for d in detectors) else None
+
+
+def payloads(pairs: DataFrame, mode: str = "standard", detectors: list[Detector] = DETECTORS) -> DataFrame:
     """(ids, direction, location, text) of every body text of the pairs.
 
-    In standard mode only bodies that can hold a match are opened.
+    Where a hint for the detectors is known only bodies that hold it are opened.
     """
+    hint = hint_of(mode, detectors)
     ids = ["source_path", "block_start", "row_id"]
     side = F.explode(F.array(
         F.struct(F.lit("egress").alias("direction"), F.col("request.body").alias("body"), F.lit(None).cast("string").alias("raw")),
         F.struct(F.lit("response").alias("direction"), F.col("response.body").alias("body"), F.col("response.body_raw").alias("raw")),
     )).alias("s")
     p = pairs.select(*ids, F.coalesce("request.timestamp", F.lit(0.0)).alias("ts"), side).select(*ids, "ts", "s.*")
-    if hint and mode == "standard":
+    if hint:
         p = p.where(F.coalesce(F.col("body").rlike(hint), F.lit(False)) | F.coalesce(F.col("raw").rlike(hint), F.lit(False)))
     leaves = p.where("body is not null").select(*ids, "ts", "direction", F.explode(json_leaves("body")).alias("l"))
     raw = p.where("raw is not null").select(*ids, "ts", "direction", F.lit("response").alias("location"), F.col("raw").alias("text"))

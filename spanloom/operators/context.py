@@ -131,20 +131,17 @@ def cache_costs(requests: DataFrame, compactions: DataFrame) -> DataFrame:
     )
 
 
-FAN = 128
+FAN, LEVELS = 1024, 3  # reaches over 2^30 calls of a session
 
 
 def calls_to_regrow(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Distance from each target row to the next call at least as large.
 
     ``sizes`` (session_id, seq, size), ``targets`` (session_id, seq, target).
-    Maxima over blocks of 128, 128² ... calls are searched upwards and the block
-    found is opened downwards, so a target meets at most 128 rows per level.
+    Maxima over blocks of FAN, FAN² ... calls are searched upwards and the block
+    found is opened downwards, so a target meets at most FAN rows per level.
     """
-    top = sizes.agg(F.max("seq")).first()[0] or 0
-    depth = 1
-    while FAN ** depth <= top:
-        depth += 1
+    depth = LEVELS
     levels = [sizes.select("session_id", F.col("seq").alias("idx"), F.col("size").alias("m"))]
     for _ in range(1, depth):
         levels.append(

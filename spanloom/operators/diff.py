@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,29 +11,56 @@ from pyspark.sql import types as T
 from ..functions.scan import running
 
 
+def _common_lengths(x: list, y: list) -> np.ndarray:
+    """Longest common subsequence of ``x`` with every opening of ``y``, by bit vectors.
+
+    One bit for each line of ``y`` (Hyyrö's recurrence): a bit that is zero adds one.
+    """
+    places: dict = {}
+    for k, line in enumerate(y):
+        places[line] = places.get(line, 0) | 1 << k
+    full = (1 << len(y)) - 1
+    v = full
+    for line in x:
+        u = v & places.get(line, 0)
+        v = ((v + u) | (v - u)) & full
+    raw = np.frombuffer(v.to_bytes(len(y) // 8 + 1, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(1 - np.unpackbits(raw, bitorder="little")[:len(y)].astype(np.int64))])
+
+
+def _matched(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence (Hirschberg: halves of ``x`` against the
+    best cut of ``y``), in memory linear in the lines."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            out += [(a, k) for k in range(c, d) if y[k] == x[a]][:1]
+            continue
+        mid = (a + b) // 2
+        ahead = _common_lengths(x[a:mid], y[c:d])
+        behind = _common_lengths(x[mid:b][::-1], y[c:d][::-1])[::-1]
+        cut = c + int((ahead + behind).argmax())
+        todo += [(a, mid, c, cut), (mid, b, cut, d)]
+    return sorted(out)
+
+
 def _line_ops(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Shortest line edit; where both are as short, removals come first."""
-    start = 0
-    while start < len(a) and start < len(b) and a[start] == b[start]:
-        start += 1
-    x, y = a[start:], b[start:]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    ops = [("context", s) for s in a[:start]]
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            ops.append(("context", x[i]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            ops.append(("del", x[i]))
-            i += 1
-        else:
-            ops.append(("add", y[j]))
-            j += 1
+    """Shortest line edit; between kept lines removals come before additions."""
+    ops, i, j = [], 0, 0
+    for p, q in [*_matched(a, b), (len(a), len(b))]:
+        ops += [("del", s) for s in a[i:p]] + [("add", s) for s in b[j:q]]
+        if p < len(a):
+            ops.append(("context", a[p]))
+        i, j = p + 1, q + 1
     return ops
 
 

@@ -11,7 +11,6 @@ from .identity import contains_join
 
 # Fixed value: version of the document layout.
 SCHEMA_VERSION = "ATIF-v1.7"
-STEPS_PER_PART = 5000
 
 
 def iso_time(ts: Column) -> Column:
@@ -74,15 +73,16 @@ def last_tools(calls: DataFrame) -> DataFrame:
 
 def export_documents(
     steps: DataFrame, heads: DataFrame, calls: DataFrame | None = None, *, mode: str = "standard",
-    version: str = "unknown", per_part: int = STEPS_PER_PART,
+    version: str = "unknown", per_part: int | None = None,
 ) -> DataFrame:
     """One document per trajectory: agent, steps, final metrics.
 
-    A trajectory of more than ``per_part`` steps is written as numbered parts, so
-    no row grows without bound; every step is in exactly one part.
+    Where ``per_part`` is given every trajectory is written as numbered parts of so
+    many steps; every step is in exactly one part.
     """
     key = ["source_path", "session_id"]
-    one = export_steps(steps, heads, mode).withColumn("part", F.floor((F.col("step_index") - 1) / F.lit(per_part)))
+    one = export_steps(steps, heads, mode).withColumn(
+        "part", F.lit(0).cast("bigint") if per_part is None else F.floor((F.col("step_index") - 1) / F.lit(per_part)))
     parts = one.groupBy(*key, "part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_index", "step"))), lambda x: x["step"]), ",").alias("steps")
     )

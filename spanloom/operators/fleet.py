@@ -12,8 +12,6 @@ from .pricing import cache_hit_rate, with_cost
 from .usage import local_date
 
 QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
-TREND_DAYS = 182
-ACTIVITY_MAX_DAYS = 400
 DEFAULT_SCOPE_DAYS = 7
 
 
@@ -88,13 +86,15 @@ def per_project(events: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def daily_trend(events: DataFrame, prices: DataFrame, days: int = TREND_DAYS) -> DataFrame:
-    """UTC days with activity; the newest ``days`` of them, oldest first."""
+def daily_trend(events: DataFrame, prices: DataFrame, days: int | None = None) -> DataFrame:
+    """UTC days with activity, oldest first; the newest ``days`` of them where given."""
     known = with_cost(events.where(F.col("ts") > 0), prices)
     by_day = known.groupBy(F.date_format(local_date(F.col("ts")), "yyyy-MM-dd").alias("date")).agg(
         _usd(), F.count(F.lit(1)).alias("events")
     )
-    return by_day.orderBy(F.desc("date")).limit(days).orderBy("date")
+    if days is not None:
+        by_day = by_day.orderBy(F.desc("date")).limit(days)
+    return by_day.orderBy("date")
 
 
 def per_model(requests: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def per_named_agent(requests: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def rank_named_agents(named: DataFrame, rows: int = 12) -> DataFrame:
+def rank_named_agents(named: DataFrame, rows: int) -> DataFrame:
     """Main thread first, then by cost; beyond ``rows`` one remainder row."""
     w = Window.orderBy((F.col("label") == "main thread").desc(), F.desc("cost_usd"), "label")
     # The input is one row per agent name, already aggregated.
@@ -166,10 +166,12 @@ def top_sessions(sessions: DataFrame, n: int = 8) -> DataFrame:
     return sessions.orderBy(F.coalesce("cost_usd", F.lit(0.0)).desc(), "session_id").limit(n)
 
 
-def daily_activity(sessions: DataFrame, zone: str = "UTC", agent: str | None = None) -> DataFrame:
+def daily_activity(
+    sessions: DataFrame, zone: str = "UTC", agent: str | None = None, max_days: int | None = None,
+) -> DataFrame:
     """Sessions, cost and agents per local day, every day of the span present.
 
-    At most ``ACTIVITY_MAX_DAYS`` days back from the newest; the last
+    At most ``max_days`` days back from the newest where given; the last
     ``DEFAULT_SCOPE_DAYS`` of them are marked as the opening window.
     """
     s = sessions.where(F.col("started_at") > 0)
@@ -181,7 +183,7 @@ def daily_activity(sessions: DataFrame, zone: str = "UTC", agent: str | None = N
         F.countDistinct("agent").alias("agents"),
     )
     span = by_day.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    lo = F.greatest("lo", F.date_sub("hi", ACTIVITY_MAX_DAYS - 1))
+    lo = F.col("lo") if max_days is None else F.greatest("lo", F.date_sub("hi", max_days - 1))
     days = span.select("hi", F.explode(F.sequence(lo, F.col("hi"))).alias("day"))
     zero = F.lit(0)
     return days.join(by_day, "day", "left").select(

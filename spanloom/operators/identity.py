@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import items as I
 from ..functions.text import collapse
 
-# Fixed value: text scanned of a child's opening.
-CHILD_SCAN_CHARS = 40_000
 # Needle length -> (gram length, step): a needle of that length covers ``step``
 # neighbouring grams, one of which starts at a multiple of the step in the text.
 GRAMS = {48: (24, 25), 12: (8, 5), 3: (2, 2), 1: (1, 1)}
@@ -45,18 +43,14 @@ _TEXTS = (
 def opened(calls: DataFrame) -> DataFrame:
     """Marker, opening user text and spawned agents of each call with messages.
 
-    Whole messages are taken until the scan length is passed, as the parent's
-    prompt always stands in the opening.
+    The opening is all user text of the call, of whatever length.
     """
     msgs = I.read("body", "messages array<string>") + ".messages"
     system = (
         "coalesce(array_join(transform(from_json(body, 'system array<string>').system, x -> coalesce(get_json_object(x, '$.text'), '')), '\\n'), "
         "get_json_object(body, '$.system'), '')"
     )
-    upto = (
-        f"aggregate({_TEXTS.format(m='msgs')}, named_struct('n', 0L, 't', cast(array() as array<string>)), "
-        f"(a, x) -> if(a.n > {CHILD_SCAN_CHARS}, a, named_struct('n', a.n + length(x), 't', concat(a.t, array(x)))), a -> array_join(a.t, ' '))"
-    )
+    upto = f"array_join({_TEXTS.format(m='msgs')}, ' ')"
     calls_in = (
         "flatten(transform(msgs, msg -> filter(transform(coalesce(from_json(msg, 'content array<string>').content, cast(array() as array<string>)), "
         "b -> from_json(b, 'type string, name string, input struct<prompt string, description string, subagent_type string>')), "
@@ -93,9 +87,8 @@ def contains_join(
     with the length of the texts, not with texts times needles.
     """
     sized = needles.withColumn("_class", _needle_class(F.length(needle)))
-    classes = [r["_class"] for r in sized.select("_class").distinct().collect()]  # at most len(GRAMS) rows
     found = None
-    for size in classes or [1]:
+    for size in GRAMS:
         n, step = GRAMS[size]
         need = sized.where(F.col("_class") == size)
         # Texts of keys without needles of this class are not opened at all.

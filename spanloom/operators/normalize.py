@@ -101,10 +101,10 @@ def _session_key() -> str:
     return _by_provider(
         f"concat('claude:', {_key_hash(system, model)})",
         f"if(coalesce(b.prompt_cache_key, '') <> '', concat('codex:k:', b.prompt_cache_key), "
-        f"concat('codex:h:', {_key_hash(model, f'substring({first_entry}, 1, 200)')}))",
-        f"concat('gemini:', {_key_hash('req_model', _instruction_text(), f'substring({first_content}, 1, 200)')})",
+        f"concat('codex:h:', {_key_hash(model, first_entry)}))",
+        f"concat('gemini:', {_key_hash('req_model', _instruction_text(), first_content)})",
         f"if(coalesce(b.session_id, '') <> '', concat('devin:', b.session_id), "
-        f"concat('devin:', {_key_hash(model, 'substring(b.system, 1, 200)')}))",
+        f"concat('devin:', {_key_hash(model, 'b.system')}))",
     )
 
 

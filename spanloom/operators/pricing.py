@@ -27,9 +27,6 @@ DEFAULT_PRICES = [
     ("o4-mini", 1.1, 4.4, 1.1, 0.275),
 ]
 
-# A resolved model list beyond this many rows is joined by shuffle instead.
-BROADCAST_ROWS = 50_000
-
 
 def default_prices(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{m}', {i}D, {o}D, {w}D, {r}D)" for m, i, o, w, r in DEFAULT_PRICES)
@@ -41,14 +38,6 @@ def merge_prices(base: DataFrame, override: DataFrame) -> DataFrame:
     return base.join(override, "model", "left_anti").unionByName(override)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast local copy when there are at most ``rows`` rows; else unchanged."""
-    local = df.limit(rows + 1).toArrow()
-    if local.num_rows > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(local, df.schema))
-
-
 def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     """Price of each distinct ``model``: exact, else the longest key prefixing it.
 
@@ -86,7 +75,7 @@ def with_rates(df: DataFrame, prices: DataFrame, model: str = "model") -> DataFr
         F.col("model").alias(model),
         F.struct("input", "output", "cache_write", "cache_read").alias("rates"),
     )
-    return df.join(bounded(resolved), model, "left")
+    return df.join(resolved, model, "left")
 
 
 def cost(

@@ -13,10 +13,22 @@ def prompt_uses(requests: DataFrame, agent: str | None = None) -> DataFrame:
     r = requests.where("prompt_hash <> ''")
     if agent:
         r = r.where(F.lower("agent") == agent.lower())
+    return registry(session_uses(r))
+
+
+def session_uses(requests: DataFrame) -> DataFrame:
+    """Per prompt hash and session: first and last known use and calls."""
     known = F.when(F.col("ts") > 0, F.col("ts"))
-    return r.groupBy("prompt_hash").agg(
-        F.min(known).alias("first_seen"), F.max(known).alias("last_seen"),
-        F.count(F.lit(1)).alias("requests"), F.countDistinct("session_id").alias("sessions"),
+    return requests.groupBy("prompt_hash", "session_id").agg(
+        F.min(known).alias("first_seen"), F.max(known).alias("last_seen"), F.count(F.lit(1)).alias("requests"),
+    )
+
+
+def registry(uses: DataFrame) -> DataFrame:
+    """Prompts of ``session_uses`` rows; a session is counted once."""
+    return uses.groupBy("prompt_hash").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("requests").alias("requests"), F.countDistinct("session_id").alias("sessions"),
     )
 
 
@@ -28,11 +40,12 @@ def list_prompts(registry: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def merge_registry(known: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Two registries as one: earliest first use, latest last use, counts added."""
-    both = known.unionByName(fresh)
-    return both.groupBy("prompt_hash").agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.sum("requests").alias("requests"), F.sum("sessions").alias("sessions"),
+    """Two sets of ``session_uses`` rows as one: earliest first use, latest last use, calls added.
+
+    Sessions stay rows, so that one in both sets is still one for ``registry``.
+    """
+    return known.unionByName(fresh).groupBy("prompt_hash", "session_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("requests").alias("requests"),
     )
 
 
@@ -45,12 +58,12 @@ def find_prompt(uses: DataFrame, prefix: str) -> DataFrame:
 def prompt_sessions(requests: DataFrame, prefix: str) -> DataFrame:
     """Sessions using that prompt with their last use."""
     chosen = find_prompt(prompt_uses(requests), prefix).select("prompt_hash")
-    return requests.join(F.broadcast(chosen), "prompt_hash").groupBy("prompt_hash", "session_id").agg(
+    return requests.join(chosen, "prompt_hash").groupBy("prompt_hash", "session_id").agg(
         F.max("ts").alias("last_ts")
     )
 
 
 def comparable_versions(agents: DataFrame, prompt_hash: str) -> DataFrame:
     """Other prompts of the same agent as the given one."""
-    own = agents.where(F.col("prompt_hash") == prompt_hash).select(F.col("agent"))
-    return agents.join(F.broadcast(own), "agent", "left_semi").where(F.col("prompt_hash") != prompt_hash)
+    own = agents.where(F.col("prompt_hash") == prompt_hash).select("agent").distinct()
+    return agents.join(own, "agent", "left_semi").where(F.col("prompt_hash") != prompt_hash)

@@ -56,6 +56,8 @@ def query_phrases(query: str, *, stem: bool = True) -> list[list[str]]:
 def match(posts: DataFrame, query: str, *, field: str = "all", stem: bool = True) -> DataFrame:
     """Steps holding every phrase of the query, with the hits of each phrase."""
     phrases = query_phrases(query, stem=stem)
+    if not phrases:  # a query without words is found nowhere
+        return posts.where(F.lit(False)).select(*DOC, F.lit(0).alias("phrase"), F.lit(0).cast("bigint").alias("tf"))
     slots: dict[str, list[tuple[int, int]]] = {}
     for i, ph in enumerate(phrases):
         for k, t in enumerate(ph):
@@ -79,6 +81,8 @@ def match(posts: DataFrame, query: str, *, field: str = "all", stem: bool = True
 def score(posts: DataFrame, query: str, *, field: str = "all", stem: bool = True) -> DataFrame:
     """BM25 of the matching steps; lower is better."""
     hits = match(posts, query, field=field, stem=stem)
+    if not query_phrases(query, stem=stem):
+        return hits.select(*DOC, F.lit(0.0).alias("score"))
     lengths = doc_lengths(posts)
     n_phrases = len(query_phrases(query, stem=stem))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("_one", F.lit(1))

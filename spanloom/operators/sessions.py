@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import like_any
 from .pricing import cache_hit_rate, with_cost
 
 TOKENS = ["prompt_tokens", "completion_tokens", "cache_read", "cache_creation", "reasoning_tokens"]
@@ -30,8 +31,31 @@ def histogram(counts: DataFrame, keys: Iterable[str] = ("session_id",)) -> DataF
     )
 
 
+def of_latest_log(rows: DataFrame, at: str = "ts") -> DataFrame:
+    """Rows of each session from the log that captured it last, of several by path.
+
+    Rows without a ``source_path`` are of one capture and stay as they are.
+    """
+    if "source_path" not in rows.columns:
+        return rows
+    logs = rows.groupBy("session_id", "source_path").agg(F.max(at).alias("_last"))
+    owner = logs.groupBy("session_id").agg(F.max_by("source_path", F.struct("_last", "source_path")).alias("source_path"))
+    return rows.join(owner, ["session_id", "source_path"], "left_semi")
+
+
 def session_rollup(steps: DataFrame) -> DataFrame:
-    """Token totals, turns, tool calls and known time span per session."""
+    """Token totals, turns, tool calls and known time span per session.
+
+    A session captured in several logs counts as its last capture has it.
+    """
+    steps = of_latest_log(steps)
+    if "source_path" in steps.columns:
+        owner = steps.groupBy("session_id").agg(F.any_value("source_path").alias("source_path"))
+        return _rollup(steps).join(owner, "session_id")
+    return _rollup(steps)
+
+
+def _rollup(steps: DataFrame) -> DataFrame:
     ts = F.when(F.col("ts") > 0, F.col("ts"))
     agent = F.col("role") == "agent"
     totals = steps.groupBy("session_id").agg(
@@ -47,7 +71,7 @@ def session_rollup(steps: DataFrame) -> DataFrame:
 
 def session_rows(rolled: DataFrame, dims: DataFrame, prices: DataFrame) -> DataFrame:
     """The sessions table: dimensions, totals, cost and cache hit rate."""
-    joined = dims.join(rolled, "session_id")
+    joined = dims.join(rolled, [c for c in ("session_id", "source_path") if c in rolled.columns and c in dims.columns])
     span = F.when(F.col("ended_at") > F.col("started_at"), (F.col("ended_at") - F.col("started_at")) * 1000)
     priced = with_cost(joined, prices)
     return priced.select(
@@ -64,11 +88,6 @@ def session_rows(rolled: DataFrame, dims: DataFrame, prices: DataFrame) -> DataF
 
 # -- filters -----------------------------------------------------------------
 
-def like_any(c: Column, text: str) -> Column:
-    """Case-insensitive substring; ``%`` and ``_`` in the text stay wildcards."""
-    return F.lower(c).like(f"%{text.lower()}%")
-
-
 def step_semi(sessions: DataFrame, steps: DataFrame, *, tool: str | None = None, errored: bool = False) -> DataFrame:
     """Sessions with a step that calls the tool, and with a failed step."""
     if tool:
@@ -184,19 +203,21 @@ def list_sessions(
 ) -> DataFrame:
     """The session list: filtered, with turn and error counts and unnamed calls."""
     rows = filter_sessions(sessions, steps=steps, requests=requests, **filters)
-    rows = sort_sessions(rows, sort, order, limit)
+    if limit is not None:
+        rows = sort_sessions(rows, sort, order, limit)
     counts = step_counts(steps).select("session_id", F.col("turns").alias("turn_count"), "error_count")
     unnamed = (
         agent_cast(requests).where("label is null")
         .groupBy("session_id").agg(F.sum("calls").alias("unnamed_agent_calls"))
     )
     zero = F.lit(0)
-    return (
+    counted = (
         rows.join(counts, "session_id", "left").join(unnamed, "session_id", "left")
         .withColumn("turn_count", F.coalesce("turn_count", zero))
         .withColumn("error_count", F.coalesce("error_count", zero))
         .withColumn("unnamed_agent_calls", F.coalesce("unnamed_agent_calls", zero))
     )
+    return sort_sessions(counted, sort, order)  # a join keeps no order
 
 
 def same_source(sessions: DataFrame) -> DataFrame:

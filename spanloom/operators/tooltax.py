@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pricing import bounded, with_rates
+from .pricing import with_rates
 
 
 def toolset_usage(requests: DataFrame, sessions: DataFrame, toolsets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +25,7 @@ def toolset_usage(requests: DataFrame, sessions: DataFrame, toolsets: DataFrame)
 def tool_rows(usage: DataFrame, calls: DataFrame, toolsets: DataFrame, prices: DataFrame) -> DataFrame:
     """One row per (session, toolset, declared tool) with calls and cumulative size."""
     u = with_rates(usage, prices).withColumn("cache_rate", F.col("rates.cache_read")).drop("rates")
-    t = u.join(bounded(toolsets), "toolset_hash").join(calls, ["session_id", "toolset_hash", "tool"], "left")
+    t = u.join(toolsets, "toolset_hash").join(calls, ["session_id", "toolset_hash", "tool"], "left")
     t = t.withColumn("calls", F.coalesce("calls", F.lit(0))).withColumn("dead", F.col("calls") == 0)
     return t.withColumn("cumulative", F.col("approx_tokens") * F.col("request_count")).withColumn(
         "dead_cost", F.when(F.col("dead"), F.col("cumulative") * F.col("cache_rate") / 1_000_000)

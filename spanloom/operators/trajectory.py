@@ -251,56 +251,57 @@ def prompt_registry(calls: DataFrame) -> DataFrame:
 
 # -- digest ------------------------------------------------------------------
 
-# Digest size, its head and tail, and the limits of its lines.
-DIGEST_CHARS, DIGEST_HEAD, DIGEST_TAIL = 16000, 9600, 5600
-STEP_CHARS, ARG_CHARS, RESULT_CHARS = 600, 200, 200
 CUT_MARK = "\n\n…[trajectory truncated]…\n\n"
 
 
-def _short(x: str, n: int) -> str:
+def _short(x: str, n: int | None) -> str:
     flat = f"trim(regexp_replace({x}, '(?U)\\\\s+', ' '))"
-    return f"if(length({flat}) <= {n}, {flat}, concat(substring({flat}, 1, {n}), '…'))"
+    return flat if n is None else f"if(length({flat}) <= {n}, {flat}, concat(substring({flat}, 1, {n}), '…'))"
 
 
-def digest(steps: DataFrame, heads: DataFrame) -> DataFrame:
-    """Plain-text digest per session: whole, or its head and tail around a mark.
+def digest(
+    steps: DataFrame, heads: DataFrame, *, step_chars: int | None = None, arg_chars: int | None = None,
+    result_chars: int | None = None, chars: int | None = None, head_chars: int = 0, tail_chars: int = 0,
+) -> DataFrame:
+    """Plain-text digest per session.
 
-    Only steps that reach into the head or the tail are brought together, so a
-    session of any length costs a bounded row.
+    Whole by default.  ``step_chars``, ``arg_chars`` and ``result_chars`` shorten its
+    lines; beyond ``chars`` it is its first ``head_chars`` and last ``tail_chars``
+    around a mark, and only steps that reach into these are brought together.
     """
-    msg = _short("message", STEP_CHARS)
+    msg = _short("message", step_chars)
     none = "cast(array() as array<string>)"
+    args, result = _short("coalesce(t.args, '{}')", arg_chars), _short("r.text", result_chars)
     lines = (
         f"case role when 'user' then if({msg} = '', {none}, array(concat('USER: ', {msg}))) "
         f"when 'agent' then concat(if({msg} = '', {none}, array(concat('AGENT: ', {msg}))), "
-        f"coalesce(transform(tool_calls, t -> concat('  TOOL ', t.name, '(', {_short(chr(99) + 'oalesce(t.args, {})'.format(chr(39) * 2), ARG_CHARS)}, ')')), {none}), "
-        f"coalesce(transform(filter(results, r -> {_short('r.text', RESULT_CHARS)} <> ''), r -> concat('    -> ', {_short('r.text', RESULT_CHARS)})), {none})) "
+        f"coalesce(transform(tool_calls, t -> concat('  TOOL ', t.name, '(', {args}, ')')), {none}), "
+        f"coalesce(transform(filter(results, r -> {result} <> ''), r -> concat('    -> ', {result})), {none})) "
         f"else {none} end"
     )
     s = steps.selectExpr(*SESSION, "step_index", f"array_join({lines}, '\\n') as part").where("part <> ''")
-    s = s.withColumn("n", F.length("part") + 1)
-    s = running(s, SESSION, F.floor(F.col("step_index") / F.lit(CHUNK_ROWS)), ["step_index"], sums={"upto": F.col("n")})
     head = heads.withColumn("head", F.concat(F.lit("## Session — "), "agent", F.lit(" ("), "model", F.lit(")")))
-    total = s.groupBy(*SESSION).agg(F.sum("n").alias("body_chars"))
-    s = s.join(total, SESSION)
-    near = s.where(
-        (F.col("body_chars") <= DIGEST_CHARS) | (F.col("upto") - F.col("n") < DIGEST_HEAD)
-        | (F.col("upto") > F.col("body_chars") - DIGEST_TAIL - 1)
-    )
     joined = lambda keep: F.array_join(
         F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("step_index", "part")))), lambda x: x["part"]), "\n"
     )
-    texts = near.groupBy(*SESSION).agg(
-        F.max("body_chars").alias("body_chars"),
-        joined((F.col("body_chars") <= DIGEST_CHARS) | (F.col("upto") - F.col("n") < DIGEST_HEAD)).alias("first"),
-        joined((F.col("body_chars") <= DIGEST_CHARS) | (F.col("upto") > F.col("body_chars") - DIGEST_TAIL - 1)).alias("end"),
+    if chars is None:
+        whole = s.groupBy(*SESSION).agg(joined(F.lit(True)).alias("body"))
+        return head.join(whole, SESSION, "left").select(*SESSION, F.concat_ws("\n", "head", "body").alias("digest"))
+    s = s.withColumn("n", F.length("part") + 1)
+    s = running(s, SESSION, F.floor(F.col("step_index") / F.lit(CHUNK_ROWS)), ["step_index"], sums={"upto": F.col("n")})
+    total = s.groupBy(*SESSION).agg(F.sum("n").alias("body_chars"))
+    s = s.join(total, SESSION)
+    fits = F.col("body_chars") <= chars
+    opens, ends = F.col("upto") - F.col("n") < head_chars, F.col("upto") > F.col("body_chars") - tail_chars - 1
+    texts = s.where(fits | opens | ends).groupBy(*SESSION).agg(
+        F.max("body_chars").alias("body_chars"), joined(fits | opens).alias("first"), joined(fits | ends).alias("end"),
     )
     d = head.join(texts, SESSION, "left")
     size = F.length("head") + F.coalesce("body_chars", F.lit(0))
     whole = F.concat_ws("\n", "head", "first")
-    cut = F.concat(F.left(whole, F.lit(DIGEST_HEAD)), F.lit(CUT_MARK), F.right("end", F.lit(DIGEST_TAIL)))
+    cut = F.concat(F.left(whole, F.lit(head_chars)), F.lit(CUT_MARK), F.right("end", F.lit(tail_chars)))
     # Between the limits of body and whole the whole text is at hand in ``first``.
-    in_hand = F.coalesce("body_chars", F.lit(0)) <= DIGEST_CHARS
-    tail_whole = F.concat(F.left(whole, F.lit(DIGEST_HEAD)), F.lit(CUT_MARK), F.right(whole, F.lit(DIGEST_TAIL)))
-    text = F.when(size <= DIGEST_CHARS, whole).when(in_hand, tail_whole).otherwise(cut)
+    in_hand = F.coalesce("body_chars", F.lit(0)) <= chars
+    tail_whole = F.concat(F.left(whole, F.lit(head_chars)), F.lit(CUT_MARK), F.right(whole, F.lit(tail_chars)))
+    text = F.when(size <= chars, whole).when(in_hand, tail_whole).otherwise(cut)
     return d.select(*SESSION, text.alias("digest"))

@@ -9,6 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import like_any
 from .pricing import with_cost
 
 TOKENS = ["prompt_tokens", "completion_tokens", "cache_read", "cache_creation", "reasoning_tokens"]
@@ -77,9 +78,9 @@ def filter_events(
     if agent:
         events = events.where(F.lower("agent") == agent.lower())
     if model:
-        events = events.where(F.lower("model").like(f"%{model.lower()}%"))
+        events = events.where(like_any(F.col("model"), model))
     if project:
-        events = events.where(F.lower("project").like(f"%{project.lower()}%"))
+        events = events.where(like_any(F.col("project"), project))
     return events
 
 

@@ -20,7 +20,7 @@ def system_bucket(t: str) -> str:
     low = f"lower({t})"
     return (
         f"case when contains({low}, 'additionalcontext') or contains({low}, '[context-health]') "
-        f"or contains({low}, 'hookspecificoutput') or ({low} rlike '\\\\bposture\\\\b' and length({t}) < 4000) then 'hook_inject' "
+        f"or contains({low}, 'hookspecificoutput') or ({low} rlike '\\\\bposture\\\\b') then 'hook_inject' "
         f"when {t} rlike '(?i)skill\\\\.md|claude\\\\.md|</?skills?>|\\\\bavailable skills\\\\b' then 'skills' else 'system' end"
     )
 
@@ -159,7 +159,7 @@ def declared_tools(calls: DataFrame) -> DataFrame:
     c = calls.where("size(tools) > 0").selectExpr(
         *KEY, "ts", "provider",
         f"sha2(to_json(array_sort(transform(tools, t -> struct({name} as name, {clean} as def)))), 256) as toolset_hash",
-        f"transform(tools, t -> struct({name} as name, length(t) as chars, cast(ceil(length(t) / 4) as bigint) as approx_tokens)) as per_tool",
+        f"transform(tools, t -> struct({name} as name, cast(octet_length(encode(t, 'UTF-16BE')) / 2 as bigint) as chars, cast(ceil(octet_length(encode(t, 'UTF-16BE')) / 8) as bigint) as approx_tokens)) as per_tool",
     )
     return c.withColumn(
         "total_tokens", F.aggregate("per_tool", F.lit(0).cast("bigint"), lambda a, t: a + t["approx_tokens"])

@@ -98,7 +98,7 @@ def trace_prompts(spark, sf):
 
 @query("trace_digests", sql(
     """, l AS (SELECT key, step_index, any_value(agent) OVER (PARTITION BY key) AS agent, any_value(model) OVER (PARTITION BY key) AS model,
-        CASE role WHEN 'user' THEN 'USER: ' ELSE 'AGENT: ' END || CASE WHEN length(flat) <= 600 THEN flat ELSE left(flat, 600) || '…' END
+        CASE role WHEN 'user' THEN 'USER: ' ELSE 'AGENT: ' END || flat
         || CASE WHEN role = 'assistant' THEN chr(10) || '  TOOL Read({"path":"f' || turn || '"})' || CASE WHEN turn < last_turn THEN chr(10) || '    -> ok ' || turn ELSE '' END ELSE '' END AS part
       FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM said))
     SELECT key, '## Session — ' || any_value(agent) || ' (' || any_value(model) || ')' || chr(10) || string_agg(part, chr(10) ORDER BY step_index) AS digest FROM l GROUP BY key""", "said"))

@@ -171,7 +171,7 @@ def by_project(spark, sf):
 @query("daily_trend", sql(
     """SELECT strftime(make_timestamp(CAST(round(ts * 1e6) AS BIGINT)), '%Y-%m-%d') AS date,
       round(coalesce(sum(cost), 0), 9) AS cost_usd, count(*) AS events
-    FROM usage WHERE ts > 0 GROUP BY 1 ORDER BY 1 DESC LIMIT 182""", "usage"))
+    FROM usage WHERE ts > 0 GROUP BY 1 ORDER BY 1 DESC""", "usage"))
 def daily_trend(spark, sf):
     return money(fleet.daily_trend(V.usage_events(spark, sf), V.prices(spark)))
 
@@ -225,7 +225,7 @@ def top_sessions(spark, sf):
     """, d AS (SELECT CAST(make_timestamp(CAST(round(started_at * 1e6) AS BIGINT)) + INTERVAL 9 HOUR AS DATE) AS day,
         count(*) AS sessions, coalesce(sum(cost_usd), 0) AS cost, count(DISTINCT agent) AS agents
       FROM sess WHERE started_at > 0 GROUP BY 1),
-      g AS (SELECT unnest(generate_series(greatest(min(day), max(day) - 399)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d)
+      g AS (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d)
     SELECT strftime(g.day, '%Y-%m-%d') AS date, coalesce(d.sessions, 0) AS sessions, round(coalesce(d.cost, 0), 9) AS cost_usd,
       coalesce(d.agents, 0) AS agents, g.day > (SELECT max(day) FROM d) - 7 AS in_default_window
     FROM g LEFT JOIN d USING (day)""", "sess"))

@@ -157,13 +157,11 @@ def time_chunk_of(ts: str = "ts", seq: str | None = None) -> Column:
 
 # -- captured pairs from the conversations table -------------------------------
 
-SPAN = 8  # turns per captured session
-
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns cut into sessions of at most ``SPAN`` turns."""
+    """Conversation turns; a conversation is one captured session."""
     return table(spark, sf, "conversations").selectExpr(
-        "conv_id", "conv_id * 1000 + turn div 8 as key", "turn", "role", "text", "conv_id % 4 as shape"
+        "conv_id", "conv_id * 1000 as key", "turn", "role", "text", "conv_id % 4 as shape"
     )
 
 
@@ -178,7 +176,7 @@ def pair_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = t.withColumn("sys", F.max(F.expr("if(role = 'system', text, '')")).over(Window.partitionBy("key")))
     t = t.withColumn("last_asst", F.max(F.expr("if(role = 'assistant', turn, -1)")).over(Window.partitionBy("key")))
     t = t.withColumn("last_turn", F.max("turn").over(Window.partitionBy("key")))
-    # At most SPAN turns come before a call, so the history list is bounded.
+    # Every call resends its conversation, so a line is as long as that is.
     t = t.withColumn(
         "hist", F.collect_list(F.expr("if(role <> 'system', struct(turn, role, text), null)")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -81,7 +81,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT * FROM bytime WHERE p_items > 0 AND transcript_items < p_items AND p_ctx - ctx >= 2000
           AND NOT (ts * 1000 < p_end AND p_ts * 1000 < end_ms)"""),
     "conv": ([], """
-        SELECT conv_id, conv_id * 1000 + turn // 8 AS key, turn, role, text, conv_id % 4 AS shape FROM conversations"""),
+        SELECT conv_id, conv_id * 1000 AS key, turn, role, text, conv_id % 4 AS shape FROM conversations"""),
     "said": (["conv"], """
         SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn) AS step_index, max(turn) OVER (PARTITION BY key) AS last_turn,
           coalesce(sum(CASE WHEN role = 'assistant' THEN 1 END) OVER (PARTITION BY key ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq,

@@ -13,7 +13,7 @@ STDIN_KEYS = [
     "trigger", "tool_use_id", "prompt_id", "agent_id", "agent_type", "source",
 ]
 TOOL_INPUT_KEYS = ["file_path", "path", "command", "pattern", "url", "description"]
-TEXT_CAP, FIELD_CAP, PROMPT_CAP, REASON_CAP = 80_000, 200, 120, 160
+FIELD_CAP, PROMPT_CAP, REASON_CAP = 200, 120, 160  # of preview fields; whole texts stand beside them
 
 
 def parse_hooks(lines: DataFrame) -> DataFrame:
@@ -67,18 +67,15 @@ def stdout_preview(stdout: Column, wrapped: Column) -> Column:
     get = lambda p: F.get_json_object(t, p)
     parsed = F.try_parse_json(t).isNotNull() & t.startswith("{")
     reason, ctx = get("$.reason"), get("$.hookSpecificOutput.additionalContext")
-    minified = get("$")
-    big = F.length(minified) > TEXT_CAP
     body = F.to_json(F.struct(
-        F.length(t).alias("chars"), _clip(t, TEXT_CAP).alias("text"), F.when(parsed, F.lit(True)).alias("parsed"),
+        F.length(t).alias("chars"), t.alias("text"), F.when(parsed, F.lit(True)).alias("parsed"),
         F.when(parsed, get("$.decision")).alias("decision"), F.when(parsed, F.length(reason)).alias("reason_chars"),
-        F.when(parsed, _clip(reason, REASON_CAP)).alias("reason_preview"), F.when(parsed, _clip(reason, TEXT_CAP)).alias("reason"),
+        F.when(parsed, _clip(reason, REASON_CAP)).alias("reason_preview"), F.when(parsed, reason).alias("reason"),
         F.when(parsed, F.length(ctx)).alias("additional_context_chars"),
         F.when(parsed, _clip(ctx, REASON_CAP)).alias("additional_context_preview"),
-        F.when(parsed, _clip(ctx, TEXT_CAP)).alias("additional_context"),
+        F.when(parsed, ctx).alias("additional_context"),
         F.when(parsed, get("$.continue").cast("boolean")).alias("continue"),
-        F.when(parsed & ~big, F.try_parse_json(t)).alias("returned"),
-        F.when(parsed & big, F.lit(True)).alias("returned_truncated"), F.when(~parsed, _clip(t, REASON_CAP)).alias("preview"),
+        F.when(parsed, F.try_parse_json(t)).alias("returned"), F.when(~parsed, _clip(t, REASON_CAP)).alias("preview"),
     ))
     empty = F.concat(F.lit('{"chars":0,"empty":true,"observeOnly":'), (~wrapped).cast("string"), F.lit("}"))
     return F.when(t == "", empty).otherwise(body)

@@ -15,29 +15,29 @@ SKIP_DIRS = ["node_modules", ".git", ".cache", ".npm", ".pnpm-store", "Library",
 
 
 def trace_folders(
-    spark: SparkSession, root: str, trace_dirs: Sequence[str] = TRACE_DIRS, max_depth: int = 6
+    spark: SparkSession, root: str, trace_dirs: Sequence[str] = TRACE_DIRS, max_depth: int | None = None
 ) -> list[str]:
-    """Trace folders under ``root``, not deeper than ``max_depth`` and not below
-    skipped or hidden folders.
+    """Trace folders under ``root``, at any depth or not deeper than ``max_depth``.
 
     Spark passes over hidden folders when it lists, so the folders themselves are
-    named here by a file-system glob per depth; their files are listed by Spark.
+    found here; skipped and hidden ones are not opened.  Their files are listed by Spark.
     """
-    jvm = spark._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = root.rstrip("/")
-    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(conf)
-    if base.rsplit("/", 1)[-1] in trace_dirs:
-        return [base]
-    found = set()
-    names = "{" + ",".join(trace_dirs) + "}"
-    for depth in range(max_depth + 1):
-        hits = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}{'/*' * depth}/{names}"))
-        for h in hits or []:
-            path = h.getPath().toString()
-            above = path.rsplit("/", depth + 1)[1:-1]
-            if h.isDirectory() and not any(d in SKIP_DIRS or d.startswith(".") for d in above):
-                found.add(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(root.rstrip("/"))
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if base.getName() in trace_dirs:
+        return [root.rstrip("/")]
+    found, todo = [], [(base, 0)]
+    while todo:
+        folder, depth = todo.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if not status.isDirectory() or name in SKIP_DIRS:
+                continue
+            if name in trace_dirs:
+                found.append(status.getPath().toString())
+            elif not name.startswith(".") and (max_depth is None or depth < max_depth):
+                todo.append((status.getPath(), depth + 1))
     return sorted(found)
 
 
@@ -57,7 +57,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], **options) -> Da
     )
 
 
-def discover(spark: SparkSession, roots: Sequence[str], max_depth: int = 6) -> list[str]:
+def discover(spark: SparkSession, roots: Sequence[str], max_depth: int | None = None) -> list[str]:
     """What to read for the roots: log files as named, and trace folders found."""
     out: set[str] = set()
     for root in roots:
@@ -130,11 +130,6 @@ def replace_sources(existing: DataFrame, fresh: DataFrame, sources: DataFrame) -
     return kept.unionByName(fresh)
 
 
-def latest_source_per_session(calls: DataFrame) -> DataFrame:
-    """The log that owns each session: re-captured in several, the last path wins."""
-    return calls.groupBy("session_id").agg(F.max("source_path").alias("source_path"))
-
-
 def parse_each(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Pairs of every readable path, and (source_path, error) of the others.
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,20 +16,28 @@ from ..operators.normalize import normalize_pairs
 from ..operators.pricing import cost
 from ..sources.pairs import parse_pairs
 
-IDLE_MS = 24 * 3600 * 1000
-
 
 def read_pair_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Pairs of new log files; a collector rolls files, Spark takes each once.
 
-    The order inside a file is not defined in a stream, so calls are ordered by
-    their request time.
+    Within a split of a file ``row_id`` ascends with the lines, as in a batch.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.jsonl").text(path)
-    return parse_pairs(lines.select(
-        "value", F.col("_metadata.file_path").alias("source_path"),
-        F.col("_metadata.file_block_start").alias("block_start"), F.lit(0).cast("bigint").alias("row_id"),
-    ))
+    lines = lines.select(
+        "value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block_start"))
+    return parse_pairs(lines.mapInArrow(
+        _numbered, "value string, source_path string, block_start bigint, row_id bigint"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count the lines of each split; a task reads a split from its start, in order."""
+    seen: dict[tuple[str, int], int] = {}
+    for b in batches:
+        ids = []
+        for split in zip(b.column("source_path").to_pylist(), b.column("block_start").to_pylist()):
+            ids.append(seen.get(split, 0))
+            seen[split] = ids[-1] + 1
+        yield b.append_column("row_id", pa.array(ids, pa.int64()))
 
 
 def stream_calls(pairs: DataFrame) -> DataFrame:
@@ -40,8 +49,13 @@ def stream_calls(pairs: DataFrame) -> DataFrame:
 
 
 def without_resent(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """A call delivered again within the delay counts once."""
-    return calls.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["session_id", "event_time"])
+    """A call delivered again within the delay counts once.
+
+    A call is known by its session, time and content, so that calls of one instant stay apart.
+    """
+    content = F.xxhash64(F.to_json(F.struct("req_items", "resp_items", "usage")))
+    marked = calls.withColumn("_content", content).withWatermark("event_time", delay)
+    return marked.dropDuplicatesWithinWatermark(["session_id", "event_time", "_content"]).drop("_content")
 
 
 def running_spend(calls: DataFrame, rates: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -67,11 +81,15 @@ class LiveSteps(StatefulProcessor):
     """New user messages, results and agent steps of a session as calls arrive.
 
     State per session: how many user messages and results were shown, the number
-    of steps, the latest agent step, and the step of each call id.
+    of steps, the latest agent step, and the step of each call id.  It is kept for
+    good unless ``idle_ms`` is given; a session that goes on after that starts anew.
     """
 
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = {"ttlDurationMs": IDLE_MS}
+        ttl = {"ttlDurationMs": self.idle_ms}
         self.cursor = handle.getValueState("cursor", "users bigint, results bigint, steps bigint, agent_step bigint", **ttl)
         self.issued = handle.getMapState("issued", "call_id string", "step bigint", **ttl)
 

@@ -42,6 +42,7 @@ def test_contains_join_is_exact(spark):
 
 def test_regrow_over_several_levels(spark, monkeypatch):
     monkeypatch.setattr(C, "FAN", 4)
+    monkeypatch.setattr(C, "LEVELS", 5)
     r = random.Random(9)
     sizes = [(s, i, r.randrange(1000)) for s in "ab" for i in range(300)]
     targets = [(s, r.randrange(300), r.randrange(1100)) for s in "ab" for _ in range(40)]

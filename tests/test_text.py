@@ -78,7 +78,7 @@ def test_audit_walks_bodies(spark):
     g = audit.group_findings(f).first()
     assert (g.egress, g.response, g.locations, g.files, g.first_ts, g.last4, g.token_length) == (2, 1, 3, 1, 5.0, "bbbb", 27)
     assert audit.finding_places(f).count() == 3
-    t = audit.audit_totals(f, audit.payloads(df, hint=None)).first()
+    t = audit.audit_totals(f, audit.payloads(df, "strict")).first()
     assert (t.egress, t.response, t.standard_masked, t.strict_masked) == (2, 1, 3, 3)
 
 

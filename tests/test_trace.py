@@ -210,4 +210,6 @@ def test_digest_keeps_head_and_tail(spark):
     heads = spark.createDataFrame([("s", "x", "claude", "m")], "source_path string, session_id string, agent string, model string")
     text = "\n".join(["## Session — claude (m)"] + [f"USER: {m}" for *_, m in data])
     want = text[:9600] + "\n\n…[trajectory truncated]…\n\n" + text[-5600:]
-    assert T.digest(s, heads).first().digest == want
+    cut = T.digest(s, heads, step_chars=600, chars=16000, head_chars=9600, tail_chars=5600)
+    assert cut.first().digest == want
+    assert T.digest(s, heads).first().digest == text
