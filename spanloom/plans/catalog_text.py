@@ -253,7 +253,13 @@ def line_changes(spark, sf):
     return D.line_counts(v, ["doc_id"], "p_text", "text")
 
 
-@query("document_line_diff")
+@query("document_line_diff", """WITH v AS (SELECT doc_id, text AS b, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS a FROM documents),
+    p AS (SELECT doc_id, CASE WHEN a = '' THEN []::VARCHAR[] ELSE string_split(a, chr(10)) END AS x,
+      CASE WHEN coalesce(b, '') = '' THEN []::VARCHAR[] ELSE string_split(b, chr(10)) END AS y FROM v WHERE a IS NOT NULL),
+    c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, list_reduce(x, lambda r, l: list_reduce(range(1, len(y) + 1),
+      lambda acc, j: list_append(acc, if(y[j] = l, r[j] + 1, greatest(r[j + 1], acc[j]))), [0::BIGINT]),
+      list_transform(range(0, len(y) + 1), lambda k: 0::BIGINT)) AS r FROM p)
+    SELECT doc_id, CAST(ny - r[-1] AS INTEGER) AS added, CAST(nx - r[-1] AS INTEGER) AS removed FROM c""")
 def line_diff(spark, sf):
     v = D.consecutive_versions(V.table(spark, sf, "documents").select("doc_id", "source", "text"), ["source"], "doc_id", "text", "doc_id")
     return D.with_line_diff(v, "p_text", "text").select("doc_id", "added", "removed")

@@ -1,8 +1,4 @@
-"""Registered queries against their oracle SQL on the smallest tables.
-
-The trace queries read hand-checked shapes in test_trace.py and run in full with
-``python tests/oracle.py``; here one of them stands for all, to keep the run short.
-"""
+"""Registered queries against their oracle SQL on the smallest tables."""
 
 import pytest
 
@@ -10,8 +6,7 @@ from oracle import compare, connect
 from spanloom.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {n for n in QUERIES if n.startswith(("trace_", "xray_", "export_", "imported_"))} - {"trace_steps", "imported_chain"}
-NAMES = [n for n in QUERIES if n not in SLOW]
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")

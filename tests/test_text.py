@@ -172,3 +172,74 @@ def test_line_diff(spark):
     df = spark.createDataFrame([("a\nb\nc", "a\nc\nd")], "a string, b string")
     r = with_line_diff(df, "a", "b").first()
     assert [(o.op, o.line) for o in r.ops] == [("context", "a"), ("del", "b"), ("context", "c"), ("add", "d")] and (r.added, r.removed) == (1, 1)
+
+
+def test_line_diff_is_shortest_and_keeps_order():
+    import random
+
+    from spanloom.operators.diff import _line_ops
+
+    r = random.Random(6)
+    for _ in range(200):
+        a = [r.choice("abcd") for _ in range(r.randrange(12))]
+        b = [r.choice("abcd") for _ in range(r.randrange(12))]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        ops = _line_ops(a, b)
+        assert [s for o, s in ops if o != "add"] == a and [s for o, s in ops if o != "del"] == b
+        assert sum(o == "context" for o, _ in ops) == best[-1][-1]
+
+
+def test_long_texts_are_compared_in_little_memory():
+    import tracemalloc
+
+    from spanloom.operators.diff import _line_ops
+
+    a = [f"line {k % 9000}" for k in range(20_000)]
+    b = [f"line {k % 7000}" for k in range(20_000)]
+    tracemalloc.start()
+    ops = _line_ops(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ops) >= 20_000 and peak < 300 << 20
+
+
+def test_secrets_and_filters_take_any_character(spark):
+    from spanloom.functions.secrets import Detector, redact
+    from spanloom.functions.text import like_any
+
+    own = Detector("own", r"pw (\S+)", group=1, min_entropy=0.1)
+    df = spark.createDataFrame([(r"pw a\Eb$1[x](c end pw q\Q.* x",), (r"C:\Users\me",)], "t string")
+    got = [r[0] for r in df.select(redact(F.col("t"), "strict", [own])).collect()]
+    assert "[REDACTED:own]" in got[0] and r"a\Eb" not in got[0] and got[1] == r"C:\Users\me"
+    assert df.where(like_any(F.col("t"), r"c:\users")).count() == 1
+
+
+def test_merged_prompt_uses_count_a_session_once(spark):
+    from spanloom.operators.prompts import merge_registry, registry, session_uses
+
+    df = spark.createDataFrame([("p", "s", 1.0), ("p", "t", 2.0)], "prompt_hash string, session_id string, ts double")
+    again = spark.createDataFrame([("p", "s", 3.0)], "prompt_hash string, session_id string, ts double")
+    r = registry(merge_registry(session_uses(df), session_uses(again))).first()
+    assert (r.requests, r.sessions, r.last_seen) == (3, 2, 3.0)
+
+
+def test_a_query_without_words_finds_nothing(spark):
+    from spanloom.operators import search
+
+    steps = spark.createDataFrame([("s", 1, "some text")], "session_id string, step_index bigint, message string")
+    posts = search.postings(steps, columns=["message"])
+    assert search.match(posts, "  ?! ").count() == 0 and search.score(posts, "").count() == 0
+
+
+def test_a_session_in_two_logs_counts_as_its_last_capture(spark):
+    from spanloom.operators.sessions import session_rollup
+
+    rows = [("a", "s", 1.0, 10), ("b", "s", 1.0, 10), ("b", "s", 5.0, 7), ("a", "t", 2.0, 3)]
+    steps = spark.createDataFrame(rows, "source_path string, session_id string, ts double, prompt_tokens bigint").selectExpr(
+        "*", "0L as completion_tokens", "0L as cache_read", "0L as cache_creation", "0L as reasoning_tokens", "'agent' as role",
+        "cast(array() as array<string>) as tool_names")
+    got = {r.session_id: (r.source_path, r.prompt_tokens, r.turns) for r in session_rollup(steps).collect()}
+    assert got == {"s": ("b", 17, 2), "t": ("a", 3, 1)}
