@@ -220,7 +220,8 @@ def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: flo
             continue
         s, e = int(inside[0]), int(inside[-1]) + 1
         there = order[place[inside]]
-        near = there[np.abs(there - inside - np.median(there - inside)) <= e - s]
+        shifts, times = np.unique(there - inside, return_counts=True)
+        near = there[np.abs(there - inside - shifts[times.argmax()]) <= e - s]
         mine, theirs = set(b[s:e].tolist()), set(a[near.min():near.max() + 1].tolist())
         exact = len(inside) == e - s >= least
         if exact or len(mine & theirs) >= similarity * len(mine | theirs):
