@@ -193,7 +193,3 @@ def diff_runs(profile: DataFrame, a: str, b: str) -> dict[str, DataFrame]:
         "tools": diff_tools(side(a), side(b)),
         "shape": diff_metrics(shape, a, b),
     }
-
-
-def any_change(metrics: DataFrame) -> Column:
-    return F.max(F.col("delta") != 0)

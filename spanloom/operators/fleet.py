@@ -118,9 +118,10 @@ def per_named_agent(requests: DataFrame, prices: DataFrame) -> DataFrame:
     sub = F.col("is_subagent")
     r = with_cost(requests, prices).withColumn("label", F.when(sub, label).otherwise(F.lit("main thread")))
     named = sub & (F.coalesce("agent_label", F.lit("")) != "")
-    # The type shown is that of the group's first call.
+    # The type shown is that of the group's first call, of several at once the first by name.
+    kind = F.when(sub, F.coalesce("agent_type", F.lit(""))).otherwise(F.lit(""))
     return r.groupBy("label", named.alias("named")).agg(
-        F.min_by(F.when(sub, F.coalesce("agent_type", F.lit(""))).otherwise(F.lit("")), F.struct("session_id", "ts")).alias("type"),
+        F.min_by(kind, F.struct("session_id", "ts", kind)).alias("type"),
         F.count(F.lit(1)).alias("calls"), F.countDistinct("session_id").alias("sessions"), _usd(),
         F.sum(F.col("prompt_tokens") + F.col("cache_read") + F.col("cache_creation")).alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),

@@ -172,7 +172,3 @@ def toolset_registry(declared: DataFrame) -> DataFrame:
         F.min_by("per_tool", F.struct(*KEY)).alias("per_tool"), F.min_by("provider", F.struct(*KEY)).alias("agent"),
         F.min(known).alias("first_seen"), F.max(known).alias("last_seen"),
     ).withColumn("tool_count", F.size("per_tool"))
-
-
-def any_bucket() -> Column:
-    return F.col("bucket").isin(BUCKETS)

@@ -214,9 +214,10 @@ def tax_totals(spark, sf):
       CASE WHEN tool NOT LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN 'built-in' WHEN tool LIKE 'mcp\\_\\_plugin%' ESCAPE '\\' THEN string_split(substr(tool, 13), '_')[1]
         WHEN tool LIKE 'mcp\\_\\_claude%' ESCAPE '\\' THEN 'Mail' ELSE 'git' END AS provider FROM r)
     SELECT session_id, toolset_hash, provider, min(kind) AS kind, count(*) AS tools, CAST(sum(approx_tokens) AS BIGINT) AS approx_tokens, CAST(sum(cum) AS BIGINT) AS cumulative,
-      CAST(sum(calls) AS BIGINT) AS calls, CAST(coalesce(sum(approx_tokens) FILTER (dead), 0) AS BIGINT) AS dead_tokens, min(kind) = 'connector' AS deferred FROM v GROUP BY 1, 2, 3""", *_TAXC))
+      CAST(sum(calls) AS BIGINT) AS calls, CAST(coalesce(sum(approx_tokens) FILTER (dead), 0) AS BIGINT) AS dead_tokens, min(kind) = 'connector' AS deferred,
+      round(sum(approx_tokens) / greatest(sum(sum(approx_tokens)) OVER (PARTITION BY session_id, toolset_hash), 1), 12) AS share FROM v GROUP BY 1, 2, 3""", *_TAXC))
 def tax_provider(spark, sf):
-    return X.tax_by_provider(_tax_rows(spark, sf)).drop("share")
+    return X.tax_by_provider(_tax_rows(spark, sf)).withColumn("share", F.round("share", 12))
 
 
 @query("dead_tools", sql(_TAX + " SELECT session_id, toolset_hash, tool, CAST(approx_tokens AS BIGINT) AS approx_tokens, CAST(cum AS BIGINT) AS cumulative FROM r WHERE dead", *_TAXC))
@@ -238,6 +239,15 @@ def prompt_registry(spark, sf):
     return P.prompt_uses(V.requests(spark, sf))
 
 
+@query("prompt_registry_merged", sql("""SELECT prompt_hash, min(ts) FILTER (ts > 0) AS first_seen, max(ts) FILTER (ts > 0) AS last_seen, count(*) AS requests,
+    count(DISTINCT session_id) AS sessions FROM reqs WHERE prompt_hash <> '' GROUP BY 1""", "reqs"))
+def prompt_registry_merged(spark, sf):
+    """Two parts of the requests, merged: sessions stand in both."""
+    r = V.requests(spark, sf).where("prompt_hash <> ''")
+    early, late = (P.session_uses(r.where(c)) for c in ("ts < 1704700000", "not ts < 1704700000"))
+    return P.registry(P.merge_registry(early, late))
+
+
 @query("prompt_by_prefix_sessions", sql("""SELECT prompt_hash, session_id, max(ts) AS last_ts FROM reqs WHERE prompt_hash = (SELECT prompt_hash FROM reqs
     WHERE starts_with(prompt_hash, 'p1') GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 1) GROUP BY 1, 2""", "reqs"))
 def prompt_sessions(spark, sf):

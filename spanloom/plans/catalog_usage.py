@@ -191,11 +191,22 @@ def model_wire(spark, sf):
 
 @query("spend_by_named_agent", sql(
     """SELECT CASE WHEN NOT is_subagent THEN 'main thread' ELSE coalesce(nullif(agent_label, ''), 'unnamed subagents') END AS label,
-      is_subagent AND coalesce(agent_label, '') <> '' AS named, count(*) AS calls, count(DISTINCT session_id) AS sessions,
+      is_subagent AND coalesce(agent_label, '') <> '' AS named,
+      arg_min(CASE WHEN is_subagent THEN coalesce(agent_type, '') ELSE '' END, {'s': session_id, 't': ts, 'k': CASE WHEN is_subagent THEN coalesce(agent_type, '') ELSE '' END}) AS type, count(*) AS calls, count(DISTINCT session_id) AS sessions,
       round(coalesce(sum(cost), 0), 9) AS cost_usd, CAST(sum(ctx) AS BIGINT) AS prompt_tokens,
       CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM reqcost GROUP BY 1, 2""", "reqcost"))
 def by_named_agent(spark, sf):
-    return money(fleet.per_named_agent(V.requests(spark, sf), V.prices(spark)).drop("type"))
+    return money(fleet.per_named_agent(V.requests(spark, sf), V.prices(spark)))
+
+
+@query("named_agents_ranked", sql(
+    """, a AS (SELECT CASE WHEN NOT is_subagent THEN 'main thread' ELSE coalesce(nullif(agent_label, ''), 'unnamed subagents') END AS label,
+      count(*) AS calls, coalesce(sum(cost), 0) AS cost FROM reqcost GROUP BY 1, is_subagent AND coalesce(agent_label, '') <> ''),
+    k AS (SELECT *, row_number() OVER (ORDER BY label = 'main thread' DESC, cost DESC, label) AS n FROM a)
+    SELECT CAST(least(n, 3) AS INTEGER) AS rank, CASE WHEN n <= 2 THEN label ELSE 'others' END AS label,
+      CAST(sum(calls) AS BIGINT) AS calls, round(sum(cost), 9) AS cost_usd FROM k GROUP BY 1, 2""", "reqcost"))
+def ranked_agents(spark, sf):
+    return money(fleet.rank_named_agents(fleet.per_named_agent(V.requests(spark, sf), V.prices(spark)), rows=2))
 
 
 @query("top_tools", sql(
