@@ -1,11 +1,11 @@
 """Stupid-backoff scores against n-gram counts of the whole corpus.
 
 Documents are dealt to shards of bounded size.  A shard turns its texts into the distinct
-n-grams of orders 1 to 3 with their counts (64-bit hashes) and sends them to count
+n-grams of orders 1 to 3 with their counts (56-bit hashes) and sends them to count
 partitions by hash: sorted, as differences, byte plane by byte plane, compressed.  A
-count partition adds up the shards and joins the totals back to each shard that asked;
-n-grams seen once in the corpus are known by their absence.  The shard then explodes its
-n-grams again, looks the totals up and sums each document's scores.  A frequent n-gram is
+count partition adds up the shards and joins the totals back to each shard that asked,
+in the order of its list.  The shard then explodes its n-grams again, takes the totals
+by their place in that list and sums each document's scores.  A frequent n-gram is
 one entry a shard, so no key is hot, and every shuffle carries packed arrays.
 """
 
@@ -25,6 +25,7 @@ ORDER = 3
 ALPHA = 0.4
 SHARD_DOCS = 4096
 MICRO = 1_000_000
+HASH_BITS = 56
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -56,7 +57,7 @@ class Grams:
         self.sizes = np.array([len(w) for w in split], np.int64)
         said = [w for d in split for w in d]
         number = {w: k for k, w in enumerate(dict.fromkeys(said))}
-        one = np.array([xxhash.xxh3_64_intdigest(w) | 1 for w in number], np.uint64)
+        one = np.array([xxhash.xxh3_64_intdigest(w) >> 8 | 1 for w in number], np.uint64)
         level = one[np.fromiter(map(number.__getitem__, said), np.int64, len(said))] if said else one
         place = np.arange(len(level)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.levels = [level]
@@ -66,7 +67,7 @@ class Grams:
                 # an n-gram is the one before it and its last word
                 mixed = self.levels[-1][:-1] * _K[n % 3] + (level[1:] ^ (level[1:] >> np.uint64(31))) * _K[(n + 1) % 3]
                 mixed = (mixed ^ (mixed >> np.uint64(29))) * _K[0]
-                longer[1:] = (mixed ^ (mixed >> np.uint64(32))) | np.uint64(1)
+                longer[1:] = (mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - HASH_BITS) | np.uint64(1)
                 longer[place < n] = 0
                 self.levels.append(longer)
 
@@ -74,20 +75,18 @@ class Grams:
         every = np.concatenate(self.levels)
         return np.unique(every[every != 0], return_counts=True)
 
-    def micro_scores(self, known: np.ndarray, totals: np.ndarray, n_words: int, alpha: float = ALPHA) -> np.ndarray:
-        """Score of each word in millionths of a natural logarithm; ``known`` sorted, others count 1."""
-
-        def count(h):
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            return np.where(known[at] == h, totals[at], 1).astype(float) if len(known) else np.ones(len(h))
-
-        one = self.levels[0]
-        score = np.log(count(one) / max(n_words, 1))
+    def micro_scores(self, totals: np.ndarray, n_words: int, alpha: float = ALPHA) -> np.ndarray:
+        """Score of each word in millionths of a natural logarithm; ``totals`` in the order of ``counted``."""
+        every = np.concatenate(self.levels)
+        grams, place = np.unique(every, return_inverse=True)
+        if len(grams) and grams[0] == 0:
+            totals = np.concatenate([[1], totals])
+        counts = totals.astype(float)[place].reshape(len(self.levels), -1)
+        score = np.log(counts[0] / max(n_words, 1))
         score += (len(self.levels) - 1) * np.log(alpha)  # as if backed off to the end
         for n in range(1, len(self.levels)):
-            own = count(self.levels[n])
-            before = np.ones(len(own))
-            before[1:] = count(self.levels[n - 1][:-1])
+            own, before = counts[n], np.ones(counts.shape[1])
+            before[1:] = counts[n - 1][:-1]
             seen = (self.levels[n] != 0) & (own >= 2)
             score = np.where(seen, np.log(own / before) + (len(self.levels) - 1 - n) * np.log(alpha), score)
         return np.round(score * MICRO).astype(np.int64)
@@ -125,7 +124,7 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, shard_docs: int = SH
         shard = t.column("shard")[0].as_py()
         grams = Grams(texts(t), order)
         h, n = grams.counted()
-        part = (h >> np.uint64(64 - parts_bits)).astype(np.int64)
+        part = (h >> np.uint64(HASH_BITS - parts_bits)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
         rows = [(int(part[a]), shard, _pack_sorted(h[a:z]), _pack(n[a:z]))
                 for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)])]
@@ -137,30 +136,19 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, shard_docs: int = SH
         lists = [_unpack_sorted(h) for h in hs]
         grams, at = np.unique(np.concatenate(lists), return_inverse=True)
         totals = np.bincount(at, weights=np.concatenate([_unpack(n) for n in ns])).astype(np.uint64)
-        rows, lo = [], 0
-        for owner, h in zip(owners, lists):
-            mine = totals[at[lo:lo + len(h)]]
-            lo += len(h)
-            again = mine >= 2
-            if again.any():
-                rows.append((owner, _pack_sorted(h[again]), _pack(mine[again])))
-        cols = zip(*rows) if rows else [[]] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(cols, _TOTAL_TYPES)], names=["shard", "h", "n"])
+        ends = np.cumsum([len(h) for h in lists])
+        sums = [_pack(totals[at[e - len(h):e]]) for e, h in zip(ends.tolist(), lists)]
+        return pa.table({"shard": pa.array(owners, pa.int64()), "part": t.column("part"), "n": pa.array(sums, pa.binary())})
 
     blocks = dealt.groupBy("shard").applyInArrow(count_shard, "part long, shard long, h binary, n binary")
-    totals = blocks.groupBy("part").applyInArrow(join_totals, "shard long, h binary, n binary")
+    totals = blocks.groupBy("part").applyInArrow(join_totals, "shard long, part long, n binary")
     all_words = word_count(docs)
 
     def score_shard(t: pa.Table, known: pa.Table) -> pa.Table:
         grams = Grams(texts(t), order)
-        if known.num_rows:
-            h = np.concatenate([_unpack_sorted(x) for x in known.column("h").to_pylist()])
-            n = np.concatenate([_unpack(x) for x in known.column("n").to_pylist()])
-            by = np.argsort(h)
-            h, n = h[by], n[by]
-        else:
-            h, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        sums = np.concatenate([[0], np.cumsum(grams.micro_scores(h, n, all_words))])
+        parts = known.sort_by("part").column("n").to_pylist()
+        n = np.concatenate([_unpack(x) for x in parts]) if parts else np.zeros(0, np.uint64)
+        sums = np.concatenate([[0], np.cumsum(grams.micro_scores(n, all_words))])
         ends = np.cumsum(grams.sizes)
         return pa.table({
             "doc_id": t.column("doc_id"), "n_words": pa.array(grams.sizes),
@@ -171,4 +159,3 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, shard_docs: int = SH
 
 
 _BLOCK_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-_TOTAL_TYPES = [pa.int64(), pa.binary(), pa.binary()]
