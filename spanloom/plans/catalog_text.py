@@ -64,6 +64,24 @@ def search_phrase(spark, sf):
     return Q.match(_postings(spark, sf), "of-the", stem=False).select("session_id", "step_index", "tf")
 
 
+# Terms that share a stem with a word of the query.
+_STEMS = [
+    *[(t, "and") for t in "and ands ande andes anded anding andings andness andful".split()],
+    *[(t, "the") for t in "the thes theing theings".split()],
+]
+
+
+@query("search_stemmed_scores", f"""WITH {_TOK}, v(term, stem) AS (VALUES {', '.join(map(str, _STEMS))}),
+  a1 AS (SELECT conv_id, turn, count(*) AS tf FROM tok JOIN v USING (term) WHERE stem = 'and' GROUP BY 1, 2),
+  a2 AS (SELECT conv_id, turn, count(*) AS tf FROM tok JOIN v USING (term) WHERE stem = 'the' GROUP BY 1, 2)
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, turn + 1 AS step_index,
+    round(-({_weight('a1.tf', '(SELECT count(*) FROM a1)')} + {_weight('a2.tf', '(SELECT count(*) FROM a2)')}), 8) AS score
+  FROM a1 JOIN a2 USING (conv_id, turn) JOIN dl USING (conv_id, turn), st""")
+def search_stemmed(spark, sf):
+    s = Q.score(Q.postings(_steps(spark, sf), columns=["message"]), "anding the")
+    return s.select("session_id", "step_index", F.round("score", 8).alias("score"))
+
+
 @query("search_stemmed_top")
 def search_top(spark, sf):
     steps = _steps(spark, sf)
