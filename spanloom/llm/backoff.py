@@ -23,7 +23,7 @@ from .fm_index import words
 
 ORDER = 3
 ALPHA = 0.4
-SHARD_DOCS = 4096
+SHARD_DOCS = 2048
 MICRO = 1_000_000
 HASH_BITS = 56
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -72,15 +72,16 @@ class Grams:
                 self.levels.append(longer)
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        every = np.concatenate(self.levels)
-        return np.unique(every[every != 0], return_counts=True)
+        grams, n = np.unique(np.concatenate(self.levels), return_counts=True)
+        none = int(len(grams) > 0 and grams[0] == 0)
+        return grams[none:], n[none:]
 
     def micro_scores(self, totals: np.ndarray, n_words: int, alpha: float = ALPHA) -> np.ndarray:
         """Score of each word in millionths of a natural logarithm; ``totals`` in the order of ``counted``."""
-        every = np.concatenate(self.levels)
-        grams, place = np.unique(every, return_inverse=True)
+        grams, place = np.unique(np.concatenate(self.levels), return_inverse=True)
         if len(grams) and grams[0] == 0:
             totals = np.concatenate([[1], totals])
+        del grams
         counts = totals.astype(float)[place].reshape(len(self.levels), -1)
         score = np.log(counts[0] / max(n_words, 1))
         score += (len(self.levels) - 1) * np.log(alpha)  # as if backed off to the end

@@ -140,16 +140,16 @@ def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFr
 
     def run(batches):
         models = shared.value
-        memo: dict[bytes, list] = {}
+        memo: dict[bytes, tuple] = {}
         use = {int(f) for m in models for f in m.names}
 
         def known(w):
-            if len(memo) > 300_000:
+            if len(memo) > 150_000:
                 memo.clear()
-            hit = memo[w] = [f for f in word_features(w) if f in use]
+            hit = memo[w] = tuple(f for f in word_features(w) if f in use)
             return hit
 
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             bags = []
             for t in b.column("text").to_pylist():
                 bag: set[int] = set()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,14 +15,14 @@ from ..session import checkpoint_dir, tune, written
 __all__ = ["checkpoint_dir", "components", "pieces", "ready", "table", "unzip", "written", "zipped"]
 
 BATCH_ROWS = 2000
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the operators: adaptive plans and small Arrow batches."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * PIECE_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * PIECE_BYTES))
     return spark
 
 
@@ -42,6 +42,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             size += v or 0
         if at < batch.num_rows:
             yield batch.slice(at)
+        del batch, values
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks
 
 
 def zipped(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -67,7 +69,7 @@ def unzip(values: list[bytes | None]) -> list[bytes | None]:
     return [None if z is None else open_(z) for z in values]
 
 
-def components(edges: DataFrame, rounds_max: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 
     Every round each node takes its smallest neighbour as parent, follows parents once
@@ -77,9 +79,7 @@ def components(edges: DataFrame, rounds_max: int = 200) -> DataFrame:
     live = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     names = None
-    for _ in range(rounds_max):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         both = live.select(F.col("a").alias("v"), F.col("b").alias("p")).union(live.select("b", "b"))
         step = both.groupBy("v").agg(F.min("p").alias("p"))
         jump = step.select(F.col("v").alias("p"), F.col("p").alias("q"))
@@ -98,6 +98,3 @@ def components(edges: DataFrame, rounds_max: int = 200) -> DataFrame:
     if names is None:
         names = live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return names
-
-
-Query = Callable[[SparkSession, str], DataFrame]

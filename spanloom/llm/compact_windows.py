@@ -128,7 +128,7 @@ _CELL_DDL = "key long, doc long, at long, to_doc long, to_at long"
 def _cells(batches, least: int):
     """Cells of each batch.  Under a signature the smallest document's rows go on (to_doc
     null); rows of other documents become links to its first."""
-    for b in pieces(batches, "text", 8 << 20):
+    for b in pieces(batches, "text", 4 << 20):
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         h, starts = shingles([words(t) for t in b.column("text").to_pylist()])
         key, doc, at = signature_cells(h, starts, least)

@@ -22,7 +22,7 @@ from .common import pieces
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 16
 # A-Z fold to a-z; every other ASCII character that is no digit or small letter parts words.
 _FOLD = bytes(
@@ -173,14 +173,15 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_phrases(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: list[str] | None = None,
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: list[str] | None = None, cut: bool = False,
 ) -> DataFrame:
     """``columns`` (all of them where not given) of ``docs`` (with ``text``), and n_words, spans (merged word ranges that
     lie in a test phrase) and items (sorted ids, as strings, of the items met).
 
     Items (item_id, text) are taken in blocks of about BLOCK_BYTES of text by a hash of
     their id; all documents pass every block, without a shuffle.  A null text has no words.
-    Own columns of these names are replaced; repeated rows are treated each.
+    Own columns of these names are replaced; repeated rows are treated each.  With ``cut``
+    the spans are taken out of ``text``.
     """
     docs = docs.drop("n_words", "spans", "items")
     spark = docs.sparkSession
@@ -191,9 +192,10 @@ def find_phrases(
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in mine.select("item_id", "text").collect()], window))
 
-        keep = columns if columns and block == blocks - 1 else docs.columns
+        last = block == blocks - 1
+        keep = columns if columns and last else docs.columns
 
-        def run(batches, phrases=phrases, later=block > 0, keep=keep):
+        def run(batches, phrases=phrases, later=block > 0, keep=keep, cut=cut and last):
             phrases = phrases.value
             for b in pieces(batches, "text", SHARD_BYTES):
                 split = [words(t) for t in b.column("text").to_pylist()]
@@ -210,9 +212,14 @@ def find_phrases(
                     for k, (s, i) in enumerate(zip(b.column("spans").to_pylist(), b.column("items").to_pylist())):
                         spans[k] += [(x["first"], x["last"]) for x in s]
                         met[k].update(i)
+                spans = [_merge(s) for s in spans]
+                cols = {c: b.column(c) for c in keep}
+                if cut:
+                    texts = [cut_spans(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), spans)]
+                    cols["text"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([
-                    *[b.column(c) for c in keep], pa.array(np.diff(starts)),
-                    pa.array([[{"first": a, "last": z} for a, z in _merge(s)] for s in spans], _SPANS),
+                    *cols.values(), pa.array(np.diff(starts)),
+                    pa.array([[{"first": a, "last": z} for a, z in s] for s in spans], _SPANS),
                     pa.array([sorted(m) for m in met], pa.list_(pa.string())),
                 ], names=[*keep, "n_words", "spans", "items"])
 
@@ -233,14 +240,4 @@ def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     """``docs`` with the merged spans cut out of ``text``; clean texts are unchanged."""
     columns = docs.columns
     hidden = [c if c == "text" else f"_c{k}" for k, c in enumerate(columns)]  # no clash with spans and items
-    found = find_phrases(docs.toDF(*hidden), items, window)
-
-    def run(batches):
-        for b in batches:
-            texts = [
-                cut_spans(t, [(x["first"], x["last"]) for x in s]) if s else t
-                for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
-            cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in hidden]
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
-
-    return found.select(*hidden, "spans").mapInArrow(run, docs.schema)
+    return find_phrases(docs.toDF(*hidden), items, window, cut=True).select(*hidden).toDF(*columns)
