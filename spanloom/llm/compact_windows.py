@@ -254,7 +254,8 @@ def repeated_passages(
             lambda batches: _regions(batches, least),
             "doc long, b0 long, b1 long, to_doc long, a0 long, a1 long"), "regions")
 
-    texts = zipped(known, ["doc_id"])
+    # Sides grow with the input: the same plan at every size, and one shuffle of the texts for both uses.
+    texts = zipped(known.where("text is not null"), ["doc_id"])
     asked = regions.select(F.col("to_doc").alias("doc_id"), "a0", "a1").distinct()
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a0", "a1")).alias("ranges"))
 
@@ -263,7 +264,7 @@ def repeated_passages(
         for b in pieces(batches, "_z", 1 << 20):
             out: list[list] = [[], [], [], []]
             for i, z, ranges in zip(b.column("doc_id").to_pylist(), unzip(b.column("_z").to_pylist()), b.column("ranges").to_pylist()):
-                h, _ = shingles([words(z.decode() if z else None)])
+                h, _ = shingles([words(z.decode())])
                 for r in ranges:
                     for col, x in zip(out, (i, r["a0"], r["a1"], pack(h[r["a0"]:r["a1"]].tobytes()))):
                         col.append(x)
@@ -271,8 +272,8 @@ def repeated_passages(
                 [*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())],
                 names=["to_doc", "a0", "a1", "slice"])
 
-    slices = texts.join(asked, "doc_id").mapInArrow(cut, "to_doc long, a0 long, a1 long, slice binary")
-    both = regions.join(slices, ["to_doc", "a0", "a1"]).withColumnRenamed("doc", "doc_id")
+    slices = texts.join(asked.hint("merge"), "doc_id").mapInArrow(cut, "to_doc long, a0 long, a1 long, slice binary")
+    both = regions.join(slices.hint("merge"), ["to_doc", "a0", "a1"]).withColumnRenamed("doc", "doc_id")
 
     def verify(batches):
         seen, h = None, None
@@ -289,7 +290,7 @@ def repeated_passages(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in out], names=["doc", "first", "last", "to_doc"])
 
-    checked = texts.where("_z is not null").join(both, "doc_id").select("doc_id", "_z", "b0", "b1", "to_doc", "slice")
+    checked = texts.join(both.hint("merge"), "doc_id").select("doc_id", "_z", "b0", "b1", "to_doc", "slice")
     return checked.mapInArrow(verify, "doc long, first long, last long, to_doc long")
 
 
@@ -338,7 +339,7 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     hidden = [c if c in ("doc_id", "text") else f"_c{k}" for k, c in enumerate(columns)]  # no clash with spans
     kept = [c for c in hidden if c != "text"]
-    met = zipped(docs.toDF(*hidden), kept).join(found, "doc_id", "left").select(*kept, "_z", "spans")
+    met = zipped(docs.toDF(*hidden), kept).join(found.hint("merge"), "doc_id", "left").select(*kept, "_z", "spans")
 
     def run(batches):
         for b in pieces(batches, "_z", 1 << 20):
