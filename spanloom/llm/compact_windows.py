@@ -12,7 +12,8 @@ Documents meet under a signature and are linked to its first holder alone, first
 batch, so that a signature of very many documents is one row a batch.  Links of a pair of
 documents on one diagonal are merged to regions, and the shingles of a region are compared
 on both sides: a passage counts when it has ``LENGTH`` words or more and a similarity
-(Jaccard, shingles) of ``SIMILARITY`` or more.
+(Jaccard, shingles) of ``SIMILARITY`` or more.  Each window of ``LENGTH`` is judged on its
+own, so a passage does not hang on what stands beside it.
 """
 
 from __future__ import annotations
@@ -197,11 +198,101 @@ def _regions(batches, least: int):
         yield close(held, np.array([0, len(held[0])]))
 
 
-def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
-    """Stretches [s, e) of shingles ``b`` of which each window of ``least`` has enough in
-    ``a``, and whose similarity with their place in ``a`` is high enough."""
-    if len(b) < least or not len(a):
-        return []
+def _distinct(x: np.ndarray, least: int) -> np.ndarray:
+    """Number of distinct values in each window of ``least`` values."""
+    n = len(x) - least + 1
+    order = np.argsort(x, kind="stable")
+    again = np.flatnonzero(x[order[1:]] == x[order[:-1]])
+    p, k = order[again], order[again + 1]
+    near = k - p < least
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(k[near] - least + 1, 0), 1)
+    np.add.at(step, np.minimum(p[near], n - 1) + 1, -1)
+    return least - np.cumsum(step[:n])
+
+
+def _held(x: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first window, end) of the runs of windows that hold a value; ``x`` stand at ``at``."""
+    order = np.lexsort((at, x))
+    x, at = x[order], at[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (at[1:] - at[:-1] > least)
+    first = np.flatnonzero(new)
+    return x[first], at[first] - least + 1, at[np.append(first[1:], len(x)) - 1] + 1
+
+
+def _common(b: np.ndarray, p: np.ndarray, a: np.ndarray, q: np.ndarray, least: int, n: int) -> np.ndarray:
+    """Number of distinct values that windows 0 to n of ``b`` (at ``p``) and ``a`` (at ``q``) both hold."""
+    sides = [_held(b, p, least), _held(a, q, least)]
+    value = np.concatenate([s[0] for s in sides for _ in range(2)])
+    at = np.concatenate([s[k] for s in sides for k in (1, 2)])
+    turn = np.concatenate([np.full(len(s[0]), k) for s in sides for k in (1, -1)])
+    order = np.lexsort((turn, at, value))
+    at, both = np.clip(at[order], 0, n), np.cumsum(turn[order]) == 2
+    was = np.concatenate([[False], both[:-1]])
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, at[both & ~was], 1)
+    np.add.at(step, at[was & ~both], -1)
+    return np.cumsum(step[:n])
+
+
+def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """For each window of ``least`` shingles of ``b``: is one of ``a`` as similar as ``similarity``?
+
+    Windows are compared on the diagonals on which shingles of both stand, so words may be
+    changed, added or dropped, but not moved about.
+    """
+    n, m = len(b) - least + 1, len(a) - least + 1
+    if n < 1 or m < 1:
+        return np.zeros(max(n, 0), bool)
+    order = np.argsort(a, kind="stable")
+    ordered = a[order]
+    lo, hi = np.searchsorted(ordered, b), np.searchsorted(ordered, b, "right")
+    hit = np.flatnonzero(hi > lo)
+    out = np.zeros(n, bool)
+    if not len(hit):
+        return out
+    nb, na = _distinct(b, least), _distinct(a, least)
+    share = 2 * similarity / (1 + similarity) * least - 1e-9  # of equal sets of one size with that Jaccard
+    least_common = similarity * (nb + na.min()) / (1 + similarity) - 1e-9
+    holds = _held(b[hit], hit, least)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.clip(holds[1], 0, n), 1)
+    np.add.at(step, np.clip(holds[2], 0, n), -1)
+    open_ = np.cumsum(step[:n]) >= least_common
+    if not open_.any():
+        return out
+    shifts, times = np.unique(
+        np.concatenate([order[lo[hit]] - hit, order[hi[hit] - 1] - hit]), return_counts=True)
+    theirs = np.flatnonzero(np.isin(a, b[hit]))
+    for d in shifts[np.argsort(-times, kind="stable")].tolist():
+        i0, i1 = max(0, -d), min(n, m - d)
+        if i1 <= i0 or not open_[i0:i1].any():
+            continue
+        near = i0 + np.flatnonzero(open_[i0:i1])
+        i0, i1 = int(near[0]), int(near[-1]) + 1
+        # where no shingle stands twice, shingles in their place are enough for most windows
+        same = np.concatenate([[0], np.cumsum(b[i0:i1 + least - 1] == a[i0 + d:i1 + d + least - 1])])
+        good = (same[least:] - same[:-least] >= share) & (nb[i0:i1] == least) & (na[i0 + d:i1 + d] == least)
+        out[i0:i1] |= good
+        open_[i0:i1] &= ~good
+        if not open_[i0:i1].any():
+            continue
+        p = hit[(hit >= i0) & (hit < i1 + least - 1)]
+        q = theirs[(theirs >= i0 + d) & (theirs < i1 + d + least - 1)]
+        if not len(p) or not len(q):
+            continue
+        c = _common(b[p], p - i0, a[q], q - d - i0, least, i1 - i0)
+        good = c >= similarity * (nb[i0:i1] + na[i0 + d:i1 + d] - c) - 1e-9
+        out[i0:i1] |= good
+        open_[i0:i1] &= ~good
+        if not open_.any():
+            break
+    return out
+
+
+def _whole_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+    """Stretches [s, e) of dense windows whose similarity with their place in ``a`` is high enough as a whole."""
     order = np.argsort(a, kind="stable")
     place = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
     hit = a[order[place]] == b
@@ -229,7 +320,27 @@ def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: flo
         elif len(inside) < e - s:  # part it at its widest gap
             k = int(np.diff(inside).argmax())
             todo += [(s, int(inside[k]) + 1), (int(inside[k + 1]), e)]
-    return sorted(out)
+    return out
+
+
+def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+    """Stretches [s, e) of shingles ``b``: the union of the windows of ``least`` that have
+    their like in ``a`` (see ``matching_windows``), and longer stretches of dense windows
+    that are similar enough as a whole."""
+    if len(b) < least or not len(a):
+        return []
+    found = np.flatnonzero(matching_windows(b, a, least, similarity))
+    out = _whole_stretches(b, a, least, similarity)
+    if len(found):
+        cuts = np.flatnonzero(np.diff(found) > least)
+        out += zip(found[np.concatenate([[0], cuts + 1])].tolist(), (found[np.append(cuts, len(found) - 1)] + least).tolist())
+    merged: list[tuple[int, int]] = []
+    for s, e in sorted(out):
+        if merged and s <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(merged[-1][1], e)
+        else:
+            merged.append((s, e))
+    return merged
 
 
 def repeated_passages(

@@ -174,6 +174,37 @@ def test_exact_repeats_of_the_driver_tables_are_found(spark, sf, small):
     assert need <= 0.02 * total
 
 
+def plain_windows(b, a, least):
+    """Windows of b that have one of a at Jaccard 0.8 or more."""
+    theirs = [set(a[k:k + least].tolist()) for k in range(len(a) - least + 1)]
+    mine = [set(b[k:k + least].tolist()) for k in range(len(b) - least + 1)]
+    return np.array([any(5 * len(m & t) >= 4 * len(m | t) for t in theirs) for m in mine], bool)
+
+
+def edited_copies(rng, n):
+    """Pairs of word lists: regular and random edits, large and small vocabularies."""
+    for trial in range(n):
+        w = [b"%d" % x for x in rng.integers(0, (10 ** 6, 60, 5)[trial % 3], 200)]
+        v = list(w)
+        if trial % 2:
+            for k in range(7, 200, 30 + trial % 11):
+                v[k] = b"new%d" % k
+        else:
+            for k in sorted(rng.choice(200, int(rng.integers(2, 11)), replace=False).tolist(), reverse=True):
+                v[k:k + 1] = [[b"new%d" % k], [b"new", v[k]], []][int(rng.integers(3))]
+        yield w, [b"own%d" % k for k in range(trial)] + v
+
+
+def test_every_window_that_is_alike_is_matched():
+    for w, v in edited_copies(np.random.default_rng(21), 24):
+        b, a = (compact_windows.shingles([x])[0] for x in (w, v))
+        need, got = plain_windows(b, a, 46), np.zeros(len(b), bool)
+        assert (compact_windows.matching_windows(b, a, 46, 0.8) == need).all()
+        for s, e in compact_windows.matching_stretches(b, a, 46, 0.8):
+            got[s:e] = True
+        assert all(got[i:i + 46].all() for i in np.flatnonzero(need))
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------
 
 
