@@ -6,7 +6,9 @@ within [left, right] that hold the centre, which have their least hash there.  T
 two functions are joined by interval: each cell of their overlay is a run of subsequences
 of ``LENGTH`` words that share the signature (least hash, least hash).  Three pairs of
 functions are used.  Two documents with a passage of that length in common have its
-signatures in common, and a near copy keeps most of them.
+signatures in common, and a near copy keeps most of them.  Near copies are not left to
+that: windows of ``SIMILARITY`` have an exact run of ``sure_run`` shingles in common, and
+grams are chosen so that each such run holds one, which is a signature as well.
 
 Documents meet under a signature and are linked to its first holder alone, first inside a
 batch, so that a signature of very many documents is one row a batch.  Links of a pair of
@@ -18,6 +20,8 @@ own, so a passage does not hang on what stands beside it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -84,12 +88,45 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def signature_cells(h: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sure_run(least: int, similarity: float) -> int:
+    """Shingles that two windows of ``least`` with that similarity have in one run at least.
+
+    A changed, added or dropped word inside costs SHINGLE - 1 shingles or more, so few fit,
+    and the shingles in common stand in one run more than that.
+    """
+    common = math.ceil(2 * similarity / (1 + similarity) * least - 1e-9)
+    return -(-common // ((least - common) // (SHINGLE - 1) + 1))
+
+
+def chosen_grams(h: np.ndarray, starts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place in ``h``) of grams, one or more in every ``run`` shingles of a document.
+
+    Of the grams that begin in half a run the first of the least hash is taken, so that
+    two documents with the same run take the same gram of it.
+    """
+    size = (run + 1) // 2
+    wide = run - size + 1
+    if len(h) < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = len(h) - size + 1
+    key = np.full(n, np.uint64(size))
+    with np.errstate(over="ignore"):
+        for k in sorted({*range(0, size, SHINGLE), size - 1}):
+            key = key * _STEP + h[k:n + k]
+    key = _mix(key)
+    picked = np.arange(n - wide + 1) + np.lib.stride_tricks.sliding_window_view(key, wide).argmin(1)
+    left = np.repeat(starts[1:], np.diff(starts))[:len(picked)] - np.arange(len(picked))
+    at = np.unique(picked[left >= run])
+    return key[at].view(np.int64), at
+
+
+def signature_cells(h: np.ndarray, starts: np.ndarray, least: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, document number, shingle position in the document) of all cells.
 
     A compact window owns the subsequences of ``least`` shingles that start in
     [max(left, centre - least + 1), min(centre, right - least + 1)]; over all windows
     these ranges part a document, so two trees are joined by merging their range starts.
+    Chosen grams follow as cells of their own.
     """
     trees = []
     for seed in _SEEDS:
@@ -117,8 +154,11 @@ def signature_cells(h: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.n
         keys.append(key[new])
         docs.append(doc[new])
         places.append((ci - starts[doc])[new])
-    if not keys:
-        return (np.zeros(0, np.int64),) * 3
+    key, at = chosen_grams(h, starts, sure_run(least, similarity))
+    doc = np.searchsorted(starts, at, "right") - 1
+    keys.append(key)
+    docs.append(doc)
+    places.append(at - starts[doc])
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
 
 
@@ -126,13 +166,13 @@ _CELL = ["key", "doc", "at", "to_doc", "to_at"]
 _CELL_DDL = "key long, doc long, at long, to_doc long, to_at long"
 
 
-def _cells(batches, least: int):
+def _cells(batches, least: int, similarity: float):
     """Cells of each batch.  Under a signature the smallest document's rows go on (to_doc
     null); rows of other documents become links to its first."""
     for b in pieces(batches, "text", 4 << 20):
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         h, starts = shingles([words(t) for t in b.column("text").to_pylist()])
-        key, doc, at = signature_cells(h, starts, least)
+        key, doc, at = signature_cells(h, starts, least, similarity)
         doc = ids[doc]
         order = np.lexsort((at, doc, key))
         key, doc, at = key[order], doc[order], at[order]
@@ -355,7 +395,7 @@ def repeated_passages(
     """
     least = length - SHINGLE + 1
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    cells = known.mapInArrow(lambda batches: _cells(batches, least), _CELL_DDL)
+    cells = known.mapInArrow(lambda batches: _cells(batches, least, similarity), _CELL_DDL)
     dealt = cells.repartition(F.coalesce("key", F.xxhash64("doc", "at"))).sortWithinPartitions("key", "doc", "at")
     links = dealt.mapInArrow(_first_holders, "doc long, at long, to_doc long, to_at long")
     links = links.withColumn("shift", F.col("at") - F.col("to_at"))

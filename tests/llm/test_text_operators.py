@@ -205,6 +205,20 @@ def test_every_window_that_is_alike_is_matched():
         assert all(got[i:i + 46].all() for i in np.flatnonzero(need))
 
 
+def test_near_passages_have_a_signature_in_common():
+    rng = np.random.default_rng(4)
+    some = lambda n: [b"%d" % x for x in rng.integers(0, 10 ** 8, n)]
+    for trial in range(400):
+        w = some(50)
+        v, k = list(w), int(rng.integers(50))
+        v[k:k + 1] = [[b"new"], [b"new", v[k]], []][trial % 3]
+        texts = [some(70) + w + some(90), some(30) + v + some(60)]
+        h, starts = compact_windows.shingles(texts)
+        key, doc, at = compact_windows.signature_cells(h, starts, 46)
+        near = plain_windows(*(h[starts[i]:starts[i + 1]] for i in (0, 1)), 46) if trial < 20 else [True]
+        assert any(near) and len(np.intersect1d(key[doc == 0], key[doc == 1]))
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------
 
 
