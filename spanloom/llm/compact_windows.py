@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -117,7 +118,7 @@ def chosen_grams(h: np.ndarray, starts: np.ndarray, run: int) -> tuple[np.ndarra
     picked = np.arange(n - wide + 1) + np.lib.stride_tricks.sliding_window_view(key, wide).argmin(1)
     left = np.repeat(starts[1:], np.diff(starts))[:len(picked)] - np.arange(len(picked))
     at = np.unique(picked[left >= run])
-    return key[at].view(np.int64), at
+    return (key[at] | np.uint64(1)).view(np.int64), at  # odd, other signatures even
 
 
 def signature_cells(h: np.ndarray, starts: np.ndarray, least: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +148,7 @@ def signature_cells(h: np.ndarray, starts: np.ndarray, least: int, similarity: f
             continue
         ci, cj = ci[np.searchsorted(ai, x, "right") - 1], cj[np.searchsorted(aj, x, "right") - 1]
         with np.errstate(over="ignore"):
-            key = _mix(vi[ci] * _STEP + vj[cj] + np.uint64(band + 1)).view(np.int64)
+            key = (_mix(vi[ci] * _STEP + vj[cj] + np.uint64(band + 1)) & ~np.uint64(1)).view(np.int64)
         doc = np.searchsorted(starts, x, "right") - 1
         new = np.ones(len(x), bool)  # a text that repeats itself gives one signature over and over
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
@@ -163,37 +164,40 @@ def signature_cells(h: np.ndarray, starts: np.ndarray, least: int, similarity: f
 
 
 _CELL = ["key", "doc", "at", "to_doc", "to_at"]
-_CELL_DDL = "key long, doc long, at long, to_doc long, to_at long"
+_LINK = [*_CELL, "led"]
+_LINK_DDL = "key long, doc long, at long, to_doc long, to_at long, led boolean"
+
+
+def _led(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Link the rows of each key to its first; the smallest document's rows are not led.  Of a
+    gram, whose key is odd, other places in the first document are led as well: they count."""
+    order = np.lexsort((at, doc, key))
+    key, doc, at = key[order], doc[order], at[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    other = (doc != doc[lead]) | ((key & 1 == 1) & (at != at[lead]))
+    return pa.RecordBatch.from_arrays([
+        pa.array(key, mask=other & (key & 1 == 0)), pa.array(doc), pa.array(at),
+        pa.array(doc[lead], mask=~other), pa.array(at[lead], mask=~other), pa.array(other)], names=_LINK)
 
 
 def _cells(batches, least: int, similarity: float):
-    """Cells of each batch.  Under a signature the smallest document's rows go on (to_doc
-    null); rows of other documents become links to its first."""
+    """Cells of each batch, linked to the first holders in it."""
     for b in pieces(batches, "text", 4 << 20):
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         h, starts = shingles([words(t) for t in b.column("text").to_pylist()])
         key, doc, at = signature_cells(h, starts, least, similarity)
-        doc = ids[doc]
-        order = np.lexsort((at, doc, key))
-        key, doc, at = key[order], doc[order], at[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        other = doc != doc[lead]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(key, mask=other), pa.array(doc), pa.array(at),
-            pa.array(doc[lead], mask=~other), pa.array(at[lead], mask=~other)], names=_CELL)
+        yield _led(key, ids[doc], at)
 
 
 def _first_holders(batches):
     """Link the rows of a run of equal keys to its first; rows that are links pass."""
     last = None  # key, document and place that lead the run at the end of the last batch
     for b in batches:
-        if not b.num_rows:
-            continue
-        linked = b.filter(b.column("to_doc").is_valid())
+        linked = b.filter(b.column("led"))
         if linked.num_rows:
-            yield linked.select(_CELL[1:])
-        b = b.filter(b.column("to_doc").is_null())
+            yield linked.select(_CELL)
+        b = b.filter(pc.invert(b.column("led")))
         if not b.num_rows:
             continue
         key, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in _CELL[:3])
@@ -201,10 +205,85 @@ def _first_holders(batches):
             key, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (key, doc, at)))
         first = np.concatenate([[True], key[1:] != key[:-1]])
         lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        other = doc != doc[lead]
+        other = (doc != doc[lead]) | ((key & 1 == 1) & (at != at[lead]))
         last = key[lead[-1]], doc[lead[-1]], at[lead[-1]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[other]) for x in (doc, at, doc[lead], at[lead])], names=_CELL[1:])
+            [pa.array(x[other]) for x in (key, doc, at, doc[lead], at[lead])], names=_CELL)
+
+
+def _links(cells: DataFrame) -> DataFrame:
+    """Links of all cells to first holders; rows that lead a batch meet in one place a key."""
+    deal = F.when(F.col("led"), F.xxhash64("doc", "at")).otherwise(F.col("key"))
+    return cells.repartition(deal).sortWithinPartitions("key", "doc", "at").mapInArrow(
+        _first_holders, ", ".join(f"{c} long" for c in _CELL))
+
+
+def certificates(
+    h: np.ndarray, grams: np.ndarray, least: int, similarity: float, copied: list[tuple[int, int]] = (),
+) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first shingle) of what is left of windows when one word is changed, added or dropped.
+
+    Each key stands for the shingles that two windows need in common, in two runs (or one)
+    with the gap that a word leaves.  Equal keys are proof of similarity, so any holder
+    serves as the first.  Only keys whose longer run holds one of ``grams`` are given, and
+    none that lie in [first, last) of ``copied``: an earlier document has those.
+    """
+    run = sure_run(least, similarity)
+    size = (run + 1) // 2
+    common = math.ceil(2 * similarity / (1 + similarity) * least - 1e-9)
+    n = len(h)
+    with np.errstate(over="ignore"):
+        up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + least, _STEP))])
+        down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(pow(int(_STEP), -1, 1 << 64))))])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:n], dtype=np.uint64)])
+        marks = np.zeros(n + 1, np.int64)
+        marks[grams[grams < n]] = 1
+        marks = np.concatenate([[0], np.cumsum(marks)])
+        near = np.zeros(n + 1, np.int64)
+        np.add.at(near, np.maximum(grams - least, 0), 1)
+        np.add.at(near, np.minimum(grams + 1, n), -1)
+        keys, places = [], []
+        starts = np.flatnonzero(np.cumsum(near)[:n] > 0)
+        until = np.zeros(n + 1, np.int64)  # end of the copied stretch that a shingle stands in
+        for first, last in copied:
+            until[first:last] = np.maximum(until[first:last], last)
+        for gap in range(SHINGLE - 1, max(least - common, SHINGLE - 1) + 1):
+            for k in range(1, common + (gap == SHINGLE - 1)):
+                i = starts[starts + common + (gap if k < common else 0) <= n]
+                j = i + k + gap if k < common else i
+                s, e = (i, i + k) if k >= common - k else (j, j + common - k)
+                good = (marks[np.maximum(e - size + 1, s)] > marks[s]) & (
+                until[i] < (j + common - k if k < common else i + common))
+                i, j = i[good], j[good]
+                key = (total[i + k] - total[i]) * down[i]
+                if k < common:
+                    key = key + up[k] * ((total[j + common - k] - total[j]) * down[j])
+                keys.append(_mix(key + np.uint64(k)) & ~np.uint64(1))
+                places.append(i)
+    return np.concatenate(keys).view(np.int64), np.concatenate(places)
+
+
+def _certified(batches, least: int, similarity: float):
+    """Certificates of each batch; a place in a copy of the first holder's text needs none."""
+    size = (sure_run(least, similarity) + 1) // 2
+    for b in pieces(batches, "_z", 1 << 17):
+        found = [], [], []
+        for i, z, grams, exact in zip(
+                b.column("doc_id").to_pylist(), unzip(b.column("_z").to_pylist()),
+                b.column("grams").to_pylist(), b.column("exact").to_pylist()):
+            h, _ = shingles([words(z.decode())])
+            at = np.unique(np.array(grams, np.int64))
+            lo, hi = np.maximum(at + size - least, 0), np.minimum(at + least, len(h))
+            for x in exact or ():
+                keep = (lo < x["first"]) | (hi > x["last"])
+                at, lo, hi = at[keep], lo[keep], hi[keep]
+            if len(at):
+                copied = [(x["first"], x["last"]) for x in exact or ()]
+                key, place = certificates(h, at, least, similarity, copied)
+                for col, x in zip(found, (key, np.full(len(key), i, np.int64), place)):
+                    col.append(x)
+        if found[0]:
+            yield _led(*(np.concatenate(x) for x in found))
 
 
 def _regions(batches, least: int):
@@ -292,19 +371,24 @@ def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float
     out = np.zeros(n, bool)
     if not len(hit):
         return out
-    nb, na = _distinct(b, least), _distinct(a, least)
     share = 2 * similarity / (1 + similarity) * least - 1e-9  # of equal sets of one size with that Jaccard
-    least_common = similarity * (nb + na.min()) / (1 + similarity) - 1e-9
-    holds = _held(b[hit], hit, least)
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, np.clip(holds[1], 0, n), 1)
-    np.add.at(step, np.clip(holds[2], 0, n), -1)
-    open_ = np.cumsum(step[:n]) >= least_common
+    sorted_b = np.sort(b)
+    if (sorted_b[1:] != sorted_b[:-1]).all() and (ordered[1:] != ordered[:-1]).all():  # the common case
+        nb, na = np.full(n, least), np.full(m, least)
+        known = np.concatenate([[0], np.cumsum(hi > lo)])
+        open_ = known[least:] - known[:-least] >= share
+    else:
+        nb, na = _distinct(b, least), _distinct(a, least)
+        holds = _held(b[hit], hit, least)
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, np.clip(holds[1], 0, n), 1)
+        np.add.at(step, np.clip(holds[2], 0, n), -1)
+        open_ = np.cumsum(step[:n]) >= similarity * (nb + na.min()) / (1 + similarity) - 1e-9
     if not open_.any():
         return out
     shifts, times = np.unique(
         np.concatenate([order[lo[hit]] - hit, order[hi[hit] - 1] - hit]), return_counts=True)
-    theirs = np.flatnonzero(np.isin(a, b[hit]))
+    theirs = None
     for d in shifts[np.argsort(-times, kind="stable")].tolist():
         i0, i1 = max(0, -d), min(n, m - d)
         if i1 <= i0 or not open_[i0:i1].any():
@@ -318,6 +402,8 @@ def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float
         open_[i0:i1] &= ~good
         if not open_[i0:i1].any():
             continue
+        if theirs is None:
+            theirs = np.flatnonzero(np.isin(a, b[hit]))
         p = hit[(hit >= i0) & (hit < i1 + least - 1)]
         q = theirs[(theirs >= i0 + d) & (theirs < i1 + d + least - 1)]
         if not len(p) or not len(q):
@@ -331,15 +417,18 @@ def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float
     return out
 
 
-def _whole_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
-    """Stretches [s, e) of dense windows whose similarity with their place in ``a`` is high enough as a whole."""
+def _whole_stretches(
+    b: np.ndarray, a: np.ndarray, least: int, similarity: float, passed: np.ndarray,
+) -> list[tuple[int, int]]:
+    """Stretches [s, e) of dense windows whose similarity with their place in ``a`` is high enough as a whole;
+    none where all dense windows have ``passed`` on their own."""
     order = np.argsort(a, kind="stable")
     place = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
     hit = a[order[place]] == b
     total = np.concatenate([[0], np.cumsum(hit)])
     share = 2 * similarity / (1 + similarity)  # of equal sets of one size with that Jaccard
     dense = np.flatnonzero(total[least:] - total[:-least] >= np.ceil(share * least - 1e-9))
-    if not len(dense):
+    if passed[dense].all():
         return []
     cuts = np.flatnonzero(np.diff(dense) > least)
     todo = list(zip(dense[np.concatenate([[0], cuts + 1])].tolist(), (dense[np.append(cuts, len(dense) - 1)] + least).tolist()))
@@ -369,8 +458,9 @@ def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: flo
     that are similar enough as a whole."""
     if len(b) < least or not len(a):
         return []
-    found = np.flatnonzero(matching_windows(b, a, least, similarity))
-    out = _whole_stretches(b, a, least, similarity)
+    passed = matching_windows(b, a, least, similarity)
+    found = np.flatnonzero(passed)
+    out = _whole_stretches(b, a, least, similarity, passed)
     if len(found):
         cuts = np.flatnonzero(np.diff(found) > least)
         out += zip(found[np.concatenate([[0], cuts + 1])].tolist(), (found[np.append(cuts, len(found) - 1)] + least).tolist())
@@ -395,18 +485,62 @@ def repeated_passages(
     """
     least = length - SHINGLE + 1
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    cells = known.mapInArrow(lambda batches: _cells(batches, least, similarity), _CELL_DDL)
-    dealt = cells.repartition(F.coalesce("key", F.xxhash64("doc", "at"))).sortWithinPartitions("key", "doc", "at")
-    links = dealt.mapInArrow(_first_holders, "doc long, at long, to_doc long, to_at long")
-    links = links.withColumn("shift", F.col("at") - F.col("to_at"))
-    sorted_links = links.repartition("doc", "to_doc").sortWithinPartitions("doc", "to_doc", "shift", "at")
+    cells = known.mapInArrow(lambda batches: _cells(batches, least, similarity), _LINK_DDL)
+    links = written(_links(cells), "links")
+    # Sides grow with the input: the same plan at every size, and one shuffle of the texts for both uses.
+    texts = zipped(known.where("text is not null"), ["doc_id"])
+    found = written(_verified(links, texts, least, similarity), "found")
+
+    # A gram of three places or more: a later holder may be like one that is not the first.
+    grams = links.where("key & 1 = 1")
+    crowded = grams.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("doc") != F.col("to_doc")).alias("met")).where("n > 1 and met")
+    places = grams.join(crowded.select("key").hint("merge"), "key")
+    places = places.select("doc", "at").union(places.select("to_doc", "to_at"))
+    places = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("grams"))
+    exact = found.where("to_doc is null").groupBy(F.col("doc").alias("doc_id")).agg(
+        F.collect_set(F.struct("first", "last")).alias("exact"))
+    met = texts.join(places.join(exact.hint("merge"), "doc_id", "left").hint("merge"), "doc_id")
+    crowd = written(met.select("doc_id", "_z", "grams", "exact"), "crowd")
+    again = crowd.repartition("doc_id").mapInArrow(lambda batches: _certified(batches, least, similarity), _LINK_DDL)
+    proven = _links(again).mapInArrow(_thinned, ", ".join(f"{c} long" for c in _CELL))
+    later = _verified(proven, crowd.select("doc_id", "_z"), least, similarity)
+    return found.union(later).where("to_doc is not null")
+
+
+def _thinned(batches):
+    """One link in ``GRID`` / 2 places of a diagonal; regions reach that far."""
+    for b in batches:
+        doc, at, to, there = (b.column(c).to_numpy(zero_copy_only=False) for c in _CELL[1:])
+        order = np.lexsort((at, at - there, to, doc))
+        x = np.stack([doc, to, at - there, at // (GRID // 2)])[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
+        yield b.take(pa.array(order[new]))
+
+
+def equal_runs(b: np.ndarray, a: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs [s, e) of ``least`` or more shingles of ``b`` that stand so in ``a``, on the commonest diagonal."""
+    order = np.argsort(a, kind="stable")
+    place = order[np.minimum(np.searchsorted(a[order], b), len(a) - 1)]
+    hit = np.flatnonzero(a[place] == b)
+    shifts, times = np.unique(place[hit] - hit, return_counts=True)
+    d = int(shifts[times.argmax()])
+    s, e = max(0, -d), min(len(b), len(a) - d)
+    edge = np.diff(np.concatenate([[0], (b[s:e] == a[s + d:e + d]).astype(np.int8), [0]]))
+    return [(s + x, s + y) for x, y in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()) if y - x >= least]
+
+
+def _verified(links: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Passages (doc, first, last, to_doc) of links, and with no to_doc the shingles [first, last)
+    that stand word for word in the other document."""
+    links = links.where("doc <> to_doc").withColumn("shift", F.col("at") - F.col("to_at"))
+    sorted_links = links.select("doc", "to_doc", "shift", "at").repartition("doc", "to_doc").sortWithinPartitions(
+        "doc", "to_doc", "shift", "at")
     regions = written(
         sorted_links.mapInArrow(
             lambda batches: _regions(batches, least),
             "doc long, b0 long, b1 long, to_doc long, a0 long, a1 long"), "regions")
-
-    # Sides grow with the input: the same plan at every size, and one shuffle of the texts for both uses.
-    texts = zipped(known.where("text is not null"), ["doc_id"])
     asked = regions.select(F.col("to_doc").alias("doc_id"), "a0", "a1").distinct()
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a0", "a1")).alias("ranges"))
 
@@ -435,8 +569,12 @@ def repeated_passages(
                 if seen != (i, z):
                     seen, (h, _) = (i, z), shingles([words(unzip([z])[0].decode())])
                 theirs = np.frombuffer(unzip([part])[0], np.uint64)
-                for s, e in matching_stretches(h[b0:b1], theirs, least, similarity):
-                    for col, x in zip(out, (i, b0 + s, b0 + e - 1 + SHINGLE - 1, to)):
+                rows = [(i, b0 + s, b0 + e - 1 + SHINGLE - 1, to)
+                        for s, e in matching_stretches(h[b0:b1], theirs, least, similarity)]
+                if rows:
+                    rows += [(i, b0 + s, b0 + e, None) for s, e in equal_runs(h[b0:b1], theirs, least)]
+                for row in rows:
+                    for col, x in zip(out, row):
                         col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in out], names=["doc", "first", "last", "to_doc"])

@@ -219,6 +219,34 @@ def test_near_passages_have_a_signature_in_common():
         assert any(near) and len(np.intersect1d(key[doc == 0], key[doc == 1]))
 
 
+def test_copies_that_are_unlike_the_first_find_each_other(spark):
+    ready(spark)
+    rng = np.random.default_rng(12)
+    base, rows, starts = random_words(rng, 150), [], {}
+    for k in range(36):
+        copy = list(base)
+        for x in np.flatnonzero(rng.random(150) < 0.05).tolist():
+            copy[x] = f"edit{k}x{x}"
+        rows.append((k, " ".join(random_words(rng, 40 + k) + copy + random_words(rng, 30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["spans"] for r in compact_windows.report(docs).collect()}
+    h = [compact_windows.shingles([words(t)])[0] for _, t in rows]
+    seen = [[set(x[i:i + 46].tolist()) for i in range(len(x) - 45)] for x in h]
+    at = [40 + k for k in range(36)]
+    need = lost = 0
+    for k in range(1, 36):
+        found = np.zeros(len(rows[k][1].split()), bool)
+        for s in got[k].split():
+            a, z = map(int, s.split("-"))
+            found[a:z + 1] = True
+        for i, w in enumerate(seen[k]):
+            near = [t for j in range(k) for t in seen[j][max(0, i - at[k] + at[j] - 5):max(0, i - at[k] + at[j] + 6)]]
+            if any(5 * len(w & t) >= 4 * len(w | t) for t in near):
+                need += 1
+                lost += not found[i:i + 50].all()
+    assert need > 300 and not lost
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------
 
 
