@@ -27,11 +27,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by close fingerprints the one with the smallest id stays."""
+    """Of documents joined by close fingerprints the one with the smallest id stays.
+
+    Rows that repeat an id and its text are kept once; of an id that stays, each text stays.
+    """
     ready(spark)
     found = simhash.simhash_components(docs.select("doc_id", "text"))
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 

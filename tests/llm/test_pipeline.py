@@ -84,3 +84,11 @@ def test_stages_take_awkward_documents(spark, awkward, sf):
         for name, stage in corpus_pipeline.STAGES:
             frame = written(stage(spark, frame, sf), name)
         assert frame.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+
+
+def test_texts_of_one_id_all_stay(spark, sf):
+    ready(spark)
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = spark.createDataFrame(
+        [(5, t, "en", None, len(t)) for t in (one, two, one)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [one, two]
