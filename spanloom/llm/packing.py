@@ -101,7 +101,8 @@ def pack(found: DataFrame, *, groups: int, length: int = 2048, seed: int = 7) ->
         placed = [pa.array(np.array(bins, np.int64) + (key[0].as_py() << 32)), pa.array(offsets, pa.int64())]
         return pa.table([*[t.column(c) for c in _FIRST], *placed, t.column("ids")], names=[*_FIRST, *_PLACE, "ids"])
 
-    group = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups))
+    loose = F.when(F.col("doc_id").isNull(), F.xxhash64("ids"))  # pieces without id are dealt by what they hold
+    group = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed), loose), F.lit(groups))
     return found.withColumn("_group", group).groupBy("_group").applyInArrow(run, _PACKED)
 
 

@@ -144,3 +144,11 @@ def test_awkward_documents_are_packed(spark, awkward, nothing):
     assert per[3] == 2 * (len(want("Word")) + 1)  # repeated rows are packed each
     assert per[None] == len(want("no id here at all")) + 2
     assert packing.pack_documents(nothing, WORD).count() == 0
+
+
+def test_pieces_without_id_are_spread_over_groups(spark):
+    found = spark.createDataFrame(
+        [(None, 0, 1, 1, bytes([k, 0, 0, 0])) for k in range(64)],
+        "doc_id long, start long, length long, doc_tokens long, ids binary")
+    rows = packing.pack(found, groups=8).collect()
+    assert len(rows) == 64 and len({r["sequence_id"] >> 32 for r in rows}) > 4
