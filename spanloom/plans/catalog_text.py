@@ -153,8 +153,10 @@ def name_entropy(spark, sf):
 @query("documents_holding_passages", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def passages(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", "text")
-    b = V.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage")).where("passage <> ''")
-    return N.contains_join(d, b, [], "text", "passage", ["doc_id"], ["item_id"]).select("doc_id", "item_id")
+    b = V.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    met = N.contains_join(d, b.where("passage <> ''"), [], "text", "passage", ["doc_id"], ["item_id"]).select("doc_id", "item_id")
+    # an empty passage stands in every text
+    return met.union(d.where("text is not null").select("doc_id").crossJoin(b.where("passage = ''").select("item_id")))
 
 
 @query("subagent_marker", """SELECT event_id, event_id % 2 = 0 AS is_subagent FROM events""")

@@ -243,3 +243,13 @@ def test_a_session_in_two_logs_counts_as_its_last_capture(spark):
         "cast(array() as array<string>) as tool_names")
     got = {r.session_id: (r.source_path, r.prompt_tokens, r.turns) for r in session_rollup(steps).collect()}
     assert got == {"s": ("b", 17, 2), "t": ("a", 3, 1)}
+
+
+def test_an_empty_passage_stands_in_every_text(spark, tmp_path):
+    from spanloom.plans.catalog_text import passages
+
+    spark.createDataFrame([(1, "a text of some words"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, ""), (8, "text of some"), (9, None)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, passages(spark, str(tmp_path)).collect())) == [(1, 7), (1, 8), (2, 7)]
