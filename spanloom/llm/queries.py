@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    backoff, bit_planes, classifier_chain, compact_windows, fm_index, packing, preferences, rare_features, simhash,
-    zstd_language,
+    backoff, bit_planes, classifier_chain, compact_windows, fm_index, packing, preferences, prefix_trie, rare_features,
+    simhash, zstd_language,
 )
-from .common import checkpoint_dir, ready, table
+from .common import checkpoint_dir, ready, table, written
 
 QUERIES = {}
 ORACLES = {}
@@ -177,3 +177,42 @@ def op10_packing(spark, sf_dir):
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
     return placed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    turns = written(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "numbered")
+    conv = F.col("conv_id")
+    ids, rows = prefix_trie.with_shared_heads(
+        turns, base=conv - conv % 100, head=F.crc32(conv.cast("string")) % 6, most=5)
+    return prefix_trie.prefix_trie(ids, rows)
+
+
+ORACLES["op12_prefix_trie"] = """
+with ordered as (
+  select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, role, text) as own
+  from conversations where conv_id is not null group by conv_id
+), headed as (
+  select conv_id, own, xor(4294967295, list_reduce(
+    list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint),
+    lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)),
+    4294967295::bigint)) % 6 as h
+  from ordered
+), rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) as seq
+  from headed c left join ordered b on b.conv_id = c.conv_id - c.conv_id % 100
+), prefixes as (
+  select conv_id, len(seq) as n, d, seq[1:d] as node from rebuilt, unnest(range(len(seq) + 1)) as t(d)
+), nodes as (
+  select node, d, min(conv_id) as conv_id, count(*) as n_convs, max(n) = d as leaf,
+         (count(*) - 1) * coalesce(length(node[d].text), 0) as own_saving,
+         coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '') as ends
+  from prefixes group by node, d
+), above as (
+  select node[1:a] as node, sum(own_saving) as saved, count(*) filter (leaf) as leaves, count(*) filter (a = d - 1) as children
+  from nodes, unnest(range(d + 1)) as t(a) group by 1
+)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, a.children as n_children,
+       a.leaves as n_leaves, a.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join above a on a.node = n.node left join nodes p on n.d > 0 and p.node = n.node[1:n.d - 1]
+"""
