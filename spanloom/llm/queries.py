@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    backoff, bit_planes, classifier_chain, compact_windows, fm_index, packing, preferences, prefix_trie, rare_features,
-    simhash, zstd_language,
+    backoff, bit_planes, classifier_chain, compact_windows, fm_index, packing, phrase_tries, preferences, prefix_trie,
+    rare_features, robust_rules, robust_sql, simhash, zstd_language,
 )
 from .common import checkpoint_dir, ready, table, written
 
@@ -179,6 +179,40 @@ def op10_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op11_phrase_tries(spark, sf_dir):
+    return phrase_tries.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op11_phrase_tries"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), split as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as a
+  from split, unnest(range(1, 5)) as t(k), unnest(range(1, len(w) - k + 2)) as u(i) group by all
+), found as (select lang, k, phrase, string_split(phrase, ' ') as w, a from grams where k > 1 and a >= 30),
+cuts as (
+  select f.lang, f.phrase, f.a, c, l.a as l, r.a as r, (2000000::hugeint * f.a // (l.a + r.a))::bigint as score
+  from found f, unnest(range(1, f.k)) as t(c)
+  join grams l on l.lang = f.lang and l.phrase = array_to_string(f.w[1:c], ' ')
+  join grams r on r.lang = f.lang and r.phrase = array_to_string(f.w[c + 1:], ' ')
+), weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inside as (
+  select lang, array_to_string(w[i:i + n - 1], ' ') as phrase, max(a) as longer
+  from found, unnest(range(2, k)) as t(n), unnest(range(1, k - n + 2)) as u(i) group by all
+), kept as (
+  select w.* from weakest w left join inside i on i.lang = w.lang and i.phrase = w.phrase
+  where i.longer is null or 100 * i.longer < 80 * w.a
+), totals as (select lang, sum(a)::bigint as n from grams where k = 1 group by lang)
+select lang, rank, phrase, a, l, r, n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join totals using (lang)
+where rank <= 2000
+"""
+
+
 @query
 def op12_prefix_trie(spark, sf_dir):
     turns = written(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "numbered")
@@ -216,3 +250,11 @@ select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, a.childr
        a.leaves as n_leaves, a.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
 from nodes n join above a on a.node = n.node left join nodes p on n.d > 0 and p.node = n.node[1:n.d - 1]
 """
+
+
+@query
+def op13_robust_outliers(spark, sf_dir):
+    return robust_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("d2")
+
+
+ORACLES["op13_robust_outliers"] = robust_sql.outlier_sql()
