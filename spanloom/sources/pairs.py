@@ -2,43 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PAIR
+from ..session import written
 
 # Folders logs are captured into, and folders never searched.
 TRACE_DIRS = [".claude-trace", ".codex-trace", ".gemini-trace", ".devin-trace"]
 SKIP_DIRS = ["node_modules", ".git", ".cache", ".npm", ".pnpm-store", "Library", ".Trash"]
 
 
+def _children(batches: Iterator[pa.RecordBatch], trace_dirs: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Folders inside the given ones: trace folders, and those to look into next."""
+    for b in batches:
+        out = []
+        for path in b.column("path").to_pylist():
+            store, inside = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+            scheme = path.split("://")[0] + "://" if "://" in path else ""
+            try:
+                inner = store.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+            except OSError:
+                continue  # a folder that may not be opened holds no logs for us
+            for f in inner:
+                name = f.base_name
+                if f.type == fs.FileType.Directory and name not in SKIP_DIRS and (name in trace_dirs or not name.startswith(".")):
+                    out.append((scheme + f.path, name in trace_dirs))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in out], pa.string()), pa.array([t for _, t in out], pa.bool_())], names=["path", "trace"])
+
+
+def discover_folders(
+    spark: SparkSession, roots: Sequence[str], trace_dirs: Sequence[str] = TRACE_DIRS, max_depth: int | None = None
+) -> DataFrame:
+    """Trace folders (path) under the roots, at any depth or not deeper than ``max_depth``.
+
+    Spark passes over hidden folders when it lists, so folders are listed here, a level of
+    the tree a round and its folders side by side in tasks.  Skipped and hidden folders are
+    not opened, and nothing inside a trace folder is looked at.
+    """
+    roots = sorted({r.rstrip("/") for r in roots})
+    named = [r for r in roots if r.rsplit("/", 1)[-1] in trace_dirs]
+    found = spark.createDataFrame([(r,) for r in named], "path string")
+    level = spark.createDataFrame([(r,) for r in roots if r not in named], "path string")
+    depth = 0
+    while (max_depth is None or depth <= max_depth) and not level.isEmpty():
+        inner = written(level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
+            lambda batches: _children(batches, trace_dirs), "path string, trace boolean"), "folders")
+        found = found.union(inner.where("trace").select("path"))
+        level = inner.where("not trace").select("path")
+        depth += 1
+    return found.distinct()
+
+
 def trace_folders(
     spark: SparkSession, root: str, trace_dirs: Sequence[str] = TRACE_DIRS, max_depth: int | None = None
 ) -> list[str]:
-    """Trace folders under ``root``, at any depth or not deeper than ``max_depth``.
-
-    Spark passes over hidden folders when it lists, so the folders themselves are
-    found here; skipped and hidden ones are not opened.  Their files are listed by Spark.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    base = hadoop.Path(root.rstrip("/"))
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if base.getName() in trace_dirs:
-        return [root.rstrip("/")]
-    found, todo = [], [(base, 0)]
-    while todo:
-        folder, depth = todo.pop()
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            if not status.isDirectory() or name in SKIP_DIRS:
-                continue
-            if name in trace_dirs:
-                found.append(status.getPath().toString())
-            elif not name.startswith(".") and (max_depth is None or depth < max_depth):
-                todo.append((status.getPath(), depth + 1))
-    return sorted(found)
+    """Paths of ``discover_folders`` for one root, sorted."""
+    return sorted(r.path for r in discover_folders(spark, [root], trace_dirs, max_depth).toLocalIterator())
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
@@ -128,20 +153,3 @@ def replace_sources(existing: DataFrame, fresh: DataFrame, sources: DataFrame) -
     """Rows of ``existing`` without those of ``sources``, plus ``fresh``."""
     kept = existing.join(sources.select("source_path").distinct(), "source_path", "left_anti")
     return kept.unionByName(fresh)
-
-
-def parse_each(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of every readable path, and (source_path, error) of the others.
-
-    Only listings and headers are touched per path; lines are read by the job.
-    """
-    good, failures = [], []
-    for path in paths:
-        try:
-            spark.read.text(path).schema  # noqa: B018 - resolves the path
-            good.append(path)
-        except Exception as exc:  # noqa: BLE001 - any failure is reported by name
-            failures.append((path, str(exc).splitlines()[0][:300]))
-    failed = spark.createDataFrame(failures, "source_path string, error string")
-    pairs = read_pairs(spark, good) if good else None
-    return pairs, failed
