@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import items as I
 from ..functions.text import collapse
+from ..session import written
 
 # Needle length -> (gram length, step): a needle of that length covers ``step``
 # neighbouring grams, one of which starts at a multiple of the step in the text.
@@ -81,39 +82,56 @@ def contains_join(
 ) -> DataFrame:
     """Pairs where the text contains the needle, found through a shared gram.
 
-    A text offers its grams at every step, a needle those at its first offsets, so
-    any occurrence meets on one of them.  Grams travel with ids alone; the texts of
-    the candidate pairs are fetched afterwards and compared in full.  The work grows
-    with the length of the texts, not with texts times needles.
+    A text offers its grams at every step.  Whatever place a needle occurs at, one in
+    ``step`` of its own grams falls on offered places, always those of one remainder; of
+    each remainder it seeks the gram that the fewest texts offer, so boilerplate joins
+    nothing as long as a needle has a word of its own.  A needle with a remainder whose
+    gram no text offers is not sought there at all.  Grams travel with ids alone; the texts
+    of the candidate pairs are fetched afterwards and compared in full.
     """
-    sized = needles.withColumn("_class", _needle_class(F.length(needle)))
-    found = None
-    for size in GRAMS:
-        n, step = GRAMS[size]
-        need = sized.where(F.col("_class") == size)
-        # Texts of keys without needles of this class are not opened at all.
-        wanted = texts.join(need.select(*keys).distinct(), keys, "left_semi") if keys else texts
-        ends = F.floor((F.length(text) - n) / step)
-        places = F.when(ends >= 0, F.transform(F.sequence(F.lit(0), F.greatest(ends, F.lit(0))), lambda i: i * step))
-        offered = wanted.select(*keys, *text_id, F.explode(_grams(text, n, places)).alias("_gram"))
-        offsets = F.sequence(F.lit(0), F.lit(step - 1))
-        sought = need.select(*keys, *needle_id, F.explode(_grams(needle, n, offsets)).alias("_gram"))
-        hit = offered.join(sought, [*keys, "_gram"]).select(*keys, *text_id, *needle_id)
-        found = hit if found is None else found.unionByName(hit)
-    pairs = found.distinct()
+    sized = needles.where(F.length(needle) > 0).withColumn("_class", _needle_class(F.length(needle)))
+    one = [*keys, "_one"]
+    sized, texts_ = sized.withColumn("_one", F.lit(1)), texts.withColumn("_one", F.lit(1))
+    classes = sized.select(*one, "_class").distinct()  # four a key at most; texts of other keys are not opened
+    if not keys:
+        classes = F.broadcast(classes)
+    offered = texts_.join(classes, one).select(
+        *keys, *text_id, "_class", F.explode(_by_class(lambda n, step: F.array_distinct(_grams(text, n, step)))).alias("_gram"))
+    offered = written(offered, "offered")
+    at = F.posexplode(_by_class(lambda n, step: _grams(needle, n, 1))).alias("_at", "_gram")
+    own = sized.select(*keys, *needle_id, "_class", at)
+    gram = [*keys, "_class", "_gram"]
+    often = offered.join(own.select(*gram).distinct(), gram, "left_semi").groupBy(*gram).agg(F.count(F.lit(1)).alias("_n"))
+    rest = F.col("_at") % _by_class(lambda n, step: F.lit(step))
+    sought = own.join(often, gram, "left").groupBy(*keys, *needle_id, "_class", rest.alias("_rest")).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_best"))
+    sought = sought.where("_best.n > 0").select(*keys, *needle_id, "_class", F.col("_best._gram").alias("_gram"))
+    pairs = offered.join(sought, gram).select(*keys, *text_id, *needle_id).distinct()
     whole = pairs.join(needles, [*keys, *needle_id]).join(texts, [*keys, *text_id])
     return whole.where(F.contains(F.col(text), F.col(needle)))
 
 
-def _grams(text: str, n: int, places: Column) -> Column:
-    """Hashes of the stretches of n characters at the places (from 0).
+def _by_class(made) -> Column:
+    """Of the expressions for the gram classes the one that ``_class`` names."""
+    out = None
+    for size, (n, step) in GRAMS.items():
+        here = made(n, step)
+        out = F.when(F.col("_class") == size, here) if out is None else out.when(F.col("_class") == size, here)
+    return out
+
+
+def _grams(text: str, n: int, step: int) -> Column:
+    """Hashes of the stretches of n characters at every ``step`` from 0.
 
     Four bytes per character, so that a stretch is cut out in constant time.
     """
+    ends = F.floor((F.length(text) - n) / step)
+    places = F.when(ends >= 0, F.transform(F.sequence(F.lit(0), F.greatest(ends, F.lit(0))), lambda i: i * step))
+
     def cut(wide: Column) -> Column:
         return F.transform(places, lambda i: F.xxhash64(F.substring(wide, i.cast("int") * 4 + 1, F.lit(4 * n))))
 
-    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(F.col(text), "UTF-32")), cut)))
+    return F.flatten(F.transform(F.array(F.encode(F.col(text), "UTF-32")), cut))
 
 
 def _needle_class(length: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import items as I
+from ..functions.scan import running
 from ..functions.text import preview, utf16_len
 
 # The nine buckets, in display order.
@@ -140,11 +141,60 @@ def bucket_changes(sizes: DataFrame) -> DataFrame:
     return out.withColumn("net", F.col("post") - F.col("pre"))
 
 
-def window_of(calls: DataFrame, session_id: str, seq: int, radius: int = 0) -> DataFrame:
-    """Calls seq ± radius of one session with their predecessor, by pushed-down filter."""
-    return calls.where(
-        (F.col("session_id") == session_id) & F.col("seq").between(max(0, seq - radius - 1), seq + radius)
-    )
+def presence(segs: DataFrame) -> DataFrame:
+    """Intervals of calls [lo, hi] in which a segment stands without a break.
+
+    Columns: source_path, session_id, segment_id, lo, hi, n_lo, n_hi (times it stands in the
+    first and the last call of the interval).  A transcript that is resent with every call
+    is one row a segment here, whatever the number of calls.
+    """
+    at = segs.groupBy(*KEY, "segment_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["source_path", "session_id", "segment_id"]
+    chunk = F.floor(F.col("seq") / 4096)
+    at = running(at, keys, chunk, ["seq"], lag={"p_seq": F.col("seq")})
+    opens = F.when(F.col("p_seq").isNull() | (F.col("p_seq") < F.col("seq") - 1), 1).otherwise(0)
+    at = running(at, keys, chunk, ["seq"], sums={"island": opens})
+    return at.groupBy(*keys, "island").agg(
+        F.min("seq").alias("lo"), F.max("seq").alias("hi"),
+        F.min_by("n", "seq").alias("n_lo"), F.max_by("n", "seq").alias("n_hi")).drop("island")
+
+
+def counts_of_calls(segs: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+    """Per call: segments, new, carried and dropped against the call before it.
+
+    From the ends of intervals: what opens at a call is new, what closed at the call before
+    was dropped, the rest is carried.  Calls without a call before them have no counts.
+    """
+    intervals = presence(segs) if intervals is None else intervals
+    session = ["source_path", "session_id"]
+    calls = segs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("segments"))
+    before = calls.select(*session, (F.col("seq") + 1).alias("seq"), F.lit(True).alias("_follows"))
+    opened = intervals.groupBy(*session, F.col("lo").alias("seq")).agg(F.sum("n_lo").alias("new"))
+    closed = intervals.groupBy(*session, (F.col("hi") + 1).alias("seq")).agg(F.sum("n_hi").alias("dropped"))
+    z = F.lit(0).cast("bigint")
+    per = calls.join(before, KEY, "left").join(opened, KEY, "left").join(closed, KEY, "left")
+    follows = F.col("_follows").isNotNull()
+    new = F.coalesce("new", z)
+    return per.select(
+        *KEY, "segments", F.when(follows, new).alias("new"), F.when(follows, F.col("segments") - new).alias("carried"),
+        F.when(follows, F.coalesce("dropped", z)).alias("dropped"))
+
+
+def call_windows(counts: DataFrame, radius: int = 0) -> DataFrame:
+    """Each call with itself and its neighbours up to ``radius`` calls away: (..., center, seq, counts)."""
+    centers = counts.select("source_path", "session_id", F.col("seq").alias("center"), F.explode(
+        F.sequence(F.greatest(F.col("seq") - radius, F.lit(0)), F.col("seq") + radius)).alias("seq"))
+    return centers.join(counts, KEY)
+
+
+def call_window(segs: DataFrame, session_id: str, seq: int, radius: int = 0) -> DataFrame:
+    """The window of one call.  Only its segments and those of the call before it are read.
+
+    Empty when the session has no such call.
+    """
+    near = segs.where((F.col("session_id") == session_id) & F.col("seq").between(max(0, seq - radius - 1), seq + radius))
+    counts = counts_of_calls(near).where(F.col("seq") >= max(0, seq - radius))
+    return call_windows(counts, radius).where(F.col("center") == seq)
 
 
 # -- declared tools ----------------------------------------------------------

@@ -150,13 +150,15 @@ def name_entropy(spark, sf):
 
 # -- texts holding other texts ------------------------------------------------------
 
-@query("documents_holding_passages", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("documents_holding_passages", """SELECT doc_id, item_id, false AS everywhere FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''
+    UNION ALL SELECT NULL, item_id, true FROM benchmark WHERE text = ''""")
 def passages(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", "text")
     b = V.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    met = N.contains_join(d, b.where("passage <> ''"), [], "text", "passage", ["doc_id"], ["item_id"]).select("doc_id", "item_id")
-    # an empty passage stands in every text
-    return met.union(d.where("text is not null").select("doc_id").crossJoin(b.where("passage = ''").select("item_id")))
+    met = N.contains_join(d, b.where("passage <> ''"), [], "text", "passage", ["doc_id"], ["item_id"])
+    # an empty passage stands in every text: one row tells so
+    empty = b.where("passage = ''").select(F.lit(None).cast("long").alias("doc_id"), "item_id", F.lit(True).alias("everywhere"))
+    return met.select("doc_id", "item_id", F.lit(False).alias("everywhere")).union(empty)
 
 
 @query("subagent_marker", """SELECT event_id, event_id % 2 = 0 AS is_subagent FROM events""")
@@ -306,14 +308,14 @@ def call_deltas(spark, sf):
     return D.diff_counts(counts, "s1", "s2")
 
 
-@query("toolset_definition_diff", """WITH a AS (SELECT p_name AS tool, p_brand AS d FROM part WHERE p_partkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
-    b AS (SELECT p_name AS tool, p_brand AS d FROM part WHERE p_partkey % 2 = 1 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1)
+@query("toolset_definition_diff", """WITH a AS (SELECT p_name AS tool, list_sort(list(DISTINCT p_brand)) AS d FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name),
+    b AS (SELECT p_name AS tool, list_sort(list(DISTINCT p_brand)) AS d FROM part WHERE p_partkey % 2 = 1 GROUP BY p_name)
     SELECT tool, CASE WHEN a.tool IS NULL THEN 'added' WHEN b.tool IS NULL THEN 'removed' WHEN a.d = b.d THEN 'unchanged' ELSE 'changed' END AS change
     FROM a FULL OUTER JOIN b USING (tool)""")
 def definition_diff(spark, sf):
     p = V.table(spark, sf, "part")
     side = lambda k: p.where(F.col("p_partkey") % 2 == k).groupBy(F.col("p_name").alias("tool")).agg(
-        F.to_json(F.struct(F.min_by("p_brand", "p_partkey").alias("d"))).alias("definition"))
+        F.to_json(F.struct(F.array_sort(F.collect_set("p_brand")).alias("d"))).alias("definition"))
     return D.diff_tools(side(0), side(1))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.titles import session_titles
 from ..operators import diff as D, export as E, sessions as S, trajectory as T, xray as X
+from ..session import written
 from ..sources.pairs import project_of
 from . import driver_views as V
 from .catalog_usage import money
@@ -145,6 +146,17 @@ def xray_changes(spark, sf):
     return X.change_counts(X.diff_calls(_segments(spark, sf))).select(_key(), "seq", "new", "carried", "dropped")
 
 
+@query("xray_windows", sql(
+    _SEGS + """, t AS (SELECT key, seq, CAST(sum(n) AS BIGINT) AS n FROM seg GROUP BY 1, 2),
+    d AS (SELECT key, seq, n, n - lag(n) OVER (PARTITION BY key ORDER BY seq) AS "new", lag(n) OVER (PARTITION BY key ORDER BY seq) AS carried FROM t)
+    SELECT c.key, c.seq AS center, d.seq, d.n AS segments, d."new", d.carried, CASE WHEN d.carried IS NOT NULL THEN 0 END AS dropped
+    FROM d c JOIN d ON d.key = c.key AND d.seq BETWEEN c.seq - 1 AND c.seq + 1""", "callrows"))
+def xray_windows(spark, sf):
+    segs = written(_segments(spark, sf).select(*X.KEY, "segment_id"), "segments")
+    counts = written(X.counts_of_calls(segs), "counts")
+    return X.call_windows(counts, 1).select(_key(), "center", "seq", "segments", "new", "carried", "dropped")
+
+
 @query("xray_bucket_changes", sql(
     _SEGS + """, b AS (SELECT key, seq, bucket, sum(n) AS n FROM seg GROUP BY 1, 2, 3), k AS (SELECT DISTINCT key, seq FROM b)
     SELECT key, seq, bucket, CAST(n AS BIGINT) AS segments FROM b
