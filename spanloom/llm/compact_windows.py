@@ -38,6 +38,9 @@ LENGTH = 50
 SIMILARITY = 0.8
 FUNCTIONS = 4
 BANDS = ((0, 1), (2, 3), (1, 2))
+MANY_DIAGONALS = 24
+_ALL = (1 << 64) - 1
+NEAR_SHIFT = 8  # words that may be added or dropped along a region
 GRID = 64  # ranges asked of a leader are rounded to it, so that few differ
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(51).integers(0, 1 << 63, FUNCTIONS, np.uint64)
@@ -50,23 +53,31 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def shingles(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, document after document, and the first of each document (and the end)."""
-    said = [w for d in docs for w in d]
+def word_hashes(said: list[bytes]) -> np.ndarray:
     number = {w: k for k, w in enumerate(dict.fromkeys(said))}
     one = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
+    return one[np.fromiter(map(number.__getitem__, said), np.int64, len(said))]
+
+
+def shingled(level: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles that begin at each word."""
+    h = np.zeros(max(len(level) - SHINGLE + 1, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            h = h * _STEP + level[k:len(h) + k]
+    return _mix(h)
+
+
+def shingles(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, document after document, and the first of each document (and the end)."""
     sizes = np.array([len(d) for d in docs], np.int64)
     counts = np.maximum(sizes - SHINGLE + 1, 0)
     starts = np.concatenate([[0], np.cumsum(counts)])
     if not starts[-1]:
         return np.zeros(0, np.uint64), starts
-    level = one[np.fromiter(map(number.__getitem__, said), np.int64, len(said))]
-    h = np.zeros(len(level) - SHINGLE + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            h = h * _STEP + level[k:len(h) + k]
+    h = shingled(word_hashes([w for d in docs for w in d]))
     first = np.repeat(np.cumsum(sizes) - sizes - starts[:-1], counts)
-    return _mix(h[np.arange(starts[-1]) + first]), starts
+    return h[np.arange(starts[-1]) + first], starts
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -218,87 +229,32 @@ def _links(cells: DataFrame) -> DataFrame:
         _first_holders, ", ".join(f"{c} long" for c in _CELL))
 
 
-def certificates(
-    h: np.ndarray, grams: np.ndarray, least: int, similarity: float, copied: list[tuple[int, int]] = (),
-) -> tuple[np.ndarray, np.ndarray]:
-    """(key, first shingle) of what is left of windows when one word is changed, added or dropped.
+def _regions(batches, least: int):
+    """Ranges [b0, b1) of a document to be compared with ranges [a0, a1) of another.
 
-    Each key stands for the shingles that two windows need in common, in two runs (or one)
-    with the gap that a word leaves.  Equal keys are proof of similarity, so any holder
-    serves as the first.  Only keys whose longer run holds one of ``grams`` are given, and
-    none that lie in [first, last) of ``copied``: an earlier document has those.
+    Links on one diagonal that follow each other within two windows are one stretch;
+    stretches of a pair that overlap in both documents, as those of texts that repeat
+    themselves do by the thousand, are one region.
     """
-    run = sure_run(least, similarity)
-    size = (run + 1) // 2
-    common = math.ceil(2 * similarity / (1 + similarity) * least - 1e-9)
-    n = len(h)
-    with np.errstate(over="ignore"):
-        up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + least, _STEP))])
-        down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(pow(int(_STEP), -1, 1 << 64))))])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:n], dtype=np.uint64)])
-        marks = np.zeros(n + 1, np.int64)
-        marks[grams[grams < n]] = 1
-        marks = np.concatenate([[0], np.cumsum(marks)])
-        near = np.zeros(n + 1, np.int64)
-        np.add.at(near, np.maximum(grams - least, 0), 1)
-        np.add.at(near, np.minimum(grams + 1, n), -1)
-        keys, places = [], []
-        starts = np.flatnonzero(np.cumsum(near)[:n] > 0)
-        until = np.zeros(n + 1, np.int64)  # end of the copied stretch that a shingle stands in
-        for first, last in copied:
-            until[first:last] = np.maximum(until[first:last], last)
-        for gap in range(SHINGLE - 1, max(least - common, SHINGLE - 1) + 1):
-            for k in range(1, common + (gap == SHINGLE - 1)):
-                i = starts[starts + common + (gap if k < common else 0) <= n]
-                j = i + k + gap if k < common else i
-                s, e = (i, i + k) if k >= common - k else (j, j + common - k)
-                good = (marks[np.maximum(e - size + 1, s)] > marks[s]) & (
-                until[i] < (j + common - k if k < common else i + common))
-                i, j = i[good], j[good]
-                key = (total[i + k] - total[i]) * down[i]
-                if k < common:
-                    key = key + up[k] * ((total[j + common - k] - total[j]) * down[j])
-                keys.append(_mix(key + np.uint64(k)) & ~np.uint64(1))
-                places.append(i)
-    return np.concatenate(keys).view(np.int64), np.concatenate(places)
-
-
-def _certified(batches, least: int, similarity: float):
-    """Certificates of each batch; a place in a copy of the first holder's text needs none."""
-    size = (sure_run(least, similarity) + 1) // 2
-    for b in pieces(batches, "_z", 1 << 17):
-        found = [], [], []
-        for i, z, grams, exact in zip(
-                b.column("doc_id").to_pylist(), unzip(b.column("_z").to_pylist()),
-                b.column("grams").to_pylist(), b.column("exact").to_pylist()):
-            h, _ = shingles([words(z.decode())])
-            at = np.unique(np.array(grams, np.int64))
-            lo, hi = np.maximum(at + size - least, 0), np.minimum(at + least, len(h))
-            for x in exact or ():
-                keep = (lo < x["first"]) | (hi > x["last"])
-                at, lo, hi = at[keep], lo[keep], hi[keep]
-            if len(at):
-                copied = [(x["first"], x["last"]) for x in exact or ()]
-                key, place = certificates(h, at, least, similarity, copied)
-                for col, x in zip(found, (key, np.full(len(key), i, np.int64), place)):
-                    col.append(x)
-        if found[0]:
-            yield _led(*(np.concatenate(x) for x in found))
-
-
-def _regions(batches, least: int):
-    """Merge links of a pair on one diagonal that follow each other within two windows."""
     held = None
     reach = least + GRID // 2
 
-    def close(cols, cuts):
-        doc, to_doc, shift, at = (c[cuts[:-1]] for c in cols)
-        end = cols[3][cuts[1:] - 1]
-        lo, hi = np.maximum(at - reach, 0), end + reach
-        grid = lambda x: x // GRID * GRID
-        a0, a1 = grid(np.maximum(lo - shift, 0)), grid(np.maximum(hi - shift, 0)) + GRID
+    def close(cols):
+        doc, to_doc, shift, at = cols
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (to_doc[1:] != to_doc[:-1]) | (shift[1:] != shift[:-1]) | (
+            at[1:] - at[:-1] > 2 * least)
+        first = np.flatnonzero(new)
+        end = at[np.append(first[1:], len(at)) - 1] + reach
+        doc, to_doc, shift = doc[first], to_doc[first], shift[first]
+        lo = np.maximum(at[first] - reach, 0)
+        out: list[tuple] = []
+        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (to_doc[1:] != to_doc[:-1]), [True]]))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            for b0, b1, a0, a1 in _joined(lo[i:j], end[i:j], shift[i:j]):
+                out.append((doc[i], b0, b1, to_doc[i], a0 // GRID * GRID, a1 // GRID * GRID + GRID))
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (doc, lo, hi, to_doc, a0, a1)], names=["doc", "b0", "b1", "to_doc", "a0", "a1"])
+            [pa.array(np.array(x, np.int64)) for x in zip(*out)], names=["doc", "b0", "b1", "to_doc", "a0", "a1"])
 
     for b in batches:
         if not b.num_rows:
@@ -306,15 +262,37 @@ def _regions(batches, least: int):
         cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "to_doc", "shift", "at")]
         if held is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-        doc, to_doc, shift, at = cols
-        new = (doc[1:] != doc[:-1]) | (to_doc[1:] != to_doc[:-1]) | (shift[1:] != shift[:-1]) | (
-            at[1:] - at[:-1] > 2 * least)
-        cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
-        held = [c[cuts[-1]:] for c in cols]
-        if len(cuts) > 1:
-            yield close(cols, cuts)
+        doc, to_doc = cols[:2]
+        cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (to_doc[1:] != to_doc[:-1])) + 1
+        whole = int(cuts[-1]) if len(cuts) else 0  # the last pair may go on
+        held = [c[whole:] for c in cols]
+        if whole:
+            yield close([c[:whole] for c in cols])
     if held is not None:
-        yield close(held, np.array([0, len(held[0])]))
+        yield close(held)
+
+
+def _joined(lo: np.ndarray, end: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Boxes (b0, b1, a0, a1) that hold all stretches [lo, end) and their places, overlapping ones joined."""
+    boxes = sorted(zip(lo.tolist(), end.tolist(), np.maximum(lo - shift, 0).tolist(), np.maximum(end - shift, 0).tolist()))
+    while True:
+        out: list[tuple[int, int, int, int]] = []
+        live: list[tuple[int, int, int, int]] = []
+        for box in boxes:
+            b0, b1, a0, a1 = box
+            still = []
+            for x in live:
+                if x[1] < b0:
+                    out.append(x)
+                elif x[2] <= a1 and a0 <= x[3]:
+                    b0, b1, a0, a1 = min(b0, x[0]), max(b1, x[1]), min(a0, x[2]), max(a1, x[3])
+                else:
+                    still.append(x)
+            live = [*still, (b0, b1, a0, a1)]
+        out += live
+        if len(out) == len(boxes):
+            return out
+        boxes = sorted(out)
 
 
 def _distinct(x: np.ndarray, least: int) -> np.ndarray:
@@ -355,6 +333,49 @@ def _common(b: np.ndarray, p: np.ndarray, a: np.ndarray, q: np.ndarray, least: i
     return np.cumsum(step[:n])
 
 
+def _window_sets(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct values in each window of ``least`` values, and a hash of that set."""
+    n = len(x) - least + 1
+    value, first, end = _held(x, np.arange(len(x)), least)
+    first, end = np.clip(first, 0, n), np.clip(end, 0, n)
+    count, total = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.uint64)
+    mixed = _mix(value ^ _STEP)
+    with np.errstate(over="ignore"):
+        np.add.at(count, first, 1)
+        np.add.at(count, end, -1)
+        np.add.at(total, first, mixed)
+        np.subtract.at(total, end, mixed)
+        return np.cumsum(count[:n]), np.cumsum(total[:n], dtype=np.uint64)
+
+
+def _incidence(x: np.ndarray, at: np.ndarray, least: int, values: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``values`` stand in the windows that start at ``at``."""
+    out = np.zeros((len(at), len(values)), np.float32)
+    for k in range(least):
+        v = x[at + k]
+        c = np.minimum(np.searchsorted(values, v), len(values) - 1)
+        good = values[c] == v
+        out[np.flatnonzero(good), c[good]] = 1
+    return out
+
+
+def _like_sets(b: np.ndarray, a: np.ndarray, rows: np.ndarray, least: int, similarity: float) -> np.ndarray | None:
+    """For windows ``rows`` of ``b``: has ``a`` a window whose set is as similar?  All sets of
+    both are compared, each once; None where these are too many, as in texts that do not
+    repeat themselves."""
+    nb, kb = _window_sets(b, least)
+    na, ka = _window_sets(a, least)
+    _, mine, back = np.unique(kb[rows], return_index=True, return_inverse=True)
+    _, theirs = np.unique(ka, return_index=True)
+    values = np.intersect1d(b, a)
+    if len(mine) * len(theirs) > 4_000_000 or len(values) * (len(mine) + len(theirs)) > 40_000_000:
+        return None
+    at = rows[mine]
+    c = _incidence(b, at, least, values) @ _incidence(a, theirs, least, values).T
+    good = c >= similarity * (nb[at][:, None] + na[theirs][None, :] - c) - 1e-6
+    return good.any(1)[back]
+
+
 def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> np.ndarray:
     """For each window of ``least`` shingles of ``b``: is one of ``a`` as similar as ``similarity``?
 
@@ -388,6 +409,12 @@ def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float
         return out
     shifts, times = np.unique(
         np.concatenate([order[lo[hit]] - hit, order[hi[hit] - 1] - hit]), return_counts=True)
+    if len(shifts) > MANY_DIAGONALS:  # a text that repeats itself: few sets on many diagonals
+        rows = np.flatnonzero(open_)
+        like = _like_sets(b, a, rows, least, similarity)
+        if like is not None:
+            out[rows[like]] = True
+            return out
     theirs = None
     for d in shifts[np.argsort(-times, kind="stable")].tolist():
         i0, i1 = max(0, -d), min(n, m - d)
@@ -473,6 +500,106 @@ def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: flo
     return merged
 
 
+def edits(b: np.ndarray, a: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], tuple[int, int, int, int]]:
+    """What words ``b`` have changed of words ``a`` where both go side by side.
+
+    Runs of shingles that stand once in either are chained on diagonals near the commonest.
+    Returns (place in b, words there, place in a, words there, hash of b's words) in order,
+    one for each changed word, and the ranges (b, b, a, a) from the first run to the last.
+    """
+    hb, ha = shingled(b), shingled(a)
+    order = np.argsort(ha, kind="stable")
+    ordered = ha[order]
+    lo, hi = np.searchsorted(ordered, hb), np.searchsorted(ordered, hb, "right")
+    i = np.flatnonzero(hi - lo == 1)
+    if not len(i):
+        return [], (0, 0, 0, 0)
+    there = order[lo[i]]
+    shift = there - i
+    value, times = np.unique(shift, return_counts=True)
+    near = np.abs(shift - value[times.argmax()]) <= NEAR_SHIFT
+    i, there = i[near], there[near]
+    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (there[1:] != there[:-1] + 1)]))
+    last = np.append(first[1:], len(i)) - 1
+    out = []
+    c_end, a_end = int(i[last[0]]) + SHINGLE, int(there[last[0]]) + SHINGLE  # words known to be equal end here
+    for x, y in zip(first[1:].tolist(), last[1:].tolist()):
+        c, t = int(i[x]), int(there[x])
+        if t < a_end - SHINGLE + 1:
+            continue  # goes back: not part of the chain
+        back = min(c - c_end, t - a_end, 0)  # words at the edge that also fit the other side
+        at, n, to, m = c_end + back, c - c_end - back, a_end + back, t - a_end - back
+        if n == m:
+            out += [(at + k, 1, to + k, 1, int(b[at + k])) for k in np.flatnonzero(b[at:at + n] != a[to:to + n]).tolist()]
+        else:
+            out.append((at, n, to, m, xxhash.xxh3_64_intdigest(b[at:at + n].tobytes())))
+        c_end, a_end = int(i[y]) + SHINGLE, int(there[y]) + SHINGLE
+    return out, (int(i[first[0]]), c_end, int(there[first[0]]), a_end)
+
+
+def edit_sets(
+    b: np.ndarray, a: np.ndarray, name: int, length: int, core: int, base: int = 0,
+) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(key, lo, hi, first, words, taken, pad) of the windows of ``b`` that differ from ``a``.
+
+    Two windows of ``length`` words are alike if ``core`` words side by side are the same, or
+    all but one word that is changed, added or dropped.  All windows with the same edits of
+    ``a`` are one row: they start at words lo to hi of ``a``, the first at word ``first`` of
+    ``b``, where it has ``words`` words.  The key is of ``a``'s ``name`` and the edits: of
+    all (taken is -1), or, in windows of ``length`` with several, of all but one at the
+    place ``taken`` of ``a``, whose first word is number ``base``.  ``pad`` words more on
+    either side are alike for any window that holds a core.  Windows in which a shingle stands twice are left out.
+    """
+    found, (b_lo, b_hi, a_lo, a_hi) = edits(b, a)
+    if not found:
+        return []
+    h = shingled(b)
+    seen = length - SHINGLE + 1
+    twice = np.zeros(len(b) + 1, np.int64)
+    if len(h) >= seen:
+        twice[1:len(h) - seen + 2] = _distinct(h, seen) < seen
+    twice = np.cumsum(twice)
+    mark = [xxhash.xxh3_64_intdigest(f"{base + to} {n} {m} {w}", name & 0xFFFFFFFFFFFFFFFF) for _, n, to, m, w in found]
+    out = []
+    for i, (at, n, to, m, _) in enumerate(found):
+        before = found[i - 1][2] + found[i - 1][3] if i else a_lo
+        for j in range(i, len(found)):
+            z_at, z_n, z_to, z_m, _ = found[j]
+            after = found[j + 1][2] if j + 1 < len(found) else a_hi
+            total = sum(mark[i:j + 1])
+            fits = False
+            for size in (core, length):
+                wide = size + max(0, sum(x[3] - x[1] for x in found[i:j + 1]))  # dropped words leave room
+                lo = max(before, z_to + z_m + (z_m == 0) - wide)
+                hi = min(to - (m == 0), after - wide)
+                fits |= z_to - to < wide
+                first = lo + at - to
+                if lo > hi or twice[min(first + hi - lo + 1, len(b))] > twice[min(first, len(b))]:
+                    continue
+                words_ = wide + (z_at + z_n - z_to - z_m) - (at - to)
+                out.append(((total * size) & _ALL, lo, hi, first, words_, -1, length - size))
+                if size == length and j > i:
+                    out += [(((total - mark[k]) * size) & _ALL, lo, hi, first, words_, found[k][2], 0)
+                            for k in range(i, j + 1) if found[k][1] <= 1 and found[k][3] <= 1]
+            if not fits:
+                break
+    return out
+
+
+def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row an id, and the ids that had several rows (None: no id had).
+
+    Of the texts of an id the smallest stands for it; the others are not compared.
+    """
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    again = written(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return known, None
+    alone = known.join(again, "doc_id", "left_anti")
+    chosen = known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return alone.unionByName(chosen), chosen.select("doc_id", F.xxhash64("text").alias("_known"))
+
+
 def repeated_passages(
     docs: DataFrame, *, length: int = LENGTH, similarity: float = SIMILARITY,
 ) -> DataFrame:
@@ -480,60 +607,71 @@ def repeated_passages(
 
     Rows (doc, first, last, to_doc): word range in ``doc`` and the document it repeats.
     The first holder of a passage has no row for it.  A document does not repeat itself;
-    rows of one doc_id count as one document and should have one text.  Rows without id,
-    without text or with fewer than ``length`` words have no passages.
+    equal rows count once, and of several texts of one id the smallest stands for it.  Rows
+    without id, without text or with fewer than ``length`` words have no passages.  A text
+    is handled as a whole in a task, at some 60 bytes a word.
     """
+    known, _ = _one_text_each(docs)
+    return _passages(known, length, similarity)
+
+
+def _passages(known: DataFrame, length: int, similarity: float) -> DataFrame:
     least = length - SHINGLE + 1
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     cells = known.mapInArrow(lambda batches: _cells(batches, least, similarity), _LINK_DDL)
     links = written(_links(cells), "links")
-    # Sides grow with the input: the same plan at every size, and one shuffle of the texts for both uses.
+    # holders that met the first of their batch are linked to the first of all as well, so
+    # that all holders of a gram have one leader to be compared with
+    gram = links.where("key & 1 = 1")
+    up = gram.where("doc <> to_doc").select(
+        "key", F.col("doc").alias("to_doc"), F.col("at").alias("to_at"), F.col("to_doc").alias("_doc"), F.col("to_at").alias("_at"))
+    further = gram.where("doc <> to_doc").join(up, ["key", "to_doc", "to_at"]).select(
+        "key", "doc", "at", F.col("_doc").alias("to_doc"), F.col("_at").alias("to_at"))
+    links = links.union(further)
     texts = zipped(known.where("text is not null"), ["doc_id"])
     found = written(_verified(links, texts, least, similarity), "found")
+    return found.where("key is null").select("doc", "first", "last", "to_doc").union(_by_edits(found))
+
+
+def _by_edits(found: DataFrame) -> DataFrame:
+    """Passages that are alike by their edits: proof without another look at the texts.
+
+    Windows with the same edits of the same leader meet in order of document.  One as it
+    stands matches an earlier one that starts at the same word, as it stands or with an edit
+    taken back; one with an edit taken back matches an earlier one as it stands, or one
+    taken back at the same place.  What is held is the first document of each start, so a
+    set of edits with very many holders needs no more room than one with few.
+    """
+    rows = found.where("key is not null").select("key", "doc", "lo", "hi", "first", "words", "taken", "left", "right")
+    met = rows.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key")
+    rows = rows.join(met, "key").repartition("key").sortWithinPartitions("key", "doc", "lo")
+    return rows.mapInArrow(_meet, "doc long, first long, last long, to_doc long")
+
 
-    # A gram of three places or more: a later holder may be like one that is not the first.
-    grams = links.where("key & 1 = 1")
-    crowded = grams.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("doc") != F.col("to_doc")).alias("met")).where("n > 1 and met")
-    places = grams.join(crowded.select("key").hint("merge"), "key")
-    places = places.select("doc", "at").union(places.select("to_doc", "to_at"))
-    places = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("grams"))
-    exact = found.where("to_doc is null").groupBy(F.col("doc").alias("doc_id")).agg(
-        F.collect_set(F.struct("first", "last")).alias("exact"))
-    met = texts.join(places.join(exact.hint("merge"), "doc_id", "left").hint("merge"), "doc_id")
-    crowd = written(met.select("doc_id", "_z", "grams", "exact"), "crowd")
-    again = crowd.repartition("doc_id").mapInArrow(lambda batches: _certified(batches, least, similarity), _LINK_DDL)
-    proven = _links(again).mapInArrow(_thinned, ", ".join(f"{c} long" for c in _CELL))
-    later = _verified(proven, crowd.select("doc_id", "_z"), least, similarity)
-    return found.union(later).where("to_doc is not null")
-
-
-def _thinned(batches):
-    """One link in ``GRID`` / 2 places of a diagonal; regions reach that far."""
+def _meet(batches):
+    key, starts = None, {}
     for b in batches:
-        doc, at, to, there = (b.column(c).to_numpy(zero_copy_only=False) for c in _CELL[1:])
-        order = np.lexsort((at, at - there, to, doc))
-        x = np.stack([doc, to, at - there, at // (GRID // 2)])[:, order]
-        new = np.ones(len(order), bool)
-        new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
-        yield b.take(pa.array(order[new]))
+        out = []
+        for k, doc, lo, hi, first, n, taken, left, right in zip(
+                *(b.column(c).to_pylist() for c in ("key", "doc", "lo", "hi", "first", "words", "taken", "left", "right"))):
+            if k != key:
+                key, starts = k, {}  # (start, taken; None: any) to its first document
+            same = (None,) if taken < 0 else (-1, taken)
+            hits = [(at, d) for at in range(lo, hi + 1) for d in [min((starts[at, t] for t in same if (at, t) in starts), default=doc)] if d < doc]
+            if hits:
+                out.append((
+                    doc, max(first + hits[0][0] - lo - left, 0), first + hits[-1][0] - lo + n - 1 + max(right, 0), min(d for _, d in hits)))
+            for at in range(lo, hi + 1):
+                starts.setdefault((at, taken), doc)
+                starts.setdefault((at, None), doc)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc", "first", "last", "to_doc"])
 
 
-def equal_runs(b: np.ndarray, a: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs [s, e) of ``least`` or more shingles of ``b`` that stand so in ``a``, on the commonest diagonal."""
-    order = np.argsort(a, kind="stable")
-    place = order[np.minimum(np.searchsorted(a[order], b), len(a) - 1)]
-    hit = np.flatnonzero(a[place] == b)
-    shifts, times = np.unique(place[hit] - hit, return_counts=True)
-    d = int(shifts[times.argmax()])
-    s, e = max(0, -d), min(len(b), len(a) - d)
-    edge = np.diff(np.concatenate([[0], (b[s:e] == a[s + d:e + d]).astype(np.int8), [0]]))
-    return [(s + x, s + y) for x, y in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()) if y - x >= least]
+_FOUND = ["doc", "first", "last", "to_doc", "key", "lo", "hi", "words", "taken", "left", "right"]
 
 
 def _verified(links: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Passages (doc, first, last, to_doc) of links, and with no to_doc the shingles [first, last)
-    that stand word for word in the other document."""
+    """Passages (doc, first, last, to_doc) of links, and the edited windows of their regions (see ``edit_sets``)."""
     links = links.where("doc <> to_doc").withColumn("shift", F.col("at") - F.col("to_at"))
     sorted_links = links.select("doc", "to_doc", "shift", "at").repartition("doc", "to_doc").sortWithinPartitions(
         "doc", "to_doc", "shift", "at")
@@ -543,15 +681,17 @@ def _verified(links: DataFrame, texts: DataFrame, least: int, similarity: float)
             "doc long, b0 long, b1 long, to_doc long, a0 long, a1 long"), "regions")
     asked = regions.select(F.col("to_doc").alias("doc_id"), "a0", "a1").distinct()
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a0", "a1")).alias("ranges"))
+    more = SHINGLE - 1
+    core = math.ceil(2 * similarity / (1 + similarity) * least - 1e-9) + more
 
     def cut(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in pieces(batches, "_z", 1 << 20):
             out: list[list] = [[], [], [], []]
             for i, z, ranges in zip(b.column("doc_id").to_pylist(), unzip(b.column("_z").to_pylist()), b.column("ranges").to_pylist()):
-                h, _ = shingles([words(z.decode())])
+                w = word_hashes(words(z.decode()))
                 for r in ranges:
-                    for col, x in zip(out, (i, r["a0"], r["a1"], pack(h[r["a0"]:r["a1"]].tobytes()))):
+                    for col, x in zip(out, (i, r["a0"], r["a1"], pack(w[r["a0"]:r["a1"] + more].tobytes()))):
                         col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())],
@@ -561,26 +701,27 @@ def _verified(links: DataFrame, texts: DataFrame, least: int, similarity: float)
     both = regions.join(slices.hint("merge"), ["to_doc", "a0", "a1"]).withColumnRenamed("doc", "doc_id")
 
     def verify(batches):
-        seen, h = None, None
+        seen, w, h = None, None, None
         for b in pieces(batches, "_z", 1 << 20):
-            out: list[list] = [[], [], [], []]
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "_z", "b0", "b1", "to_doc", "slice")]
-            for i, z, b0, b1, to, part in zip(*cols):
+            out: list[list] = [[] for _ in _FOUND]
+            cols = [b.column(c).to_pylist() for c in ("doc_id", "_z", "b0", "b1", "to_doc", "a0", "slice")]
+            for i, z, b0, b1, to, a0, part in zip(*cols):
                 if seen != (i, z):
-                    seen, (h, _) = (i, z), shingles([words(unzip([z])[0].decode())])
+                    seen, w = (i, z), word_hashes(words(unzip([z])[0].decode()))
+                    h = shingled(w)
                 theirs = np.frombuffer(unzip([part])[0], np.uint64)
-                rows = [(i, b0 + s, b0 + e - 1 + SHINGLE - 1, to)
-                        for s, e in matching_stretches(h[b0:b1], theirs, least, similarity)]
-                if rows:
-                    rows += [(i, b0 + s, b0 + e, None) for s, e in equal_runs(h[b0:b1], theirs, least)]
-                for row in rows:
-                    for col, x in zip(out, row):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in out], names=["doc", "first", "last", "to_doc"])
+                rows = [(i, b0 + s, b0 + e - 1 + more, to, *[None] * 7)
+                        for s, e in matching_stretches(h[b0:b1], shingled(theirs), least, similarity)]
+                if len(w) >= least + more:
+                    rows += [(i, b0 + first, None, None, key - (1 << 63), a0 + lo, a0 + hi, n, taken + a0 * (taken >= 0),
+                              pad, min(pad, len(w) - b0 - first - (hi - lo) - n))
+                             for key, lo, hi, first, n, taken, pad in edit_sets(w[b0:b1 + more], theirs, to, least + more, core, a0)]
+                for col, x in zip(out, zip(*rows)):
+                    col += x
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=_FOUND)
 
-    checked = texts.join(both.hint("merge"), "doc_id").select("doc_id", "_z", "b0", "b1", "to_doc", "slice")
-    return checked.mapInArrow(verify, "doc long, first long, last long, to_doc long")
+    checked = texts.join(both.hint("merge"), "doc_id").select("doc_id", "_z", "b0", "b1", "to_doc", "a0", "slice")
+    return checked.mapInArrow(verify, ", ".join(f"{c} long" for c in _FOUND))
 
 
 def merged_passages(found: DataFrame) -> DataFrame:
@@ -622,13 +763,23 @@ def report(docs: DataFrame, **options) -> DataFrame:
         F.coalesce("repeats", F.array().cast("array<long>")).alias("repeats"))
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without repeated passages; a text without one is unchanged."""
-    found = written(merged_passages(repeated_passages(docs, **options)).select("doc_id", "spans"), "passages")
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without repeated passages; a text without one is unchanged.
+
+    Of several texts of one id only the one that was compared is cut; equal rows are cut alike.
+    """
+    known, several = _one_text_each(docs)
+    found = merged_passages(_passages(known, length, similarity)).select("doc_id", "spans")
+    if several is not None:
+        found = found.join(several, "doc_id", "left")
+    else:
+        found = found.withColumn("_known", F.lit(None).cast("long"))
+    found = written(found, "passages")
     columns = docs.columns
     hidden = [c if c in ("doc_id", "text") else f"_c{k}" for k, c in enumerate(columns)]  # no clash with spans
     kept = [c for c in hidden if c != "text"]
-    met = zipped(docs.toDF(*hidden), kept).join(found.hint("merge"), "doc_id", "left").select(*kept, "_z", "spans")
+    met = zipped(docs.toDF(*hidden).withColumn("_h", F.xxhash64("text")), [*kept, "_h"]).join(found.hint("merge"), "doc_id", "left")
+    met = met.select(*kept, "_z", F.when(F.col("_known").isNull() | (F.col("_known") == F.col("_h")), F.col("spans")).alias("spans"))
 
     def run(batches):
         for b in pieces(batches, "_z", 1 << 20):
