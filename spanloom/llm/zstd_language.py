@@ -22,7 +22,7 @@ SAMPLE_DOCS = 256
 MARGIN = 0.01
 _PIECE = 2048
 _LEVEL = 9
-_SHARE = 1024  # bytes of one document in a dictionary
+SHARE_BYTES = 1024  # of one document in a dictionary
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -31,29 +31,44 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text.lower())
 
 
-def train(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def train(
+    labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES, share: int = SHARE_BYTES,
+) -> dict[str, bytes]:
     """A dictionary of at most ``size`` bytes for each lang of ``labelled`` (doc_id, text, lang).
 
-    Fitted on a bounded sample: the ``sample_docs`` documents of a language that come first
-    in the order of a hash of their id.  Ids are ranked without their texts; rows without
-    text, language or id teach nothing.
+    Fitted on a bounded sample: of each language the ``sample_docs`` rows with a letter that
+    come first in the order of a hash of their id, and of each ``share`` bytes of its
+    letters, from a place that the same hash chooses in the whole text.  Rows are ranked
+    without their texts; rows without text, letter, language or id teach nothing, repeated
+    rows count once, and an empty table gives no dictionary.
     """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = labelled.where("lang is not null and doc_id is not null").select(
-        "lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    first = ids.withColumn("n", rank).where(F.col("n") <= sample_docs).select("lang", "doc_id", "n").collect()
+    usable = labelled.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
+    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    first = ids.withColumn("n", rank).where(F.col("n") <= sample_docs).select("lang", "doc_id", "n", "h").collect()
     if not first:
         return {}
     spark = labelled.sparkSession
-    chosen = spark.createDataFrame(first, "lang string, doc_id long, n int")
+    chosen = spark.createDataFrame(first, "lang string, doc_id long, n int, h long")
+
+    def shares(batches):
+        for b in batches:
+            parts = []
+            for text, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist()):
+                raw = letters(text).encode()
+                at = (h & (1 << 62) - 1) % max(len(raw) - share + 1, 1)
+                parts.append(raw[at:at + share])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("lang"), b.column("n"), pa.array(parts, pa.binary())], names=["lang", "n", "part"])
+
     # sample_docs ids a language: small whatever the input
-    texts = labelled.where("text is not null").join(F.broadcast(chosen), ["lang", "doc_id"]).select(
-        "lang", "n", F.substring("text", 1, 4 * _SHARE).alias("text")).collect()
+    texts = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "n", "h", "text").mapInArrow(
+        shares, "lang string, n int, part binary").distinct().collect()
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in texts}):
         held, room = [], size
-        for r in sorted((r for r in texts if r["lang"] == lang), key=lambda r: (r["n"], r["text"])):
-            part = letters(r["text"]).encode()[:min(room, _SHARE)]
+        for r in sorted((r for r in texts if r["lang"] == lang), key=lambda r: (r["n"], r["part"])):
+            part = bytes(r["part"])[:room]
             held.append(part)
             room -= len(part)
         content = b" ".join(held)
@@ -68,7 +83,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, margin: float =
     score is the weight of the choice against all languages, from the sizes in bytes;
     rejected tells that the second best is less than ``margin`` larger.  A null text, a
     text without a letter, and any text when nothing was learned are ``und`` with score 0
-    and rejected.  Equal sizes go to the language first in order of name.
+    and rejected.  Equal sizes go to the language first in order of name.  Repeated rows are
+    judged alike and an empty table gives no row; a text is encoded whole, in pieces.
     """
     langs = sorted(dictionaries)
     spark = docs.sparkSession
