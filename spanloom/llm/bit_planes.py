@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, unzip, zipped
+from .common import in_ranges, pieces, unzip, zipped
 from .tokens import encoder
 
 BLOCK_IDS = 32_768
@@ -62,19 +62,21 @@ def from_planes(parts: list[bytes | None], n: int, planes: str) -> np.ndarray:
 
 def write_planes(
     docs: DataFrame, path: str, tokenizer: str, *, kind: str = "byte", end_id: int = 2,
-    planes: str = "byte", block: int = BLOCK_IDS, level: int = 3,
+    planes: str = "byte", block: int = BLOCK_IDS, level: int = 3, special_as_text: bool = False,
 ) -> None:
     """Encode ``docs`` (doc_id, text) and write the files.
 
     One shuffle: texts are range-partitioned by doc_id and a shard is one range.  A null
     text counts as empty and has the end id alone.  Rows that share a doc_id are kept,
-    ordered by their text's frame.  An empty table gives empty files.  Other columns are ignored.
+    in one shard ordered by their text's frame; where an id, or null, fills several shards
+    its rows are dealt to them.  An empty table gives empty files.  Other columns are
+    ignored.  A text is encoded as one value, at some 20 bytes a character.
     """
 
     def run(batches):
         shard = TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=level).compress
-        enc = encoder(tokenizer, kind)
+        enc = encoder(tokenizer, kind, special_as_text)
         end = np.array([end_id], "<u4").tobytes()
         held, held_ids, first, chunk, at = [], 0, 0, 0, 0  # bytes waiting; their first position
         open_docs: list[dict] = []
@@ -113,7 +115,8 @@ def write_planes(
         if held_ids:
             yield pa.RecordBatch.from_pylist([emit(b"".join(held))], _ARROW)
 
-    ordered = zipped(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_z")
+    known = docs.select(F.col("doc_id").cast("long"), "text")
+    ordered = in_ranges(zipped(known, ["doc_id"]), known, "doc_id", "_z").sortWithinPartitions("doc_id", "_z")
     ordered.mapInArrow(run, _CHUNKS).write.parquet(f"{path}/chunks")
     spark = docs.sparkSession
     index = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "first_id", "n_ids", "plane_sizes")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune, written
 
-__all__ = ["checkpoint_dir", "components", "pieces", "ready", "table", "unzip", "written", "zipped"]
+__all__ = ["checkpoint_dir", "components", "in_ranges", "pieces", "ready", "table", "unzip", "written", "zipped"]
 
 BATCH_ROWS = 2000
 PIECE_BYTES = 4 << 20
@@ -69,6 +71,42 @@ def unzip(values: list[bytes | None]) -> list[bytes | None]:
     return [None if z is None else open_(z) for z in values]
 
 
+def in_ranges(rows: DataFrame, ids: DataFrame, column: str, spread: str) -> DataFrame:
+    """``rows`` in partitions that follow ``column`` in ascending order, null first.
+
+    Bounds are percentiles of ``ids``, a narrow frame with the same column, so rows are made
+    once and not a second time to be sampled.  An id (or null) that fills several ranges
+    is dealt to them by the hash of ``spread``, a binary column.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = ", ".join(f"{k / n}D" for k in range(1, n))
+    found = ids.selectExpr(
+        "count(*) as total", f"count({column}) as known",
+        f"{f'approx_percentile({column}, array({marks}), 100000)' if n > 1 else 'null'} as bounds").first()
+    total, known = found["total"], found["known"]
+    empty = 0 if known == total else min(n - 1, max(1, round(n * (total - known) / total))) if known else n
+    bounds = sorted(found["bounds"] or []) if known else []
+    step = n / max(n - empty, 1)  # of the bounds keep as many as there are ranges left
+    bounds = [bounds[min(round(k * step) - 1, len(bounds) - 1)] for k in range(1, n - empty)] if bounds else []
+    bounds = np.array(bounds, np.int64)
+
+    def place(batches):
+        for b in batches:
+            ids, text = b.column(column), b.column(spread)
+            value = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(bounds, value), np.searchsorted(bounds, value, "right")
+            low, wide = low + empty, np.maximum(high - low, 1)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            low, wide = np.where(null, 0, low), np.where(null, max(empty, 1), wide)
+            for k in np.flatnonzero(wide > 1).tolist():
+                low[k] += zlib.crc32(text[k].as_py() or b"") % wide[k]
+            yield b.append_column("_part", pa.array(low.astype(np.int32)))
+
+    schema = rows.withColumn("_part", F.lit(0)).schema
+    return rows.mapInArrow(place, schema).repartitionById(n, "_part").drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 

@@ -4,7 +4,8 @@ Both public vocabularies used here cut a text into pre-tokens before any merge,
 run of letters never shares a pre-token with what follows it.  A text is therefore cut
 at its letter runs, distinct parts go through ``Tokenizer.encode_batch_fast`` and the
 ids are joined.  Texts where a cut could fall inside a pre-token (an apostrophe, several
-blanks before a word, characters that are not composed) are encoded whole.
+blanks before a word, characters that are not composed, an added token such as an end
+mark) are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,11 +23,16 @@ _WIDE = re.compile(r"\s\s\S")
 
 
 class Encoder:
-    """``kind`` is "byte" (a word holds its leading blank) or "word" (blanks vanish, case is folded)."""
+    """``kind`` is "byte" (a word holds its leading blank) or "word" (blanks vanish, case is folded).
 
-    def __init__(self, path: str, kind: str):
+    As the library does it, the name of a special token in a text becomes that token's id.
+    With ``special_as_text`` it is encoded like other text, so that no text forges a control id.
+    """
+
+    def __init__(self, path: str, kind: str, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text never forges a control id
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
         self.split = re.compile(r"( ?[^\W\d_]+)" if kind == "byte" else r"([^\W\d_]+)").split
         self.cache: dict[str, bytes | None] = {}
@@ -41,7 +47,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _plain(self, text: str) -> bool:
-        if "'" in text:
+        if "'" in text or any(t in text for t in self.added):
             return False
         if self.kind == "byte":
             return _WIDE.search(text) is None
@@ -96,19 +102,22 @@ class Encoder:
         cut = []
         if len(self.cache) > CACHE_PARTS:
             self.cache.clear()
-        new: set[str] = set()
+        self.cache[""] = b""
+        get = self.cache.__getitem__
         for k, text in enumerate(texts):
             if not text:
                 out[k] = b""
             elif self._plain(text):
                 parts = self.split(text.lower() if self.kind == "word" else text)
-                new.update(parts)
-                cut.append((k, parts))
+                try:
+                    out[k] = b"".join(map(get, parts))
+                except KeyError:  # a part not met before
+                    cut.append((k, parts))
+                except TypeError:
+                    whole.append(k)
             else:
                 whole.append(k)
-        self.cache[""] = b""
-        self._learn([p for p in new if p not in self.cache])
-        get = self.cache.__getitem__
+        self._learn(list({p for _, parts in cut for p in parts if p not in self.cache}))
         for k, parts in cut:
             try:
                 out[k] = b"".join(map(get, parts))
@@ -120,10 +129,10 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, special_as_text: bool = False) -> Encoder:
     """One encoder per worker process, so that its cache outlives a batch.
 
     One thread: Spark runs a task on each core already.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, kind)
+    return Encoder(path, kind, special_as_text)

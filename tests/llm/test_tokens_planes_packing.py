@@ -22,17 +22,19 @@ ODD = [
 ]
 
 
-def reference(path):
+def reference(path, special_as_text=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
 def test_encoder_equals_library(path, kind):
-    enc, want = Encoder(path, kind), reference(path)
-    for text, ids in zip(ODD, enc.encode(ODD)):
-        assert np.frombuffer(ids, "<u4").tolist() == want(text), text
+    for as_text in (True, False):
+        enc, want = Encoder(path, kind, as_text), reference(path, as_text)
+        names = [f"a {t} b{t}" for t in enc.added] + [f"{t[:-1]} {t[-1]}" for t in enc.added]
+        for text, ids in zip(ODD + names, enc.encode(ODD + names)):
+            assert np.frombuffer(ids, "<u4").tolist() == want(text), text
     made = settings(max_examples=150, deadline=None)(given(st.text(max_size=40))(
         lambda text: _same(enc, want, text)))
     made()
