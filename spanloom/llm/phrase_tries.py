@@ -2,7 +2,7 @@
 
 Texts are cut into words once and written as word numbers with a small dictionary for each
 part of a few megabytes.  Words that are frequent enough, then pairs of such words, then
-windows both of whose halves were frequent, are summed by 64-bit keys; a sum can only be
+windows both of whose parts were frequent, are summed by 64-bit keys; a sum can only be
 too high where keys collide, so no frequent phrase is lost (Apriori).  What passes is a
 candidate.  Between levels only a bitmap of fixed size is broadcast, with a bit for each
 frequent key; a bit set by chance lets a window through to its sum and does no harm.
@@ -34,11 +34,11 @@ SCALE = 2_000_000
 PART_BYTES = 4 << 20
 BITS = 1 << 25  # of the bitmap between levels: 4 MB
 BLOCK = 400_000  # phrases of one trie
-BUFFER = 3_000_000  # windows that a task holds before it sends their counts
+BUFFER = 2_000_000  # windows that a task holds before it sends their counts
 
 # What ends a piece, and lower case of A to Z.  '.' stands for any end.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 _PART = "lang string, words array<string>, counts array<long>, codes binary"
 
 
@@ -87,6 +87,10 @@ def _codes(z: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint32)
 
 
+def _low(column: str) -> Column:
+    return F.col(column).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _word_keys(lang: str, words: list[str]) -> np.ndarray:
     seed = xxhash.xxh3_64_intdigest(lang)
     return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
@@ -97,21 +101,28 @@ def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _pairs(keys: np.ndarray) -> np.ndarray:
+    """Of each place and the next, the upper halves of their keys side by side."""
+    return (keys[:-1] & _UPPER) | (keys[1:] >> np.uint64(32))
+
+
 def _windows(batches, sieves):
-    """Counts (a, b, n) of windows one word longer than the last sieve's, of its frequent halves a and b."""
-    held: list[tuple[np.ndarray, ...]] = []
+    """Counts (pair, n) of windows one word longer than the last sieve's, both of whose parts are frequent.
+
+    A window is known by 32 bits of either part.  Parts that share them only make the sums
+    too high and bring in phrases that the tries count as they are.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush():
-        a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-        n = np.concatenate([x[2] for x in held])
+        pair, n = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        order = np.argsort(pair)
+        pair, n = pair[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(np.add.reduceat(n, first))],
-            names=["a", "b", "n"])
+            [pa.array(pair[first].view(np.int64)), pa.array(np.add.reduceat(n, first).astype(np.int64))], names=["pair", "n"])
 
     bits = [np.frombuffer(s.value, np.uint8) for s in sieves]
     for batch in batches:
@@ -124,20 +135,14 @@ def _windows(batches, sieves):
             keys = own[codes]
             for level in bits[1:]:
                 at = at[:-1][np.diff(at) == 1]  # the next place starts a frequent phrase too
-                with np.errstate(over="ignore"):
-                    keys = _mix(keys[:-1] * _STEP + keys[1:])
+                keys = _mix(_pairs(keys))
                 at = at[_held(level, keys[at])]
             at = at[:-1][np.diff(at) == 1]
             if not len(at):
                 continue
-            a, b = keys[at], keys[at + 1]
-            with np.errstate(over="ignore"):
-                order = np.argsort(_mix(a * _STEP + b), kind="stable")
-            a, b = a[order], b[order]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            n = np.diff(np.append(first, len(a)))
-            held.append((a[first], b[first], n))
-            size += len(first)
+            pair, n = np.unique((keys[at] & _UPPER) | (keys[at + 1] >> np.uint64(32)), return_counts=True)
+            held.append((pair, n.astype(np.int32)))
+            size += len(pair)
             if size >= BUFFER:
                 yield flush()
                 size = 0
@@ -164,14 +169,12 @@ def _bitmap(keys: DataFrame):
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """Add ``key`` of the window (a, b), as ``_windows`` has it on the next level."""
+    """Add ``key`` of the window ``pair``, as ``_windows`` has it on the next level."""
     def run(batches):
         for b in batches:
-            with np.errstate(over="ignore"):
-                key = _mix(b.column("a").to_numpy().view(np.uint64) * _STEP + b.column("b").to_numpy().view(np.uint64))
-            yield b.append_column("key", pa.array(key.view(np.int64)))
+            yield b.append_column("key", pa.array(_mix(b.column("pair").to_numpy().view(np.uint64)).view(np.int64)))
 
-    return rows.mapInArrow(run, "a long, b long, key long")
+    return rows.mapInArrow(run, "pair long, key long")
 
 
 def word_counts(parts: DataFrame) -> DataFrame:
@@ -195,12 +198,16 @@ def candidates(parts: DataFrame, words: DataFrame, least: int = LEAST, longest:
         sieves.append(_bitmap(level))
         seen = list(sieves)
         sums = parts.select("lang", "words", "codes").mapInArrow(
-            lambda batches, seen=seen: _windows(batches, seen), "a long, b long, n long")
-        frequent = _keyed(sums.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b"))
-        head = level.select(F.col("key").alias("a"), "lang", "words")
-        tail = level.select(F.col("key").alias("b"), F.element_at("words", -1).alias("last"))
-        level = written(frequent.join(head, "a").join(tail, "b").select(
-            "key", "lang", F.concat("words", F.array("last")).alias("words")), f"level{k}")
+            lambda batches, seen=seen: _windows(batches, seen), "pair long, n long")
+        frequent = _keyed(sums.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair"))
+        frequent = frequent.select("key", F.shiftrightunsigned("pair", 32).alias("head"), _low("pair").alias("tail"))
+        part = F.shiftrightunsigned("key", 32)
+        head = level.select(part.alias("head"), "lang", "words")
+        # the tail goes on where the head's words after the first end
+        tail = level.select(part.alias("tail"), F.col("lang").alias("_lang"), F.col("words").alias("_words"))
+        met = frequent.join(head, "head").join(tail, "tail").where(
+            f"lang = _lang and slice(words, 2, {k}) = slice(_words, 1, {k - 2})")
+        level = written(met.select("key", "lang", F.concat("words", F.array(F.element_at("_words", -1))).alias("words")), f"level{k}")
         found = level if found is None else found.union(level)
     return found.select("lang", "words").distinct()
 
@@ -302,31 +309,35 @@ class Trie:
             out += np.bincount(hit[hit >= 0], minlength=len(out))
 
 
-def _trie(rows: list[tuple[str, list[str]]]):
-    """The trie of phrases and the numbers of its symbols: words, and languages after a line feed."""
-    number: dict[str, int] = {}
-    longest = 1 + max(len(w) for _, w in rows)
-    table = np.zeros((len(rows), longest), np.int32)
-    for k, (lang, words) in enumerate(rows):
-        for j, s in enumerate(["\n" + lang, *words]):
-            table[k, j] = number.setdefault(s, len(number) + 1)
-    return Trie(table, len(number)), number, longest - 1
+def _trie(rows: pa.Table) -> tuple[Trie, pa.Array, int]:
+    """The trie of phrases (lang, words) and its symbols in order: words, and languages after a line feed."""
+    n = rows.num_rows
+    said = rows.column("words").combine_chunks()
+    longest = pc.list_value_length(said).to_numpy()
+    langs = pc.binary_join_element_wise("\n", rows.column("lang").combine_chunks().cast(pa.string()), "")
+    both = pa.concat_arrays([langs, said.flatten().cast(pa.string())]).dictionary_encode()
+    codes = both.indices.to_numpy() + 1
+    table = np.zeros((n, 1 + int(longest.max())), np.int32)
+    table[:, 0] = codes[:n]
+    first = np.cumsum(longest) - longest
+    table[np.repeat(np.arange(n), longest), 1 + np.arange(len(codes) - n) - np.repeat(first, longest)] = codes[n:]
+    return Trie(table, len(both.dictionary)), both.dictionary, int(longest.max())
 
 
 def _counted(batches, shared):
     """Counts (id, a) of the phrases of one trie in a task's parts."""
-    trie, number, longest, rows = shared.value
-    out = np.zeros(rows, np.int64)
+    trie, symbols, longest, ids = shared.value
+    out = np.zeros(len(ids), np.int64)
     for b in batches:
-        for lang, words, z in zip(*(b.column(c).to_pylist() for c in ("lang", "words", "codes"))):
-            first = number.get("\n" + lang, 0)
-            if not first:
+        for k, (lang, z) in enumerate(zip(b.column("lang").to_pylist(), b.column("codes").to_pylist())):
+            first = pc.index_in(pa.array(["\n" + lang]), symbols)[0].as_py()
+            if first is None:
                 continue
-            own = np.fromiter((number.get(w, 0) for w in words), np.int32, len(words))
-            own[0] = 0  # the end of a piece
-            trie.count(int(trie.base[0]) + first, own[_codes(z)], longest, out)
+            own = pc.index_in(b.column("words")[k].values, symbols).fill_null(-1).to_numpy() + 1
+            own = np.concatenate([[0], own[1:]])  # the end of a piece
+            trie.count(int(trie.base[0]) + first + 1, own[_codes(z)], longest, out)
     met = np.flatnonzero(out)
-    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(out[met])], names=["id", "a"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(out[met])], names=["id", "a"])
 
 
 def count_phrases(parts: DataFrame, phrases: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -336,7 +347,7 @@ def count_phrases(parts: DataFrame, phrases: DataFrame, block: int = BLOCK) -> D
     together is a matter of their hash.
     """
     spark = parts.sparkSession
-    phrases = written(phrases, "phrases")
+    phrases = written(phrases.withColumn("id", F.monotonically_increasing_id()), "phrases")
     blocks = -(-phrases.count() // block)
     dealt = phrases
     if blocks > 1:
@@ -345,18 +356,19 @@ def count_phrases(parts: DataFrame, phrases: DataFrame, block: int = BLOCK) -> D
     found = None
     for k in range(blocks):
         mine = dealt.where(F.col("block") == k) if blocks > 1 else dealt
-        rows = mine.select("lang", "words").toArrow()
+        rows = mine.select("id", "lang", "words").toArrow()
         if not rows.num_rows:
             continue
-        trie, number, longest = _trie(list(zip(rows.column("lang").to_pylist(), rows.column("words").to_pylist())))
-        shared = spark.sparkContext.broadcast((trie, number, longest, rows.num_rows))
+        shared = spark.sparkContext.broadcast((*_trie(rows), rows.column("id").to_numpy()))
+        del rows
         sums = parts.select("lang", "words", "codes").mapInArrow(
             lambda batches, shared=shared: _counted(batches, shared), "id long, a long")
-        ids = spark.createDataFrame(rows.append_column("id", pa.array(np.arange(rows.num_rows))))
-        done = written(sums.groupBy("id").agg(F.sum("a").alias("a")).join(ids, "id").select("lang", "words", "a"), "counted")
+        done = written(sums.groupBy("id").agg(F.sum("a").alias("a")), "counted")
         shared.destroy()
         found = done if found is None else found.union(done)
-    return found if found is not None else phrases.select("lang", "words", F.lit(0).cast("long").alias("a")).limit(0)
+    if found is None:
+        return phrases.select("lang", "words", F.lit(0).cast("long").alias("a")).limit(0)
+    return phrases.join(found, "id").select("lang", "words", "a")
 
 
 def _said(words: Column) -> Column:
