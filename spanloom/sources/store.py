@@ -5,7 +5,8 @@ index that names, for each log, the run its rows stand in.  Rows of a log are al
 that run, so replacing a log rewrites nothing of the others, and a run that dies before its
 snapshot leaves no trace for readers.  A snapshot's number is taken by creating its folder:
 of two writers that started from the same one the second fails.  ``compact`` gathers what
-is alive in one run.
+is alive in one run.  Tables with a ``session_id`` lie in buckets of its hash, so that a
+look at one conversation opens one bucket.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.secrets import DETECTORS, Detector, count_redactions, redact
@@ -26,6 +27,7 @@ from .tail import open_log, whole_lines
 
 RULES = "1"  # raise when lines are parsed by other rules: every log is then read again
 RANGE = 64 << 20
+BUCKETS = 64
 LINES = "source_path string, block_start bigint, row_id bigint, value string, error string"
 
 
@@ -52,14 +54,32 @@ class Store:
 
     def append(self, table: str, rows: DataFrame, run: str) -> DataFrame:
         where = f"{self.path}/{table}/run={run}"
-        rows.write.parquet(where)
+        if "session_id" in rows.columns:
+            dealt = rows.withColumn("bucket", _bucket(F.col("session_id"))).repartition("bucket")
+            dealt.write.partitionBy("bucket").parquet(where)
+        else:
+            rows.write.parquet(where)
         return self.spark.read.schema(rows.schema).parquet(where)
 
+    def _every(self, table: str) -> DataFrame:
+        every = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
+        return every.withColumn("run", F.col("run").cast("string"))
+
+    def _of(self, rows: DataFrame, index: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.join(index.select(*keys, "run").distinct(), [*keys, "run"], "left_semi").drop("run", "bucket")
+
     def alive(self, table: str, index: DataFrame, keys: Sequence[str] = ("source_path",)) -> DataFrame:
         """Rows of the runs that ``index`` names for their keys."""
-        every = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
-        every = every.withColumn("run", F.col("run").cast("string"))
-        return every.join(index.select(*keys, "run").distinct(), [*keys, "run"], "left_semi").drop("run")
+        return self._of(self._every(table), index, keys)
+
+    def of_session(self, table: str, index: DataFrame, session_id: str) -> DataFrame:
+        """Those of one conversation, out of its bucket alone."""
+        rows = self._every(table).where((F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+        return self._of(rows, index, ("source_path",))
+
+
+def _bucket(session_id) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass
@@ -179,6 +199,30 @@ def compact(store: Store, tables: Sequence[str]) -> None:
     store.commit("pairs", index.withColumn("run", F.lit(run)))
 
 
+def conversation(store: Store, table: str, session_id: str, seq: int | None = None) -> DataFrame:
+    """Rows of one conversation in a table with session_id (and seq), or of one of its calls.
+
+    No row rather than those of another conversation when the id or the call is not there.
+    """
+    rows = store.of_session(table, store.index("pairs"), session_id)
+    return rows if seq is None else rows.where(F.col("seq") == seq)
+
+
+def trajectory(store: Store, table: str, session_id: str, source_path: str) -> DataFrame:
+    """Rows of a session, or, when no session has the id, of the first session of the log.
+
+    The first is the one whose call stands before all others; ``table`` has session_id,
+    block_start and row_id.
+    """
+    index = store.index("pairs")
+    own = store.of_session(table, index, session_id)
+    if not own.isEmpty():
+        return own
+    log = store.alive(table, index).where(F.col("source_path") == source_path)
+    first = log.groupBy("source_path").agg(F.min_by("session_id", F.struct("block_start", "row_id")).alias("session_id"))
+    return log.join(first, ["source_path", "session_id"], "left_semi")
+
+
 # -- secret scans that are kept ------------------------------------------------
 
 _SCAN = ["source_path", "content_hash", "mode", "redact_check"]

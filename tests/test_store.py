@@ -170,3 +170,34 @@ def test_scans_are_kept_and_folded(spark, store, tmp_path):
     assert strict == 3 and check() == 1
     secrets, totals = S.audit_report(store, "strict", redact_check=False)
     assert same(secrets, group_findings(anew(store, "strict")[0])) and totals.first().files == 3
+
+
+def calls_of(pairs):
+    from spanloom.operators.normalize import normalize_pairs
+    from spanloom.operators.trajectory import number_calls
+
+    calls = normalize_pairs(pairs)
+    return number_calls(calls).select("source_path", "block_start", "row_id", "session_id", "seq")
+
+
+def test_one_conversation_by_id(spark, store, tmp_path):
+    logs = tmp_path / ".claude-trace"
+    write_log(logs, "a.jsonl", CODEX + CLAUDE)
+    write_log(logs, "b.jsonl", GEMINI)
+    S.ingest(store, S.list_logs(spark, [str(logs)]), derive={"calls": calls_of})
+    every = S.stored(store, "calls").collect()
+    claude = next(r.session_id for r in every if r.session_id.startswith("claude"))
+    assert "bucket" not in every[0].asDict() and len(every) == 5
+    key = lambda rows: sorted((r.source_path, r.row_id) for r in rows)
+    got = S.conversation(store, "calls", claude)
+    assert key(got.collect()) == key(r for r in every if r.session_id == claude)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert [r.seq for r in S.conversation(store, "calls", claude, 1).collect()] == [1]
+    assert S.conversation(store, "calls", claude, 99).count() == 0 and S.conversation(store, "calls", "nobody").count() == 0
+    log = next(r.source_path for r in every if r.source_path.endswith("a.jsonl"))
+    first = S.trajectory(store, "calls", "nobody", log).collect()
+    assert {r.session_id.split(":")[0] for r in first} == {"codex"} and {r.source_path for r in first} == {log}
+    assert key(S.trajectory(store, "calls", claude, log).collect()) == key(got.collect())
+    S.compact(store, ["pairs", "calls"])
+    assert key(S.conversation(store, "calls", claude).collect()) == key(r for r in every if r.session_id == claude)
