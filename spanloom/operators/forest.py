@@ -140,3 +140,82 @@ def system_text(nodes: DataFrame, chain: DataFrame) -> DataFrame:
     s = nodes.join(chain, ["session_id", "node_id"]).where("role = 'system' and trim(content) <> ''")
     parts = F.array_sort(F.collect_list(F.struct("position", "content")))
     return s.groupBy("session_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("system"))
+
+
+# -- imported sessions as captured pairs ------------------------------------------
+
+BLOCK_MESSAGES = 256
+
+
+def _seconds(iso: str) -> Column:
+    return F.unix_micros(F.try_to_timestamp(F.col(iso))) / 1e6
+
+
+def chain_pairs(nodes: DataFrame, chain: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, messages) of imported sessions: what a capture of them would have held.
+
+    ``sessions`` has session_id, model and created_at.  ``messages`` (session_id, block,
+    n_first, bodies) are the wire messages of the chain, each once, ``BLOCK_MESSAGES`` to a
+    row; ``pairs`` has one row for each assistant turn, which names by ``upto`` how many
+    messages its request resends.  What follows the last assistant turn comes as one more
+    pair with an empty response.  Both grow with the chain and not with its square; sessions
+    without an assistant turn have none.
+    """
+    n = nodes.join(chain, ["session_id", "node_id"]).where("role in ('user', 'assistant', 'tool')")
+    at = F.floor(F.col("position") / F.lit(CHUNK_ROWS))
+    n = running(n, ["session_id"], at, ["position"], number="upto", sums={"seq": F.when(F.col("role") == "assistant", 1).otherwise(0)},
+                last={"last_at": F.when(F.col("created_at") > 0, F.col("created_at"))})
+    content = F.coalesce("content", F.lit(""))
+    call = "transform(tool_calls, c -> named_struct('id', c.id, 'name', c.name, 'arguments', coalesce(try_parse_json(c.arguments), parse_json('{}'))))"
+    body = F.when(F.col("role") == "assistant", F.to_json(F.struct(
+        F.lit("assistant").alias("role"), content.alias("content"), F.expr(f"if(size(tool_calls) > 0, {call}, null)").alias("tool_calls"),
+    ))).otherwise(F.to_json(F.struct("role", content.alias("content"), F.when(F.col("role") == "tool", F.col("tool_call_id")).alias("tool_call_id"))))
+    n = n.withColumn("body", body)
+    blocks = n.groupBy("session_id", F.floor(F.col("upto") / BLOCK_MESSAGES).alias("block")).agg(
+        F.min("upto").alias("n_first"), F.transform(F.array_sort(F.collect_list(F.struct("upto", "body"))), lambda x: x["body"]).alias("bodies"))
+
+    own = sessions.select("session_id", ms_to_sec(F.col("created_at")).alias("session_at"))
+    named = dominant_model(nodes, chain, sessions).join(own, "session_id").join(system_text(nodes, chain), "session_id", "left")
+    made = n.where("role = 'assistant'").join(named, "session_id")
+    m = F.col("metadata.metrics")
+    known = F.when(F.col("created_at") > 0, F.col("created_at"))
+    req = F.coalesce(_seconds("metadata.started_generation_at"), _seconds("metadata.created_at"), known, "session_at")
+    resp = F.coalesce(_seconds("metadata.created_at"), known, req)
+    usage = F.struct(*[F.coalesce(m[c], F.lit(0)).cast("bigint").alias(c) for c in (
+        "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")])
+    turns = made.select(
+        "session_id", (F.col("seq") - 1).alias("seq"), "upto", "model", "system", req.alias("request_at"), resp.alias("response_at"),
+        (req + m["ttft_ms"] / 1000).alias("first_byte_at"),
+        F.coalesce(F.nullif(F.col("metadata.generation_model"), F.lit("")), "model").alias("answer_model"),
+        F.col("metadata.finish_reason").alias("finish_reason"), F.col("body").alias("message"), F.to_json(usage).alias("usage"))
+    ends = n.groupBy("session_id").agg(
+        F.max("seq").alias("seq"), (F.max("upto") + 1).alias("upto"), F.max_by("role", "upto").alias("role"), F.max_by("last_at", "upto").alias("last_at"))
+    tail = ends.where("role <> 'assistant' and seq > 0").join(named, "session_id")
+    last = F.coalesce("last_at", "session_at")
+    tail = tail.select("session_id", "seq", "upto", "model", "system", last.alias("request_at"), last.alias("response_at"), F.col("model").alias("answer_model"))
+    return turns.unionByName(tail, allowMissingColumns=True), blocks
+
+
+def pair_lines(pairs: DataFrame, messages: DataFrame) -> DataFrame:
+    """(session_id, seq, value): each pair as the JSON line of a log, its transcript written out."""
+    lead = pairs.select("session_id", "seq", "upto", F.explode(F.sequence(
+        F.lit(0), F.greatest(F.floor((F.col("upto") - 1) / BLOCK_MESSAGES), F.lit(0)).cast("int"))).alias("block"))
+    parts = lead.join(messages, ["session_id", "block"]).select(
+        "session_id", "seq", "block", F.array_join(F.slice("bodies", F.lit(1), F.greatest(F.col("upto") - F.col("n_first"), F.lit(0)).cast("int")), ",").alias("part"))
+    said = parts.where("part <> ''").groupBy("session_id", "seq").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), ",").alias("said"))
+    p = pairs.join(said, ["session_id", "seq"], "left")
+    text = lambda c: F.coalesce(F.expr(f"to_json(array({c}))").substr(F.lit(2), F.expr(f"length(to_json(array({c}))) - 2")), F.lit("null"))
+    given = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f',"{name}":'), value)).otherwise(F.lit(""))
+    number = lambda c: F.col(c).cast("decimal(20, 6)").cast("string")
+    stamp = F.concat(F.lit('"'), F.date_format(F.timestamp_micros((F.col("response_at") * 1e6).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"'))
+    request = F.concat(
+        F.lit('{"request":{"timestamp":'), number("request_at"), F.lit(',"method":"POST","url":'), text("concat('devin://session/', session_id)"),
+        F.lit(',"headers":{},"body":{"provider":"devin","session_id":'), text("session_id"), F.lit(',"model":'), text("model"),
+        given("system", F.when(F.col("system") != "", text("system"))), F.lit(',"transcript":['), F.coalesce("said", F.lit("")), F.lit("]}}"))
+    response = F.concat(
+        F.lit(',"response":{"timestamp":'), number("response_at"), given("first_byte_timestamp", number("first_byte_at")),
+        F.lit(',"status_code":200,"headers":{},"body":{"provider":"devin","model":'), text("answer_model"),
+        given("finish_reason", F.when(F.col("finish_reason").isNotNull(), text("finish_reason"))),
+        given("message", F.col("message")), given("usage", F.col("usage")), F.lit('}},"logged_at":'), stamp, F.lit("}"))
+    return p.select("session_id", "seq", F.concat(request, response).alias("value"))

@@ -22,6 +22,12 @@ def overwrite_sources(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_path").parquet(path)
 
 
+def write_pair_logs(lines: DataFrame, path: str) -> None:
+    """Lines of ``forest.pair_lines`` as logs, a folder for each session, in order of the calls."""
+    ordered = lines.repartition("session_id").sortWithinPartitions("session_id", "seq")
+    ordered.select("session_id", "value").write.mode("overwrite").partitionBy("session_id").text(path)
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """Pairs of imported sessions as JSON lines, one folder per session."""
     pairs.write.mode("overwrite").partitionBy("session_id").json(path)

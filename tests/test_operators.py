@@ -109,6 +109,40 @@ def test_forest_chain_cycle_and_leaf(spark):
     assert R.system_text(n, chain).first().system == "sys"
 
 
+def test_forest_as_pairs_gives_its_steps(spark, monkeypatch, tmp_path):
+    """Pairs made of a chain, written as a log, parsed again and walked like a capture."""
+    from spanloom.operators import trajectory as T
+    from spanloom.operators.normalize import normalize_pairs
+    from spanloom.sources.pairs import parse_pairs, read_lines
+    from spanloom.sources.sinks import write_pair_logs
+
+    monkeypatch.setattr(R, "BLOCK_MESSAGES", 2)
+    msg = lambda role, t, **k: json.dumps({"role": role, "content": t, **k})
+    meta = lambda k: {"metadata": {"generation_model": f"g{k % 2}", "created_at": f"2024-01-01T00:00:0{k}Z", "metrics": {"input_tokens": k, "output_tokens": 2, "ttft_ms": 250}}}
+    chat = [msg("system", "be \"kind\""), msg("user", "q\n1"), msg("assistant", "a1", tool_calls=[{"id": "c1", "name": "n", "arguments": {"x": [1, "é"]}}], **meta(1)),
+            msg("tool", "out1", tool_call_id="c1"), msg("assistant", "a2", tool_calls=[{"id": "c2", "name": "m", "arguments": {}}], **meta(2)),
+            msg("user", "q2"), msg("assistant", "a3", **meta(3)), msg("user", "tail"), msg("tool", "late", tool_call_id="c2")]
+    nodes = [("s", k, k - 1 or None, c, 1000 * k) for k, c in enumerate(chat, 1)] + [("mute", 1, None, msg("user", "hi"), 5)]
+    n = R.readable_nodes(spark.createDataFrame(nodes, "session_id string, node_id bigint, parent_node_id bigint, chat_message string, created_at bigint"))
+    ses = spark.createDataFrame([("s", None, "m", 7), ("mute", None, "m", 7)], "session_id string, main_chain_id bigint, model string, created_at bigint")
+    chain = written(R.active_chain(n, R.leaf_of(n, ses)), "chain")
+    pairs, messages = (written(x, "made") for x in R.chain_pairs(n, chain, ses))
+    assert [(r.session_id, r.seq, r.upto) for r in pairs.orderBy("seq").collect()] == [("s", 0, 1), ("s", 1, 3), ("s", 2, 5), ("s", 3, 8)]
+    assert sum(len(r.bodies) for r in messages.where("session_id = 's'").collect()) == 8
+    write_pair_logs(R.pair_lines(pairs, messages), str(tmp_path / "logs"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "logs/session_id=s")).collect()]
+    assert [len(x["request"]["body"]["transcript"]) for x in lines] == [1, 3, 5, 8]
+    assert lines[0]["request"]["body"]["system"] == 'be "kind"' and lines[1]["request"]["body"]["transcript"][1]["tool_calls"][0]["arguments"] == {"x": [1, "é"]}
+    assert lines[1]["response"]["first_byte_timestamp"] == lines[1]["request"]["timestamp"] + 0.25 and "message" not in lines[3]["response"]["body"]
+    log = tmp_path / "s.jsonl"
+    log.write_text("".join(json.dumps(x) + "\n" for x in lines))
+    calls = written(normalize_pairs(parse_pairs(read_lines(spark, str(log)))), "calls")
+    steps = T.build_steps(calls, T.number_calls(calls)).orderBy("step_index").collect()
+    want = R.chain_steps(n, chain).where("session_id = 's'").orderBy("step_index").collect()
+    assert [(x.role, x.message, x.observation or "", x.prompt_tokens) for x in steps] == [(x.role, x.message, x.observation or "", x.prompt_tokens) for x in want]
+    assert len(want) == 6 and [x.observation for x in want if x.message == "a2"] == ["late"]
+
+
 def test_children_are_used_once(spark):
     tasks = [("f", "p", 0, "c0", "do the thing"), ("f", "p", 1, "c1", "do the thing"), ("f", "p", 2, "c2", "unknown"), ("g", "p", 0, "x", "t"), ("g", "q", 1, "y", "t")]
     kids = [("f", 0, "k0", "other"), ("f", 1, "k1", "please do the thing now"), ("f", 2, "k2", "do the")]
