@@ -10,12 +10,21 @@ signatures in common, and a near copy keeps most of them.  Near copies are not l
 that: windows of ``SIMILARITY`` have an exact run of ``sure_run`` shingles in common, and
 grams are chosen so that each such run holds one, which is a signature as well.
 
-Documents meet under a signature and are linked to its first holder alone, first inside a
-batch, so that a signature of very many documents is one row a batch.  Links of a pair of
-documents on one diagonal are merged to regions, and the shingles of a region are compared
-on both sides: a passage counts when it has ``LENGTH`` words or more and a similarity
-(Jaccard, shingles) of ``SIMILARITY`` or more.  Each window of ``LENGTH`` is judged on its
-own, so a passage does not hang on what stands beside it.
+Documents meet under a signature and are linked to its first holder, first inside a batch
+and then among batches, so that a signature of very many documents is one row a batch;
+holders of a gram are linked to the first of all as well.  Links of a pair are merged to
+regions, and the shingles of a region are compared on both sides: a passage counts when it
+has ``LENGTH`` words or more and a similarity (Jaccard, shingles) of ``SIMILARITY`` or more.
+Each window of ``LENGTH`` is judged on its own, so a passage does not hang on what stands
+beside it.
+
+Documents that are like each other and not like the first holder, their leader, differ from
+it by nearly the same edits.  At 0.8 two windows of 50 words differ by one word at most, so
+windows are known by their sets of edits to the leader, whole and with one edit taken back;
+equal sets over the same words are proof, and are met once a set in order of document.
+This covers texts that go side by side with the leader; where it changes by more than
+``NEAR_SHIFT`` words or ends inside the window, likeness to a later holder hangs on its own
+grams.
 """
 
 from __future__ import annotations
@@ -26,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +108,23 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
+def window_centres(values: np.ndarray, least: int) -> np.ndarray:
+    """For each run of ``least`` values the place of its least one, the first of equal ones.
+
+    That is the centre of the compact window that owns the run; a stretch of starts with one
+    centre is all that ``compact_windows`` says of runs of this length, without its tree.
+    """
+    at = np.arange(max(len(values) - least + 1, 0))
+    if not len(at):
+        return at
+    best, width = np.arange(len(values)), 1
+    while 2 * width <= least:
+        left, right = best[:-width], best[width:]
+        best, width = np.where(values[right] < values[left], right, left), 2 * width
+    left, right = best[at], best[at + least - width]
+    return np.where(values[right] < values[left], right, left)
+
+
 def sure_run(least: int, similarity: float) -> int:
     """Shingles that two windows of ``least`` with that similarity have in one run at least.
 
@@ -137,35 +162,33 @@ def signature_cells(h: np.ndarray, starts: np.ndarray, least: int, similarity: f
 
     A compact window owns the subsequences of ``least`` shingles that start in
     [max(left, centre - least + 1), min(centre, right - least + 1)]; over all windows
-    these ranges part a document, so two trees are joined by merging their range starts.
+    these ranges part a document, so two trees are joined by interval where either's
+    centre changes.
     Chosen grams follow as cells of their own.
     """
+    sizes = np.diff(starts)
+    spans = np.maximum(sizes - least + 1, 0)  # subsequences of each document
+    at = np.arange(spans.sum()) + np.repeat(starts[:-1] - np.cumsum(spans) + spans, spans)
+    doc = np.repeat(np.arange(len(sizes)), spans)
     trees = []
     for seed in _SEEDS:
         v = _mix(h ^ seed)
-        at, centre = [], []
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            for a, c, _ in compact_windows(v[lo:hi], least):
-                at.append(lo + max(a, c - least + 1))
-                centre.append(lo + c)
-        at, centre = np.array(at, np.int64), np.array(centre, np.int64)
-        order = np.argsort(at)
-        trees.append((v, at[order], centre[order]))
+        trees.append((v, window_centres(v, least)[at]))
     keys, docs, places = [], [], []
     for band, (i, j) in enumerate(BANDS):
-        (vi, ai, ci), (vj, aj, cj) = trees[i], trees[j]
-        x = np.union1d(ai, aj)
-        if not len(x):
+        if not len(at):
             continue
-        ci, cj = ci[np.searchsorted(ai, x, "right") - 1], cj[np.searchsorted(aj, x, "right") - 1]
+        (vi, ci), (vj, cj) = trees[i], trees[j]
+        new = np.ones(len(at), bool)  # where a cell of the overlay begins
+        new[1:] = (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1]) | (doc[1:] != doc[:-1])
+        ci, cj, d = ci[new], cj[new], doc[new]
         with np.errstate(over="ignore"):
             key = (_mix(vi[ci] * _STEP + vj[cj] + np.uint64(band + 1)) & ~np.uint64(1)).view(np.int64)
-        doc = np.searchsorted(starts, x, "right") - 1
-        new = np.ones(len(x), bool)  # a text that repeats itself gives one signature over and over
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        new = np.ones(len(key), bool)  # a text that repeats itself gives one signature over and over
+        new[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
         keys.append(key[new])
-        docs.append(doc[new])
-        places.append((ci - starts[doc])[new])
+        docs.append(d[new])
+        places.append((ci - starts[d])[new])
     key, at = chosen_grams(h, starts, sure_run(least, similarity))
     doc = np.searchsorted(starts, at, "right") - 1
     keys.append(key)
@@ -179,10 +202,11 @@ _LINK = [*_CELL, "led"]
 _LINK_DDL = "key long, doc long, at long, to_doc long, to_at long, led boolean"
 
 
-def _led(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _led(key: np.ndarray, doc: np.ndarray, at: np.ndarray, ascending: bool = False) -> pa.RecordBatch:
     """Link the rows of each key to its first; the smallest document's rows are not led.  Of a
     gram, whose key is odd, other places in the first document are led as well: they count."""
-    order = np.lexsort((at, doc, key))
+    # rows of a key stand in order of document already where the ids of the batch ascend
+    order = np.argsort(key, kind="stable") if ascending else np.lexsort((at, doc, key))
     key, doc, at = key[order], doc[order], at[order]
     first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
@@ -198,7 +222,7 @@ def _cells(batches, least: int, similarity: float):
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         h, starts = shingles([words(t) for t in b.column("text").to_pylist()])
         key, doc, at = signature_cells(h, starts, least, similarity)
-        yield _led(key, ids[doc], at)
+        yield _led(key, ids[doc], at, bool((ids[1:] >= ids[:-1]).all()))
 
 
 def _first_holders(batches):
@@ -376,7 +400,18 @@ def _like_sets(b: np.ndarray, a: np.ndarray, rows: np.ndarray, least: int, simil
     return good.any(1)[back]
 
 
-def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> np.ndarray:
+def _met(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of ``a``, ``a`` in that order, and where each of ``b`` begins and ends there."""
+    order = np.argsort(a, kind="stable")
+    ordered = a[order]
+    lo = np.searchsorted(ordered, b)
+    hi = lo + (ordered[np.minimum(lo, len(a) - 1)] == b) if len(a) else lo
+    if len(a) and (ordered[1:] == ordered[:-1]).any():
+        hi = np.searchsorted(ordered, b, "right")
+    return order, ordered, lo, hi
+
+
+def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float, met=None) -> np.ndarray:
     """For each window of ``least`` shingles of ``b``: is one of ``a`` as similar as ``similarity``?
 
     Windows are compared on the diagonals on which shingles of both stand, so words may be
@@ -385,9 +420,7 @@ def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float
     n, m = len(b) - least + 1, len(a) - least + 1
     if n < 1 or m < 1:
         return np.zeros(max(n, 0), bool)
-    order = np.argsort(a, kind="stable")
-    ordered = a[order]
-    lo, hi = np.searchsorted(ordered, b), np.searchsorted(ordered, b, "right")
+    order, ordered, lo, hi = met or _met(b, a)
     hit = np.flatnonzero(hi > lo)
     out = np.zeros(n, bool)
     if not len(hit):
@@ -445,13 +478,12 @@ def matching_windows(b: np.ndarray, a: np.ndarray, least: int, similarity: float
 
 
 def _whole_stretches(
-    b: np.ndarray, a: np.ndarray, least: int, similarity: float, passed: np.ndarray,
+    b: np.ndarray, a: np.ndarray, least: int, similarity: float, passed: np.ndarray, met,
 ) -> list[tuple[int, int]]:
     """Stretches [s, e) of dense windows whose similarity with their place in ``a`` is high enough as a whole;
     none where all dense windows have ``passed`` on their own."""
-    order = np.argsort(a, kind="stable")
-    place = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
-    hit = a[order[place]] == b
+    order, _, lo, hi = met
+    place, hit = np.minimum(lo, len(a) - 1), hi > lo
     total = np.concatenate([[0], np.cumsum(hit)])
     share = 2 * similarity / (1 + similarity)  # of equal sets of one size with that Jaccard
     dense = np.flatnonzero(total[least:] - total[:-least] >= np.ceil(share * least - 1e-9))
@@ -479,15 +511,16 @@ def _whole_stretches(
     return out
 
 
-def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: float, met=None) -> list[tuple[int, int]]:
     """Stretches [s, e) of shingles ``b``: the union of the windows of ``least`` that have
     their like in ``a`` (see ``matching_windows``), and longer stretches of dense windows
     that are similar enough as a whole."""
     if len(b) < least or not len(a):
         return []
-    passed = matching_windows(b, a, least, similarity)
+    met = met or _met(b, a)
+    passed = matching_windows(b, a, least, similarity, met)
     found = np.flatnonzero(passed)
-    out = _whole_stretches(b, a, least, similarity, passed)
+    out = _whole_stretches(b, a, least, similarity, passed, met)
     if len(found):
         cuts = np.flatnonzero(np.diff(found) > least)
         out += zip(found[np.concatenate([[0], cuts + 1])].tolist(), (found[np.append(cuts, len(found) - 1)] + least).tolist())
@@ -500,17 +533,21 @@ def matching_stretches(b: np.ndarray, a: np.ndarray, least: int, similarity: flo
     return merged
 
 
-def edits(b: np.ndarray, a: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], tuple[int, int, int, int]]:
+def _copied_whole(b: np.ndarray, a: np.ndarray) -> bool:
+    """Do the words or shingles ``b`` stand in ``a`` as they are?  Looks at a few places only."""
+    n = len(b)
+    places = np.flatnonzero(a[n // 2:len(a) - (n - 1 - n // 2)] == b[n // 2])[:4] if 0 < n <= len(a) else ()
+    return any((a[p:p + n] == b).all() for p in places)
+
+
+def edits(b: np.ndarray, a: np.ndarray, met) -> tuple[list[tuple[int, int, int, int, int]], tuple[int, int, int, int]]:
     """What words ``b`` have changed of words ``a`` where both go side by side.
 
-    Runs of shingles that stand once in either are chained on diagonals near the commonest.
-    Returns (place in b, words there, place in a, words there, hash of b's words) in order,
+    Runs of shingles (``met`` of those of both) that stand once in ``a`` are chained on
+    diagonals near the commonest.  Returns (place in b, words there, place in a, words there, hash of b's words) in order,
     one for each changed word, and the ranges (b, b, a, a) from the first run to the last.
     """
-    hb, ha = shingled(b), shingled(a)
-    order = np.argsort(ha, kind="stable")
-    ordered = ha[order]
-    lo, hi = np.searchsorted(ordered, hb), np.searchsorted(ordered, hb, "right")
+    order, _, lo, hi = met
     i = np.flatnonzero(hi - lo == 1)
     if not len(i):
         return [], (0, 0, 0, 0)
@@ -538,7 +575,7 @@ def edits(b: np.ndarray, a: np.ndarray) -> tuple[list[tuple[int, int, int, int,
 
 
 def edit_sets(
-    b: np.ndarray, a: np.ndarray, name: int, length: int, core: int, base: int = 0,
+    b: np.ndarray, a: np.ndarray, h: np.ndarray, met, name: int, length: int, core: int, base: int = 0,
 ) -> list[tuple[int, int, int, int, int, int, int]]:
     """(key, lo, hi, first, words, taken, pad) of the windows of ``b`` that differ from ``a``.
 
@@ -550,10 +587,9 @@ def edit_sets(
     place ``taken`` of ``a``, whose first word is number ``base``.  ``pad`` words more on
     either side are alike for any window that holds a core.  Windows in which a shingle stands twice are left out.
     """
-    found, (b_lo, b_hi, a_lo, a_hi) = edits(b, a)
+    found, (_, _, a_lo, a_hi) = edits(b, a, met)
     if not found:
         return []
-    h = shingled(b)
     seen = length - SHINGLE + 1
     twice = np.zeros(len(b) + 1, np.int64)
     if len(h) >= seen:
@@ -563,13 +599,15 @@ def edit_sets(
     out = []
     for i, (at, n, to, m, _) in enumerate(found):
         before = found[i - 1][2] + found[i - 1][3] if i else a_lo
+        total = dropped = 0
         for j in range(i, len(found)):
             z_at, z_n, z_to, z_m, _ = found[j]
             after = found[j + 1][2] if j + 1 < len(found) else a_hi
-            total = sum(mark[i:j + 1])
+            total += mark[j]
+            dropped += found[j][3] - found[j][1]
             fits = False
             for size in (core, length):
-                wide = size + max(0, sum(x[3] - x[1] for x in found[i:j + 1]))  # dropped words leave room
+                wide = size + max(0, dropped)  # dropped words leave room
                 lo = max(before, z_to + z_m + (z_m == 0) - wide)
                 hi = min(to - (m == 0), after - wide)
                 fits |= z_to - to < wide
@@ -685,13 +723,12 @@ def _verified(links: DataFrame, texts: DataFrame, least: int, similarity: float)
     core = math.ceil(2 * similarity / (1 + similarity) * least - 1e-9) + more
 
     def cut(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
         for b in pieces(batches, "_z", 1 << 20):
             out: list[list] = [[], [], [], []]
             for i, z, ranges in zip(b.column("doc_id").to_pylist(), unzip(b.column("_z").to_pylist()), b.column("ranges").to_pylist()):
                 w = word_hashes(words(z.decode()))
                 for r in ranges:
-                    for col, x in zip(out, (i, r["a0"], r["a1"], pack(w[r["a0"]:r["a1"] + more].tobytes()))):
+                    for col, x in zip(out, (i, r["a0"], r["a1"], w[r["a0"]:r["a1"] + more].tobytes())):
                         col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())],
@@ -709,13 +746,20 @@ def _verified(links: DataFrame, texts: DataFrame, least: int, similarity: float)
                 if seen != (i, z):
                     seen, w = (i, z), word_hashes(words(unzip([z])[0].decode()))
                     h = shingled(w)
-                theirs = np.frombuffer(unzip([part])[0], np.uint64)
+                theirs = np.frombuffer(part, np.uint64)
+                own, other = h[b0:b1], shingled(theirs)
+                if len(own) >= least and _copied_whole(own, other):
+                    rows = [(i, b0, min(b1, len(h)) - 1 + more, to, *[None] * 7)]
+                    for col, x in zip(out, zip(*rows)):
+                        col += x
+                    continue
+                met = _met(own, other)
                 rows = [(i, b0 + s, b0 + e - 1 + more, to, *[None] * 7)
-                        for s, e in matching_stretches(h[b0:b1], shingled(theirs), least, similarity)]
+                        for s, e in matching_stretches(own, other, least, similarity, met)]
                 if len(w) >= least + more:
                     rows += [(i, b0 + first, None, None, key - (1 << 63), a0 + lo, a0 + hi, n, taken + a0 * (taken >= 0),
                               pad, min(pad, len(w) - b0 - first - (hi - lo) - n))
-                             for key, lo, hi, first, n, taken, pad in edit_sets(w[b0:b1 + more], theirs, to, least + more, core, a0)]
+                             for key, lo, hi, first, n, taken, pad in edit_sets(w[b0:b1 + more], theirs, own, met, to, least + more, core, a0)]
                 for col, x in zip(out, zip(*rows)):
                     col += x
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=_FOUND)

@@ -157,6 +157,16 @@ def test_compact_windows_part_all_subsequences():
                 assert len(owners) == 1 and values[owners[0][1]] == values[i:j + 1].min()
 
 
+def test_centres_are_those_of_the_tree():
+    rng = np.random.default_rng(10)
+    for n in (0, 4, 5, 6, 80, 333):
+        values = rng.permutation(n).astype(np.uint64)
+        owner = {i: c for a, c, z in compact_windows.compact_windows(values, 5) for i in range(max(a, c - 4), min(c, z - 4) + 1)}
+        assert compact_windows.window_centres(values, 5).tolist() == [owner[i] for i in range(max(n - 4, 0))]
+    same = np.zeros(50, np.uint64)
+    assert compact_windows.window_centres(same, 7).tolist() == list(range(44))
+
+
 def test_exact_repeats_of_the_driver_tables_are_found(spark, sf, small):
     first, need, total = {}, 0, 0
     w = {i: words(t) for i, t in small.items()}
@@ -174,6 +184,45 @@ def test_exact_repeats_of_the_driver_tables_are_found(spark, sf, small):
     assert need <= 0.02 * total
 
 
+def recall_of_near_windows(docs, spans):
+    """Share of the words in windows that are like one of an earlier document which lie in spans; and their number."""
+    h = {i: compact_windows.shingles([words(t)])[0] for i, t in sorted(docs.items())}
+    holders, need, got = {}, 0, 0
+    for i, x in h.items():
+        near = set()
+        for v in set(x.tolist()):
+            near.update(holders.get(v, ()))
+            holders.setdefault(v, []).append(i)
+        wanted, found = np.zeros(len(x) + 4, bool), np.zeros(len(x) + 4, bool)
+        for j in near:
+            for k in np.flatnonzero(compact_windows.matching_windows(x, h[j], 46, 0.8)).tolist():
+                wanted[k:k + 50] = True
+        for s in spans[i].split():
+            a, z = map(int, s.split("-"))
+            found[a:z + 1] = True
+        need += int(wanted.sum())
+        got += int((wanted & found).sum())
+    return got / max(need, 1), need
+
+
+def test_near_windows_of_the_driver_tables_are_found(spark, sf, small):
+    got = {r["doc_id"]: r["spans"] for r in queries.QUERIES["op4_compact_windows"](spark, sf).collect()}
+    share, need = recall_of_near_windows(small, got)
+    assert need > 1000 and share >= 0.98
+
+
+def test_rows_of_one_id(spark):
+    """Equal rows count once; of several texts of an id the smallest is compared and cut, the others stay."""
+    ready(spark)
+    one, two = (" ".join(f"{c}{k}" for k in range(70)) for c in "ab")
+    rows = [(1, one), (1, one), (2, two), (3, one + " " + two), (3, one + " " + two), (5, "z " + two), (5, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["spans"]) for r in compact_windows.report(docs).collect()}
+    assert got == {(1, ""), (2, ""), (3, "0-139"), (5, "0-69")}
+    left = sorted((r["doc_id"], r["text"].strip()) for r in compact_windows.remove_repeats(docs).collect())
+    assert left == [(1, one), (1, one), (2, two), (3, ""), (3, ""), (5, ""), (5, "z " + two)]
+
+
 def plain_windows(b, a, least):
     """Windows of b that have one of a at Jaccard 0.8 or more."""
     theirs = [set(a[k:k + least].tolist()) for k in range(len(a) - least + 1)]
