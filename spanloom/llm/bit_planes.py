@@ -31,6 +31,7 @@ from .common import in_ranges, pieces, unzip, zipped
 from .tokens import encoder
 
 BLOCK_IDS = 32_768
+CACHE_PARTS = 600_000  # words whose ids a worker remembers
 _CHUNKS = """shard int, chunk int, first_id long, n_ids int, planes string, plane_sizes array<int>,
 payload binary, docs array<struct<doc_id: long, start: long, n_tokens: long>>"""
 _PARTS = "shard int, doc_id long, first long, n_tokens long, at long, crc long, ids binary"
@@ -76,7 +77,7 @@ def write_planes(
     def run(batches):
         shard = TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=level).compress
-        enc = encoder(tokenizer, kind, special_as_text)
+        enc = encoder(tokenizer, kind, special_as_text, CACHE_PARTS)
         end = np.array([end_id], "<u4").tobytes()
         held, held_ids, first, chunk, at = [], 0, 0, 0, 0  # bytes waiting; their first position
         open_docs: list[dict] = []

@@ -18,10 +18,15 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 _WIDE = re.compile(r"\s\s\S")
 
 
+def _unknown(text: str) -> bool:
+    """Has it characters that Python's tables do not know?  Newer tables may call them letters."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Encoder:
     """``kind`` is "byte" (a word holds its leading blank) or "word" (blanks vanish, case is folded).
 
@@ -29,11 +34,11 @@ class Encoder:
     With ``special_as_text`` it is encoded like other text, so that no text forges a control id.
     """
 
-    def __init__(self, path: str, kind: str, special_as_text: bool = False):
+    def __init__(self, path: str, kind: str, special_as_text: bool = False, cache_parts: int = CACHE_PARTS):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = kind
+        self.kind, self.cache_parts = kind, cache_parts
         self.split = re.compile(r"( ?[^\W\d_]+)" if kind == "byte" else r"([^\W\d_]+)").split
         self.cache: dict[str, bytes | None] = {}
         vocab = self.tokenizer.get_vocab()
@@ -47,7 +52,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _plain(self, text: str) -> bool:
-        if "'" in text or any(t in text for t in self.added):
+        if "'" in text or any(t in text for t in self.added) or _unknown(text):
             return False
         if self.kind == "byte":
             return _WIDE.search(text) is None
@@ -100,7 +105,7 @@ class Encoder:
         out: list = [None] * len(texts)
         whole = []
         cut = []
-        if len(self.cache) > CACHE_PARTS:
+        if len(self.cache) > self.cache_parts:
             self.cache.clear()
         self.cache[""] = b""
         get = self.cache.__getitem__
@@ -129,10 +134,10 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, kind: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, kind: str, special_as_text: bool = False, cache_parts: int = CACHE_PARTS) -> Encoder:
     """One encoder per worker process, so that its cache outlives a batch.
 
     One thread: Spark runs a task on each core already.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, kind, special_as_text)
+    return Encoder(path, kind, special_as_text, cache_parts)

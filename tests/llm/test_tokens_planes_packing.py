@@ -18,7 +18,7 @@ from spanloom.llm.tokens import Encoder
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     *[t for t in TEXTS if t], "a\n\nb", "a  b", " x", "\n\n  La  \n", "é", "ΣΑΣ Σ", "İx", "a²3 ½b 12ab", "_a_b",
-    "\xa0b  c", "ǅ ʰa", "x​ᾼ", "a\r\nb", "x\x85y",
+    "\xa0b  c", "ǅ ʰa", "x​ᾼ", "a\r\nb", "x\x85y", "A\U00013460", "b\ua7cc c",
 ]
 
 
