@@ -253,3 +253,19 @@ def test_an_empty_passage_stands_in_every_text(spark, tmp_path):
     spark.createDataFrame([(7, ""), (8, "text of some"), (9, None)], "item_id long, text string").write.parquet(
         f"{tmp_path}/benchmark.parquet")
     assert sorted(map(tuple, passages(spark, str(tmp_path)).collect())) == [(1, 7), (1, 8), (2, 7)]
+
+
+def test_passages_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from spanloom.plans.catalog import ORACLES, QUERIES
+
+    rows = {"documents": ([(1, "a text of some words"), (2, ""), (3, None), (4, "text of some")], "doc_id long, text string"),
+            "benchmark": ([(7, ""), (8, "text of some"), (9, None), (10, "")], "item_id long, text string")}
+    con = duckdb.connect()
+    for t, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES["documents_holding_passages"]).fetchall()
+    got = QUERIES["documents_holding_passages"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 8
