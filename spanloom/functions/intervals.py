@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import HOUR, running
+
 UNIT, BASE, LEVELS = 64, 8, 10  # the widest block is beyond any epoch time
 
 _BLOCK = "struct<level: int, block: bigint>"
@@ -65,3 +67,35 @@ def stab_join(
     j = p.join(i, [*keys, "_level", "_block"])
     inside = (F.col(t) >= F.col(lo)) & ((F.col(t) <= F.col(hi)) if closed else (F.col(t) < F.col(hi)))
     return j.where(inside).drop("_level", "_block")
+
+
+def with_edges(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], ids: Sequence[str], t: str, lo: str, hi: str, closed: Column
+) -> DataFrame:
+    """Points and both ends of every interval in one line; ordered by (_t, _k, _id).
+
+    ``_side`` is -1 on the row before an interval's first point, 1 on the row after its
+    last, NULL on points.  ``points`` brings ``_id``; ``closed`` tells where hi belongs in.
+    """
+    end = lambda t, k, side: F.struct(F.col(t).cast("double").alias("_t"), k.alias("_k"), F.lit(side).alias("_side"))
+    ends = F.array(end(lo, F.lit(0), -1), end(hi, F.when(closed, 2).otherwise(0), 1))
+    e = intervals.where((F.col(lo) < F.col(hi)) | (closed & (F.col(lo) == F.col(hi)))).select(*keys, *ids, F.inline(ends))
+    p = points.withColumn("_t", F.col(t).cast("double")).withColumn("_k", F.lit(1)).drop(t)
+    return p.where("_t is not null").unionByName(e, allowMissingColumns=True)
+
+
+def edge_chunk() -> Column:
+    return F.floor(F.greatest(F.col("_t"), F.lit(-1.0)) / F.lit(HOUR)).cast("bigint")
+
+
+def stab_counts(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], ids: Sequence[str], t: str, lo: str, hi: str, closed: Column
+) -> DataFrame:
+    """(ids, n): points inside the intervals of each id, from running counts at both ends.
+
+    Rows are the points and two per interval, whatever the number of pairs that meet.
+    """
+    p = points.select(*keys, t, F.lit(None).cast("bigint").alias("_id"))
+    line = with_edges(p, intervals, keys, ids, t, lo, hi, closed)
+    upto = running(line, keys, edge_chunk(), ["_t", "_k"], sums={"_upto": F.when(F.col("_k") == 1, 1).otherwise(0)})
+    return upto.where("_side is not null").groupBy(*ids).agg(F.sum(F.col("_side") * F.col("_upto")).alias("n"))

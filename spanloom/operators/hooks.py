@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import stab_join
-from ..functions.scan import halo, running
+from ..functions.intervals import edge_chunk, stab_counts, stab_join, with_edges
+from ..functions.scan import halo, running, time_chunk
 from ..functions.text import collapse
+from ..session import written
 
 SLACK_SEC = 600
 OPEN_END = 4e9  # an open end, beyond any time recorded
@@ -39,8 +40,11 @@ def hook_owner(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     then earliest start, then id."""
     main = requests.where("not is_subagent").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_main"))
     s = sessions.where("client_session_id is not null").join(main, "session_id", "left")
-    rank = F.struct(-F.coalesce("n_main", F.lit(0)), F.col("started_at"), F.col("session_id"))
-    return s.groupBy("client_session_id").agg(F.min_by("session_id", rank).alias("session_id"))
+    return s.groupBy("client_session_id").agg(F.min_by("session_id", _owner_rank()).alias("session_id"))
+
+
+def _owner_rank() -> Column:
+    return F.struct(-F.coalesce("n_main", F.lit(0)), F.col("started_at"), F.col("session_id"))
 
 
 def _fence(df: DataFrame) -> DataFrame:
@@ -55,44 +59,103 @@ def _window(sessions: DataFrame, *cols: str) -> DataFrame:
     return sessions.select("session_id", *cols, F.greatest(lo, F.lit(0.0)).alias("w_lo"), hi.alias("w_hi"))
 
 
+def hook_places(sessions: DataFrame, requests: DataFrame, hooks: DataFrame) -> DataFrame:
+    """(session_id, project, hook_session, w_lo, w_hi): which hooks a session shows.
+
+    Those of its own id, else of its client id when it is the owner; ``hook_session``
+    names them.  Sessions without client id show the hooks inside their window, and
+    have NULL there.  A session has one row at most.
+    """
+    keyed = hooks.select(F.col("hook_session").alias("session_id"), F.lit(True).alias("_own")).distinct()
+    main = requests.where("not is_subagent").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_main"))
+    s = sessions.join(keyed, "session_id", "left").join(main, "session_id", "left")
+    s = written(s.select("session_id", "project", "started_at", "ended_at", "client_session_id", "_own", "n_main"), "sessions")
+    always = [F.lit(float("-inf")).alias("w_lo"), F.lit(float("inf")).alias("w_hi")]
+    direct = s.where("_own").select("session_id", "project", F.col("session_id").alias("hook_session"), *always)
+    first = F.min_by(F.struct("session_id", "project", "_own"), _owner_rank()).alias("o")
+    owner = s.where("client_session_id is not null").groupBy("client_session_id").agg(first)
+    owned = owner.where("o._own is null").select("o.session_id", "o.project", F.col("client_session_id").alias("hook_session"), *always)
+    timed = _window(s.where("_own is null and client_session_id is null"), "project")
+    timed = timed.withColumn("hook_session", F.lit(None).cast("string"))
+    return direct.unionByName(owned).unionByName(timed)
+
+
+def _wanted(places: DataFrame) -> DataFrame:
+    """A row per key ``_p`` of hooks that can be meant: a session meets hooks of its
+    project and hooks without one; a session without project meets every hook."""
+    project = norm_cwd(F.col("project"))
+    in_project = F.array(F.concat(F.lit("="), project), F.lit("="))
+    return places.withColumn("_p", F.explode(F.when(project == "", F.array(F.lit("*"))).otherwise(in_project))).drop("project")
+
+
+def _keyed_points(hooks: DataFrame) -> DataFrame:
+    """Each hook under the keys of ``_wanted``."""
+    own = F.concat(F.lit("="), norm_cwd(F.col("cwd")))
+    return hooks.withColumn("_p", F.explode(F.array(own, F.lit("*"))))
+
+
+def _by_time(places: DataFrame) -> DataFrame:
+    return _wanted(places.where("hook_session is null").drop("hook_session"))
+
+
+def _of_one_session(timed: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Sessions (matched by time) whose hooks are all of one hook session.
+
+    In time order a window holds one hook session if the run of equal ones that its last
+    hook belongs to began no later than its first; nothing is paired for that.
+    """
+    p = _keyed_points(hooks.where("hook_session is not null and ts is not null").select("hook_id", "hook_session", "ts", "cwd")).drop("cwd")
+    p = running(p, ["_p"], time_chunk(F.col("ts")), ["ts", "hook_id"], number="_rank", lag={"_before": F.col("hook_session")})
+    began = F.when(F.col("_before").isNull() | (F.col("_before") != F.col("hook_session")), F.col("_rank"))
+    p = p.select("_p", "ts", F.col("hook_id").alias("_id"), "hook_session", began.alias("_began"))
+    line = with_edges(p, timed, ["_p"], ["session_id"], "ts", "w_lo", "w_hi", F.lit(True))
+    line = running(
+        line, ["_p"], edge_chunk(), ["_t", "_k", "_id"], sums={"_upto": F.when(F.col("_k") == 1, 1).otherwise(0)},
+        last={"_run": F.col("_began"), "_last": F.col("hook_session")},
+    ).where("_side is not null")
+    at = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
+    one = line.groupBy("session_id", "_p").agg(
+        at(-1, "_upto").alias("below"), at(1, "_upto").alias("upto"), at(1, "_run").alias("run"), at(1, "_last").alias("last")
+    ).where("upto > below")
+    return one.groupBy("session_id").agg(
+        (F.max(F.col("run") > F.col("below")) | (F.min("last") != F.max("last"))).alias("_several")
+    ).where("not _several").select("session_id", F.lit(True).alias("_one"))
+
+
 def hooks_by_time(sessions: DataFrame, hooks: DataFrame) -> DataFrame:
     """Hooks inside the window of sessions that carry no client id.
 
     A hook naming another project is dropped; one that names its project joins on
-    it.  Where a session is matched by several hook sessions the payload is withheld.
+    it.  Where a session is matched by several hook sessions the payload is withheld;
+    that is known before hooks and sessions are paired, so that pairs are not shuffled.
     """
-    project, cwd = norm_cwd(F.col("project")), norm_cwd(F.col("cwd"))
-    s = _window(sessions.where("client_session_id is null"), "project")
-    # A session joins hooks of its project and hooks without one; a session
-    # without project joins every hook, under one key for all.
-    wants = F.when(project == "", F.array(F.lit("*"))).otherwise(F.array(project, F.lit("")))
-    s = s.withColumn("_p", F.explode(wants)).drop("project")
-    h = hooks.withColumn("_p", F.explode(F.array(cwd, F.lit("*"))))
-    hit = stab_join(h, s, ["_p"], "ts", "w_lo", "w_hi").drop("_p", "w_lo", "w_hi")
-    distinct = hit.groupBy("session_id").agg(
-        (F.min("hook_session") != F.max("hook_session")).alias("_ambiguous")
-    )
-    return hit.join(distinct, "session_id").withColumn(
-        "payload", F.when(~F.col("_ambiguous"), F.col("payload"))
-    ).drop("_ambiguous")
+    return _hooks_in_windows(_wanted(_window(sessions.where("client_session_id is null"), "project")), hooks)
+
+
+def _hooks_in_windows(timed: DataFrame, hooks: DataFrame) -> DataFrame:
+    s = timed.join(_of_one_session(timed, hooks), "session_id", "left")
+    hit = stab_join(_keyed_points(hooks), s, ["_p"], "ts", "w_lo", "w_hi").drop("_p", "w_lo", "w_hi")
+    return hit.withColumn("payload", F.when(F.col("_one"), F.col("payload"))).drop("_one")
 
 
-def hooks_by_id(sessions: DataFrame, requests: DataFrame, hooks: DataFrame) -> DataFrame:
-    """Hooks of the session's own id, else of its client id when it is the owner."""
-    proj = sessions.select("session_id", "project")
-    direct = hooks.join(proj.withColumn("hook_session", F.col("session_id")), "hook_session")
-    owner = hook_owner(sessions, requests).withColumnRenamed("client_session_id", "hook_session")
-    owned = hooks.join(owner, "hook_session").join(proj, "session_id")
-    owned = owned.join(direct.select("session_id").distinct(), "session_id", "left_anti")
-    return _fence(direct.unionByName(owned)).drop("project")
+def hooks_by_id(places: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Hooks of the hook session that a place names."""
+    named = places.where("hook_session is not null").select("session_id", "project", "hook_session")
+    return _fence(hooks.join(named, "hook_session")).drop("project")
 
 
 def session_hooks(sessions: DataFrame, requests: DataFrame, hooks: DataFrame) -> DataFrame:
     """All hooks shown under each session: by identity, else by time."""
-    exact = hooks_by_id(sessions, requests, hooks)
-    keyed = hooks.select(F.col("hook_session").alias("session_id")).distinct()
-    by_time = hooks_by_time(sessions.join(keyed, "session_id", "left_anti"), hooks)
-    return exact.unionByName(by_time)
+    places = hook_places(sessions, requests, hooks)
+    return hooks_by_id(places, hooks).unionByName(_hooks_in_windows(_by_time(places), hooks))
+
+
+def shown_counts(places: DataFrame, hooks: DataFrame) -> DataFrame:
+    """(session_id, shown): the number of hooks each session shows, without pairing those matched by time."""
+    exact = hooks_by_id(places, hooks.drop("payload")).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    points = _keyed_points(hooks.select("ts", "cwd"))
+    timed = stab_counts(points, _by_time(places), ["_p"], ["session_id"], "ts", "w_lo", "w_hi", F.lit(True))
+    return exact.unionByName(timed).groupBy("session_id").agg(F.sum("n").alias("shown")).where("shown > 0")
 
 
 def conversation_hooks(sessions: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -106,7 +169,7 @@ def hooks_meta(sessions: DataFrame, requests: DataFrame, hooks: DataFrame) -> Da
     """Per session: hooks shown, hooks of its conversation, owner, and the reason for none."""
     per = hooks.groupBy(F.col("hook_session").alias("client_session_id")).agg(F.count(F.lit(1)).alias("conversation_hooks"))
     owner = hook_owner(sessions, requests).withColumnRenamed("session_id", "owner_id")
-    shown = session_hooks(sessions, requests, hooks).groupBy("session_id").agg(F.count(F.lit(1)).alias("shown"))
+    shown = shown_counts(hook_places(sessions, requests, hooks), hooks)
     total = hooks.agg(F.count(F.lit(1)).alias("indexed_total")).withColumn("_one", F.lit(1))
     s = (
         sessions.select("session_id", "client_session_id").join(per, "client_session_id", "left")
@@ -148,6 +211,43 @@ def turn_hooks(requests: DataFrame, hooks: DataFrame) -> DataFrame:
     return stab_join(h, t, ["session_id"], "ts", "t_lo", "t_hi", closed=False).select("session_id", "seq", "hook_id")
 
 
+def _turn_keys(places: DataFrame, requests: DataFrame) -> DataFrame:
+    """Turns cut to the window of their session, under the keys of the hooks it shows."""
+    t = turn_bounds(requests).where("t_hi > t_lo").join(_wanted(places), "session_id")
+    return t.select(
+        F.coalesce(F.concat(F.lit("="), F.col("hook_session")), F.lit("*")).alias("_h"), "_p", "session_id", "seq",
+        F.greatest("t_lo", "w_lo").alias("lo"), F.least("t_hi", "w_hi").alias("hi"), (F.col("w_hi") < F.col("t_hi")).alias("closed"),
+    ).where("lo < hi or (closed and lo = hi)")
+
+
+def _hook_keys(hooks: DataFrame) -> DataFrame:
+    """Hooks under the keys of ``_turn_keys``: of their hook session, and of all."""
+    named = F.array_compact(F.array(F.concat(F.lit("="), F.col("hook_session")), F.lit("*")))
+    h = _keyed_points(hooks.select("hook_id", "hook_session", "ts", "cwd").where("ts is not null")).drop("cwd")
+    return h.withColumn("_h", F.explode(named)).drop("hook_session")
+
+
+def shown_turn_hooks(places: DataFrame, requests: DataFrame, hooks: DataFrame) -> DataFrame:
+    """``turn_hooks`` of the hooks shown under each session, met with its turns at once."""
+    j = stab_join(_hook_keys(hooks), _turn_keys(places, requests), ["_h", "_p"], "ts", "lo", "hi")
+    return j.where("closed or ts < hi").select("session_id", "seq", "hook_id")
+
+
+def shown_turn_counts(places: DataFrame, requests: DataFrame, hooks: DataFrame) -> DataFrame:
+    """(session_id, seq, n): hooks within each turn, of those shown under its session."""
+    return stab_counts(
+        _hook_keys(hooks), _turn_keys(places, requests), ["_h", "_p"], ["session_id", "seq"], "ts", "lo", "hi", F.col("closed")
+    ).where("n > 0")
+
+
+def turn_event_counts(requests: DataFrame, hook_counts: DataFrame, compactions: DataFrame) -> DataFrame:
+    """(session_id, seq, events): tool calls, hooks and compactions of each turn that has any."""
+    tools = requests.select("session_id", "seq", F.size("tool_names").cast("bigint").alias("n")).where("n > 0")
+    cp = compactions.select("session_id", "seq", F.lit(1).cast("bigint").alias("n"))
+    n = tools.unionByName(hook_counts.select("session_id", "seq", "n")).unionByName(cp)
+    return n.groupBy("session_id", "seq").agg(F.sum("n").alias("events"))
+
+
 def turn_events(requests: DataFrame, hooks: DataFrame, compactions: DataFrame) -> DataFrame:
     """One row per event of a turn: tool calls, hooks and compactions."""
     tools = requests.select("session_id", "seq", F.explode("tool_names")).select(
@@ -174,19 +274,21 @@ def filter_turns(
 
 
 def busiest_turn(events: DataFrame) -> DataFrame:
-    n = events.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("events"))
+    """The turn with most events; ``events`` has a row for each, or ``turn_event_counts``."""
+    n = events
+    if "events" not in n.columns:
+        n = n.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("events"))
     return n.groupBy("session_id").agg(
         F.max_by("seq", F.struct("events", -F.col("seq"))).alias("seq"), F.max("events").alias("events")
     )
 
 
-def orphan_hooks(requests: DataFrame, hooks: DataFrame) -> DataFrame:
-    """Hooks of a session outside every turn."""
-    total = hooks.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
-    placed = turn_hooks(requests, hooks).groupBy("session_id").agg(F.count(F.lit(1)).alias("placed"))
+def orphan_hooks(requests: DataFrame, shown: DataFrame, hook_counts: DataFrame) -> DataFrame:
+    """Hooks of a session outside every turn, from ``shown_counts`` and ``shown_turn_counts``."""
+    placed = hook_counts.groupBy("session_id").agg(F.sum("n").alias("placed"))
     last = requests.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
     return (
-        total.join(last, "session_id").join(placed, "session_id", "left")
+        shown.withColumnRenamed("shown", "total").join(last, "session_id").join(placed, "session_id", "left")
         .withColumn("orphan", F.col("total") - F.coalesce("placed", F.lit(0)))
         .select("session_id", "total", "orphan", "last_seq")
     )

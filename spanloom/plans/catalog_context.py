@@ -183,8 +183,8 @@ _TURNS = """, turns AS (SELECT session_id, seq, ts AS t_lo, coalesce(lead(ts) OV
 
 @query("turn_hooks", sql(_SHOWN + _TURNS + " SELECT * FROM th", "sess", "reqs", "hooks", "reqseq"))
 def turn_hooks(spark, sf):
-    h = V.shown_hooks(spark, sf)
-    return H.turn_hooks(_seq(spark, sf), h)
+    r = written(_seq(spark, sf).select("session_id", "seq", "ts", "duration_ms"), "requests")
+    return H.shown_turn_hooks(V.hook_places(spark, sf), r, V.hooks(spark, sf))
 
 
 @query("turns_with_compaction_in_window", sql(
@@ -214,11 +214,13 @@ def turn_filter(spark, sf):
         any_value((SELECT count(*) FROM th WHERE th.session_id = s.session_id)) AS p FROM shown s GROUP BY 1) WHERE n - p > 0""",
     "sess", "reqs", "hooks", "reqseq", "comps").replace("bytime AS (SELECT * EXCLUDE", "bytime2 AS (SELECT * EXCLUDE").replace("payload FROM bytime)", "payload FROM bytime2)"))
 def session_insights(spark, sf):
-    # Ten rules read the calls and their hooks: both are written once.
+    # Ten rules read the calls, two of them the hooks in each turn: both are written once.
     r = written(_seq(spark, sf), "requests")
-    h = written(V.shown_hooks(spark, sf), "hooks")
-    ev = H.turn_events(r, h, C.find_compactions(r))
-    return C.session_insights(r, H.busiest_turn(ev), H.orphan_hooks(r, h))
+    h, places = V.hooks(spark, sf), V.hook_places(spark, sf)
+    n = written(H.shown_turn_counts(places, r, h), "turn_hooks")
+    busiest = written(H.busiest_turn(H.turn_event_counts(r, n, C.find_compactions(r))), "busiest")
+    orphans = written(H.orphan_hooks(r, H.shown_counts(places, h), n), "orphans")
+    return C.session_insights(r, busiest, orphans)
 
 
 @query("turn_prompts", sql(

@@ -130,6 +130,12 @@ def shown_hooks(spark: SparkSession, sf: str) -> DataFrame:
     return session_hooks(session_spans(spark, sf), requests(spark, sf), hooks(spark, sf))
 
 
+def hook_places(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.hooks import hook_places
+
+    return hook_places(session_spans(spark, sf), requests(spark, sf), hooks(spark, sf))
+
+
 def hooks(spark: SparkSession, sf: str) -> DataFrame:
     """Hook events from sign-ups, keyed by the client session id of the user."""
     return table(spark, sf, "events").where("event_type = 'signup'").selectExpr(
