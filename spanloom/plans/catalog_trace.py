@@ -19,8 +19,9 @@ def _key(path="source_path"):
 
 
 def _built(spark, sf):
+    # Every step below joins the numbers of the calls: narrow, and written once.
     c = V.calls(spark, sf)
-    n = T.number_calls(c)
+    n = written(T.number_calls(c), "numbered")
     return c, n, T.build_steps(c, n)
 
 
@@ -172,6 +173,7 @@ def xray_bucket_changes(spark, sf):
       first(text ORDER BY turn) AS first_message FROM said GROUP BY key""", "said"))
 def export_documents(spark, sf):
     c, n, steps = _built(spark, sf)
+    steps = written(steps, "steps")  # for the documents and for their totals
     docs = E.export_documents(steps, T.session_heads(c, n), c)
     g = lambda p: F.get_json_object("document", p)
     return docs.select(
