@@ -78,7 +78,7 @@ _STEMS = [
     round(-({_weight('a1.tf', '(SELECT count(*) FROM a1)')} + {_weight('a2.tf', '(SELECT count(*) FROM a2)')}), 8) AS score
   FROM a1 JOIN a2 USING (conv_id, turn) JOIN dl USING (conv_id, turn), st""")
 def search_stemmed(spark, sf):
-    s = Q.score(Q.postings(_steps(spark, sf), columns=["message"]), "anding the")
+    s = Q.score(written(Q.postings(_steps(spark, sf), columns=["message"]), "postings"), "anding the")
     return s.select("session_id", "step_index", F.round("score", 8).alias("score"))
 
 
@@ -89,7 +89,7 @@ def search_top(spark, sf):
         F.lit("claude").alias("agent"), F.lit("m").alias("model"), F.lit("").alias("project"),
         F.min("step_index").cast("double").alias("started_at"), F.lit(0.0).alias("cost_usd"),
     )
-    top = Q.search(steps, s, Q.postings(steps), "anding the")
+    top = Q.search(steps, s, written(Q.postings(steps), "postings"), "anding the")
     return top.select("session_id", "step_index", F.round("score", 8).alias("score"), "snippet", "snippet_field")
 
 
@@ -344,7 +344,9 @@ def flow_edges(spark, sf):
         "cast(array() as array<string>) as tool_inputs", "'' as observation", "false as errored",
     )
     h = conversation_hooks(V.session_spans(spark, sf), V.hooks(spark, sf))
-    return W.flow_edges(W.flow_graph(W.flow_nodes(steps, ok, h)))
+    # The graph reads its nodes twice: as a table, and not as seven branches each time.
+    nodes = written(W.flow_nodes(steps, ok, written(h, "hooks")), "nodes")
+    return W.flow_edges(W.flow_graph(nodes))
 
 
 # -- imported sessions: a message tree per conversation ----------------------------------

@@ -116,3 +116,9 @@ def test_availability_counts_without_pairs(spark):
     from spanloom.plans.catalog import QUERIES
 
     assert "_level" not in plan(QUERIES["hook_availability"](spark, "/root/testdata/sf0.001"))
+
+
+def test_plans_of_flow_edges_stay_small(spark):
+    from spanloom.plans.catalog import QUERIES
+
+    assert plan(QUERIES["flow_edges"](spark, "/root/testdata/sf0.001")).count("Relation [") <= 4
