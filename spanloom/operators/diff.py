@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,12 +67,14 @@ def _lines(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("op", "string").add("line", "string")))
-def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Line operations from a to b, in order."""
-    return pd.Series([
-        [{"op": o, "line": s} for o, s in _line_ops(_lines(x), _lines(y))] for x, y in zip(a, b)
-    ])
+@F.udf(T.ArrayType(T.StructType().add("op", "string").add("line", "string")), useArrow=False)
+def line_diff(a: str, b: str) -> list[tuple[str, str]]:
+    """Line operations from a to b, in order.
+
+    Texts come in batches of a hundred pairs; an Arrow batch has thousands, and each of
+    their lines is an object of its own here.
+    """
+    return _line_ops(_lines(a), _lines(b))
 
 
 def with_line_diff(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -269,3 +269,11 @@ def test_passages_are_those_of_the_sql(spark, tmp_path):
     want = con.execute(ORACLES["documents_holding_passages"]).fetchall()
     got = QUERIES["documents_holding_passages"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 8
+
+
+def test_line_diff_takes_small_batches():
+    from pyspark.util import PythonEvalType
+
+    from spanloom.operators.diff import line_diff
+
+    assert line_diff.evalType == PythonEvalType.SQL_BATCHED_UDF  # not an Arrow batch of whole texts
