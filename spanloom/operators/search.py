@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stemming import stem_terms, term_of
+from ..functions.stemming import stem_words, term_of
 from ..functions.text import collapse
 
 COLUMNS = ["message", "reasoning", "tool_name", "tool_input", "observation"]
@@ -35,10 +35,10 @@ def postings(steps: DataFrame, *, stem: bool = True, columns: list[str] = COLUMN
         F.struct(F.lit(c).alias("col"), tokenize(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for c in columns
     ])
     t = steps.select(*DOC, F.explode(cols).alias("c")).select(*DOC, "c.*").where("size(tokens) > 0")
-    if stem:
-        t = t.withColumn("tokens", stem_terms("tokens"))
     # Positions are grouped inside the row: one text is one bounded group.
     spread = t.select(*DOC, "col", F.posexplode("tokens").alias("pos", "term"))
+    if stem:
+        spread = spread.withColumn("term", stem_words("term"))
     return spread.groupBy("term", *DOC, "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

@@ -277,3 +277,11 @@ def test_line_diff_takes_small_batches():
     from spanloom.operators.diff import line_diff
 
     assert line_diff.evalType == PythonEvalType.SQL_BATCHED_UDF  # not an Arrow batch of whole texts
+
+
+def test_stems_are_made_word_by_word():
+    from pyspark.sql import types as T
+
+    from spanloom.functions.stemming import stem_words
+
+    assert stem_words.returnType == T.StringType()  # a batch holds words, not whole texts
