@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import CHUNK_ROWS, halo, running, time_chunk
 from ..functions.text import half_up
+from ..session import written
 
 # Detection floor, baseline window, trivial reclaim, short life,
 # tolerance of the reclaim estimate.
@@ -335,6 +336,8 @@ def session_insights(requests: DataFrame, busiest: DataFrame | None = None, orph
     ``busiest`` (session_id, seq, events) and ``orphans`` (session_id, total,
     orphan, last_seq) add the two rules on events and hooks.
     """
+    # Three rules read the extremes: one row a session, written once.
+    ext = written(session_extremes(requests), "extremes")
     comp = find_compactions(requests)
     ctx = context_tokens()
     rule = lambda x: F.lit(x).alias("rule")
@@ -348,7 +351,6 @@ def session_insights(requests: DataFrame, busiest: DataFrame | None = None, orph
     rebuilds = requests.where((ctx > 20000) & (F.col("cache_creation") / F.nullif(ctx, F.lit(0)) > 0.5)).groupBy("session_id").agg(
         rule("cache"), F.min("seq").alias("seq"), val(F.sum("cache_creation"))
     )
-    ext = session_extremes(requests)
     med = upper_median(requests.where("duration_ms > 0"), "duration_ms")
     slow = ext.join(med, "session_id").where("n > 4 and median > 0 and slowest_ms > 3 * median").select(
         "session_id", rule("slow"), F.col("slowest_seq").alias("seq"), val(F.col("slowest_ms"))
