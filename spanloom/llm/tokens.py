@@ -18,7 +18,7 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000  # parts whose ids a worker remembers
 _WIDE = re.compile(r"\s\s\S")
 
 
@@ -39,8 +39,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind, self.cache_parts = kind, cache_parts
-        self.split = re.compile(r"( ?[^\W\d_]+)" if kind == "byte" else r"([^\W\d_]+)").split
+        # Words and the gaps between them.  A gap leaves the blank before a word to it (byte);
+        # one of a single blank has no ids and is passed over (word).
+        self.parts = re.compile(
+            r" ?[^\W\d_]+|(?:[\d_]|[^\w ]| (?![^\W\d_]))+" if kind == "byte" else r"[^\W\d_]+|[\W\d_]{2,}|[\d_]|[^\w ]"
+        ).findall
         self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}  # parts of the time before, not met since
         vocab = self.tokenizer.get_vocab()
         self.newline = vocab.get("Ċ")
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # opens (byte) or ends (word) a word
@@ -100,33 +105,35 @@ class Encoder:
             # \w also takes numerals that are neither letters nor decimal digits: no cut beside them
             self.cache[p] = None if any(c.isalnum() and not (c.isalpha() or c.isdecimal()) for c in p) else ids
 
+    def _know(self, met: set[str]) -> None:
+        """Have all these parts in the cache.  A full half of it replaces the other, so that frequent parts stay."""
+        if len(self.cache) > self.cache_parts // 2:
+            self.cache, self.older = {}, self.cache
+        new = met.difference(self.cache)
+        fresh = new.difference(self.older)
+        for p in new - fresh:
+            self.cache[p] = self.older.pop(p)
+        self._learn(list(fresh))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(texts)
         whole = []
         cut = []
-        if len(self.cache) > self.cache_parts:
-            self.cache.clear()
-        self.cache[""] = b""
-        get = self.cache.__getitem__
+        met: set[str] = set()
         for k, text in enumerate(texts):
-            if not text:
-                out[k] = b""
-            elif self._plain(text):
-                parts = self.split(text.lower() if self.kind == "word" else text)
-                try:
-                    out[k] = b"".join(map(get, parts))
-                except KeyError:  # a part not met before
-                    cut.append((k, parts))
-                except TypeError:
-                    whole.append(k)
+            if self._plain(text):
+                parts = self.parts(text.lower() if self.kind == "word" else text)
+                met.update(parts)
+                cut.append((k, parts))
             else:
                 whole.append(k)
-        self._learn(list({p for _, parts in cut for p in parts if p not in self.cache}))
+        self._know(met)
+        get = self.cache.__getitem__
         for k, parts in cut:
             try:
                 out[k] = b"".join(map(get, parts))
-            except TypeError:
+            except TypeError:  # a part with no cut beside it
                 whole.append(k)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
             out[k] = ids

@@ -154,3 +154,16 @@ def test_pieces_without_id_are_spread_over_groups(spark):
         "doc_id long, start long, length long, doc_tokens long, ids binary")
     rows = packing.pack(found, groups=8).collect()
     assert len(rows) == 64 and len({r["sequence_id"] >> 32 for r in rows}) > 4
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_frequent_words_are_encoded_once_and_blanks_are_no_parts(path, kind):
+    enc = Encoder(path, kind, cache_parts=40)
+    learned, learn = [], enc._learn
+    enc._learn = lambda parts: (learned.extend(parts), learn(parts))
+    for k in range(20):
+        texts = [f"the cat of {chr(97 + k)}{chr(97 + j)}x, and so" for j in range(10)]
+        assert enc.encode(texts) == enc._whole(texts)
+    assert learned.count(" cat" if kind == "byte" else "cat") == 1
+    assert not {"", " "} & set(learned)
+    assert len(enc.cache) + len(enc.older) <= 60  # its bound, and the parts of a batch
