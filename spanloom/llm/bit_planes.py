@@ -175,7 +175,7 @@ def read_planes(spark: SparkSession, path: str, *, keep_ids: bool = False) -> Da
         F.max("crc").alias("crc"),
         F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("at", "ids")))).alias("parts"))
     joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))
-    out = found.join(_offsets(chunks), "shard").select(
+    out = found.join(F.broadcast(_offsets(chunks)), "shard").select(
         "doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens",
         F.coalesce("crc", F.crc32(joined)).alias("ids_crc32"), *([joined.alias("ids")] if keep_ids else []))
     return out

@@ -167,3 +167,10 @@ def test_frequent_words_are_encoded_once_and_blanks_are_no_parts(path, kind):
     assert learned.count(" cat" if kind == "byte" else "cat") == 1
     assert not {"", " "} & set(learned)
     assert len(enc.cache) + len(enc.older) <= 60  # its bound, and the parts of a batch
+
+
+def test_read_documents_are_not_shuffled_to_the_starts_of_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    bit_planes.write_planes(docs, str(tmp_path), BYTE)
+    plan = bit_planes.read_planes(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
