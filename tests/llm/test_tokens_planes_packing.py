@@ -174,3 +174,28 @@ def test_read_documents_are_not_shuffled_to_the_starts_of_shards(spark, tmp_path
     bit_planes.write_planes(docs, str(tmp_path), BYTE)
     plan = bit_planes.read_planes(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
+
+
+_BITS = st.sampled_from([
+    *"  \n\n\t\r\x85\xa0 　\x1f", *".,;:!?'\"()-", "...", "a", "The", "é", "don't", "²", "12", "日本。", "́", "\U00013460", "<|endoftext|>"])
+
+
+def test_byte_texts_of_blanks_and_stops_equal_library():
+    enc, want = Encoder(BYTE, "byte"), reference(BYTE)
+
+    def same(texts):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in enc.encode(texts)] == [want(t) for t in texts]
+
+    made = st.lists(st.lists(_BITS, max_size=12).map("".join), min_size=1, max_size=6)
+    settings(max_examples=400, deadline=None)(given(made)(same))()
+
+
+def test_byte_words_are_learned_once_with_apostrophes_numerals_and_stops():
+    enc = Encoder(BYTE, "byte")
+    learned, whole, learn, encode = [], [], enc._learn, enc._whole
+    enc._learn = lambda parts: (learned.extend(parts), learn(parts))
+    enc._whole = lambda texts: (whole.extend(texts), encode(texts))[1]
+    texts = ["It don't cost 5² here.\nThe cat, a cat; that cat", "A cat! No cat.", "two  blanks"]
+    assert enc.encode(texts) == encode(texts)
+    assert learned.count(" cat") == 1 and " don't" in learned
+    assert not set(texts[:2]) & set(whole) and texts[2] in whole
