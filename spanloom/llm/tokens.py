@@ -100,24 +100,41 @@ class Encoder:
             odd = self.kind == "word" and any(c.isalnum() and not (c.isalpha() or c.isdecimal()) for c in p)
             self.cache[p] = None if odd else ids
 
-    def _know(self, met: list[str]) -> list[bytes | None]:
-        """Ids of distinct parts.  A full half of the cache replaces the other, so that frequent parts stay."""
+    def _turn(self) -> None:
+        """A full half of the cache replaces the other, so that frequent parts stay."""
         if len(self.cache) > self.cache_parts // 2:
             self.cache, self.older = {}, self.cache
-        found = list(map(self.cache.get, met, repeat(...)))
-        holes = [k for k, ids in enumerate(found) if ids is ...]
+
+    def _know(self, met: set[str]) -> None:
+        """Have all these parts in the cache."""
+        self._turn()
+        new = met.difference(self.cache)
+        fresh = new.difference(self.older)
+        for p in new - fresh:
+            self.cache[p] = self.older.pop(p)
+        self._learn(list(fresh))
+
+    def _ids(self, met: list[str]) -> list[bytes]:
+        """Ids of distinct parts (byte)."""
+        self._turn()
+        found = list(map(self.cache.get, met))
+        holes = [k for k, ids in enumerate(found) if ids is None]
         new = [met[k] for k in holes]
-        old = list(map(self.older.pop, new, repeat(...)))
-        self.cache.update((p, ids) for p, ids in zip(new, old) if ids is not ...)
-        self._learn([p for p, ids in zip(new, old) if ids is ...])
+        old = list(map(self.older.pop, new, repeat(None)))
+        self.cache.update((p, ids) for p, ids in zip(new, old) if ids is not None)
+        self._learn([p for p, ids in zip(new, old) if ids is None])
         for k, ids in zip(holes, map(self.cache.__getitem__, new)):
             found[k] = ids
         return found
 
     def _cut_words(self, texts: list[str]) -> list[bytes | None]:
         """Ids of plain texts; None for a text that has to be encoded whole."""
-        cut = [self.parts(t.lower()) for t in texts]
-        self._know(list(set().union(*cut)))
+        cut, met = [], set()
+        for text in texts:
+            parts = self.parts(text.lower())
+            met.update(parts)
+            cut.append(parts)
+        self._know(met)
         get = self.cache.__getitem__
         out: list[bytes | None] = []
         for parts in cut:
@@ -140,7 +157,7 @@ class Encoder:
         parts = pa.Array.from_buffers(
             pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
         met, number = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
-        ids = pa.array(self._know(met), pa.large_binary()).take(parts.indices)
+        ids = pa.array(self._ids(met), pa.large_binary()).take(parts.indices)
         _, starts, body = ids.buffers()
         spans = np.frombuffer(starts, np.int64)[tops].tolist()
         body = memoryview(body)
