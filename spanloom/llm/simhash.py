@@ -92,6 +92,8 @@ def near_links(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
     # Keys with one fingerprint go; a crowded key gets as many parts as it has blocks.
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Spark takes rows after an explode for as many as before it: unasked it may broadcast all 35 keys.
+    rows = rows.hint("merge")
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK))
     met = rows.join(size, "key").withColumn("part", part).withColumn("parts", F.ceil(F.col("n") / BLOCK))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
@@ -148,6 +150,6 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     found = components(near_links(nodes.where("node is not null")))
     places = written(
-        nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "places")
+        nodes.hint("merge").join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "places")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(places, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return fps.join(places.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

@@ -405,6 +405,13 @@ def test_crowded_blocks_lose_no_link(spark, monkeypatch):
     assert {i: roots.get(i, i) for i in fps} == plain_components(fps)
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    """Their explode makes 35 rows of one, which Spark's estimate leaves out."""
+    spark.range(1000).selectExpr("id as node", "xxhash64(id) as fp").write.parquet(str(tmp_path / "nodes"))
+    plan = simhash.near_links(spark.read.parquet(str(tmp_path / "nodes")))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_paths_and_stars(spark):
     ready(spark)
     edges = [(k, k + 1) for k in range(0, 70)] + [(200, k) for k in range(201, 300)] + [(5, 5), (400, 401), (401, 400)]
