@@ -63,7 +63,8 @@ def stab_join(
 
     Column names other than ``keys`` must differ between the two frames.
     """
-    p, i = point_blocks(points, t), with_blocks(intervals, lo, hi)
+    # Rows of blocks are many for one, which Spark's estimate leaves out: unasked it may broadcast them.
+    p, i = point_blocks(points, t).hint("merge"), with_blocks(intervals, lo, hi)
     j = p.join(i, [*keys, "_level", "_block"])
     inside = (F.col(t) >= F.col(lo)) & ((F.col(t) <= F.col(hi)) if closed else (F.col(t) < F.col(hi)))
     return j.where(inside).drop("_level", "_block")

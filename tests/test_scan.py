@@ -61,3 +61,12 @@ def test_stab_join_equals_nested_loops(spark):
         )
         got = sorted((x.pid, x.sid) for x in stab_join(p, s, ["k"], "t", "lo", "hi", closed=closed).collect())
         assert got == want
+
+
+def test_blocks_of_intervals_are_not_broadcast(spark, tmp_path):
+    """Their explode makes many rows of one, which Spark's estimate leaves out."""
+    spark.range(1000).selectExpr("id % 7 as k", "id as pid", "id * 10.0D as t").write.parquet(str(tmp_path / "p"))
+    spark.range(1000).selectExpr("id % 7 as k", "id as sid", "id * 10.0D as lo", "id * 11.0D as hi").write.parquet(str(tmp_path / "s"))
+    p, s = spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "s"))
+    plan = stab_join(p, s, ["k"], "t", "lo", "hi")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
