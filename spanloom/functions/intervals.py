@@ -47,6 +47,16 @@ def with_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return df.selectExpr("*", f"inline({_cover(lo, hi)}) as (_level, _block)")
 
 
+def with_wide_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """``with_blocks`` of one size for each row: the widest no longer than [lo, hi], nine at most."""
+    sizes = [UNIT * BASE**k for k in range(LEVELS)]
+    level = " ".join(f"when {hi} - {lo} < {float(size)!r}D then {k}" for k, size in enumerate(sizes) if k)
+    df = df.selectExpr("*", f"case {level} else {LEVELS} end as _level")
+    size = f"element_at(array({', '.join(f'{float(size)!r}D' for size in sizes)}), _level)"
+    return df.where(f"{lo} <= {hi}").selectExpr(
+        "*", f"explode(sequence(cast(floor({lo} / {size}) as bigint), cast(floor({hi} / {size}) as bigint))) as _block")
+
+
 def point_blocks(df: DataFrame, t: str) -> DataFrame:
     blocks = ", ".join(
         f"struct({k} as level, cast(floor({t} / {float(UNIT * BASE ** (k - 1))!r}D) as bigint) as block)"
@@ -57,14 +67,16 @@ def point_blocks(df: DataFrame, t: str) -> DataFrame:
 
 def stab_join(
     points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, lo: str, hi: str,
-    *, closed: bool = True,
+    *, closed: bool = True, tiles: bool = False,
 ) -> DataFrame:
     """Inner join of points with the intervals holding them: lo <= t <= hi (or < hi).
 
-    Column names other than ``keys`` must differ between the two frames.
+    Column names other than ``keys`` must differ between the two frames.  ``tiles`` is for
+    intervals that follow each other: a point that a wide block brings in beside its
+    interval then lies in a neighbour, so what is checked stays near the answer.
     """
     # Rows of blocks are many for one, which Spark's estimate leaves out: unasked it may broadcast them.
-    p, i = point_blocks(points, t).hint("merge"), with_blocks(intervals, lo, hi)
+    p, i = point_blocks(points, t).hint("merge"), (with_wide_blocks if tiles else with_blocks)(intervals, lo, hi)
     j = p.join(i, [*keys, "_level", "_block"])
     inside = (F.col(t) >= F.col(lo)) & ((F.col(t) <= F.col(hi)) if closed else (F.col(t) < F.col(hi)))
     return j.where(inside).drop("_level", "_block")

@@ -208,7 +208,7 @@ def turn_hooks(requests: DataFrame, hooks: DataFrame) -> DataFrame:
     """
     t = turn_bounds(requests).where("t_hi > t_lo")
     h = hooks.select("session_id", "hook_id", "ts")
-    return stab_join(h, t, ["session_id"], "ts", "t_lo", "t_hi", closed=False).select("session_id", "seq", "hook_id")
+    return stab_join(h, t, ["session_id"], "ts", "t_lo", "t_hi", closed=False, tiles=True).select("session_id", "seq", "hook_id")
 
 
 def _turn_keys(places: DataFrame, requests: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def _hook_keys(hooks: DataFrame) -> DataFrame:
 
 def shown_turn_hooks(places: DataFrame, requests: DataFrame, hooks: DataFrame) -> DataFrame:
     """``turn_hooks`` of the hooks shown under each session, met with its turns at once."""
-    j = stab_join(_hook_keys(hooks), _turn_keys(places, requests), ["_h", "_p"], "ts", "lo", "hi")
+    j = stab_join(_hook_keys(hooks), _turn_keys(places, requests), ["_h", "_p"], "ts", "lo", "hi", tiles=True)
     return j.where("closed or ts < hi").select("session_id", "seq", "hook_id")
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.intervals import stab_join
+from spanloom.functions.intervals import stab_join, with_wide_blocks
 from spanloom.functions.scan import halo, running
 
 
@@ -68,5 +68,19 @@ def test_blocks_of_intervals_are_not_broadcast(spark, tmp_path):
     spark.range(1000).selectExpr("id % 7 as k", "id as pid", "id * 10.0D as t").write.parquet(str(tmp_path / "p"))
     spark.range(1000).selectExpr("id % 7 as k", "id as sid", "id * 10.0D as lo", "id * 11.0D as hi").write.parquet(str(tmp_path / "s"))
     p, s = spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "s"))
-    plan = stab_join(p, s, ["k"], "t", "lo", "hi")._jdf.queryExecution().sparkPlan().toString()
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    for tiles in (False, True):
+        plan = stab_join(p, s, ["k"], "t", "lo", "hi", tiles=tiles)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_wide_blocks_are_few_and_join_the_same(spark):
+    r = random.Random(6)
+    points = [(i, r.choice([0.0, 64.0, -70.0, 4096.0, r.random() * 5000, r.random() * 2e9])) for i in range(150)]
+    spans = [(i, lo, lo + d) for i, (lo, d) in enumerate(
+        (r.choice([0.0, -64.0, 64.0, r.random() * 5000, r.random() * 2e9]), r.choice([-5.0, 0.0, 63.9, 64.0, 512.0, 36000.0, 3e9, 9e9]))
+        for _ in range(80))]
+    p, s = spark.createDataFrame(points, "pid int, t double"), spark.createDataFrame(spans, "sid int, lo double, hi double")
+    p, s = p.withColumn("k", F.lit(1)), s.withColumn("k", F.lit(1))
+    want = sorted((a[0], b[0]) for a in points for b in spans if b[1] <= a[1] <= b[2])
+    assert sorted((x.pid, x.sid) for x in stab_join(p, s, ["k"], "t", "lo", "hi", tiles=True).collect()) == want
+    assert with_wide_blocks(s, "lo", "hi").groupBy("sid").count().agg(F.max("count")).first()[0] <= 9
