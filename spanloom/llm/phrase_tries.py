@@ -7,11 +7,12 @@ too high where keys collide, so no frequent phrase is lost (Apriori).  What pass
 candidate.  Between levels only a bitmap of fixed size is broadcast, with a bit for each
 frequent key; a bit set by chance lets a window through to its sum and does no harm.
 
-Candidates go into tries of at most about ``BLOCK`` phrases, with language as the first
-step.  A trie is two arrays, so a task advances the states of all its places at once, one
-word further a level, and counts accepting states by bincount; each task sends one count a
-phrase it has met.  These counts are exact, by words and not by keys, and all that the
-report is made of.  More candidates mean more tries, each of bounded size with its own pass.
+Candidates are dealt to blocks of about ``BLOCK``, and the windows of the text that pass the
+bitmaps go where their candidate would be, packed and summed for some megabytes of text.
+Each block has one trie, with language as the first step: two arrays, so a task advances
+all windows at once, one word further a level, and adds up their counts in accepting
+states.  These counts are exact, by words and not by keys, and all that the report is made
+of.  More candidates mean more blocks; the text is passed over once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PERCENT = 80  # a phrase goes if one around it has this share of its count
 SCALE = 2_000_000
 PART_BYTES = 4 << 20
 BITS = 1 << 25  # of the bitmap between levels: 4 MB
-BLOCK = 400_000  # phrases of one trie
+BLOCK = 20_000  # phrases of one trie
 BUFFER = 2_000_000  # windows that a task holds before it sends their counts
 
 # What ends a piece, and lower case of A to Z.  '.' stands for any end.
@@ -87,6 +88,14 @@ def _codes(z: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint32)
 
 
+def _one_by_one(batches):
+    """Parts as (lang, words, codes), their words in Python one part at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield tuple(b.column(c)[k].as_py() for c in ("lang", "words", "codes"))
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks
+
+
 def _low(column: str) -> Column:
     return F.col(column).bitwiseAND(F.lit(0xFFFFFFFF))
 
@@ -125,27 +134,26 @@ def _windows(batches, sieves):
             [pa.array(pair[first].view(np.int64)), pa.array(np.add.reduceat(n, first).astype(np.int64))], names=["pair", "n"])
 
     bits = [np.frombuffer(s.value, np.uint8) for s in sieves]
-    for batch in batches:
-        for lang, words, z in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "codes"))):
-            codes = _codes(z)
-            own = _word_keys(lang, words)
-            good = _held(bits[0], own)
-            good[0] = False  # the end of a piece
-            at = np.flatnonzero(good[codes])
-            keys = own[codes]
-            for level in bits[1:]:
-                at = at[:-1][np.diff(at) == 1]  # the next place starts a frequent phrase too
-                keys = _mix(_pairs(keys))
-                at = at[_held(level, keys[at])]
-            at = at[:-1][np.diff(at) == 1]
-            if not len(at):
-                continue
-            pair, n = np.unique((keys[at] & _UPPER) | (keys[at + 1] >> np.uint64(32)), return_counts=True)
-            held.append((pair, n.astype(np.int32)))
-            size += len(pair)
-            if size >= BUFFER:
-                yield flush()
-                size = 0
+    for lang, words, z in _one_by_one(batches):
+        codes = _codes(z)
+        own = _word_keys(lang, words)
+        good = _held(bits[0], own)
+        good[0] = False  # the end of a piece
+        at = np.flatnonzero(good[codes])
+        keys = own[codes]
+        for level in bits[1:]:
+            at = at[:-1][np.diff(at) == 1]  # the next place starts a frequent phrase too
+            keys = _mix(_pairs(keys))
+            at = at[_held(level, keys[at])]
+        at = at[:-1][np.diff(at) == 1]
+        if not len(at):
+            continue
+        pair, n = np.unique((keys[at] & _UPPER) | (keys[at + 1] >> np.uint64(32)), return_counts=True)
+        held.append((pair, n.astype(np.int32)))
+        size += len(pair)
+        if size >= BUFFER:
+            yield flush()
+            size = 0
     if held:
         yield flush()
 
@@ -183,8 +191,8 @@ def word_counts(parts: DataFrame) -> DataFrame:
     return tall.where("x.words <> '.'").groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
 
 
-def candidates(parts: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """Rows (lang, words) of phrases of 2 to ``longest`` words whose sums by key reach ``least``."""
+def candidates(parts: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list]:
+    """Rows (lang, words, key) of phrases of 2 to ``longest`` words whose sums by key reach ``least``, and their sieves by length from 1."""
     def run(batches):
         for b in batches:
             langs, said = b.column("lang").to_pylist(), b.column("word").to_pylist()
@@ -205,11 +213,12 @@ def candidates(parts: DataFrame, words: DataFrame, least: int = LEAST, longest:
         head = level.select(part.alias("head"), "lang", "words")
         # the tail goes on where the head's words after the first end
         tail = level.select(part.alias("tail"), F.col("lang").alias("_lang"), F.col("words").alias("_words"))
-        met = frequent.join(head, "head").join(tail, "tail").where(
+        met = frequent.join(head.hint("merge"), "head").join(tail.hint("merge"), "tail").where(
             f"lang = _lang and slice(words, 2, {k}) = slice(_words, 1, {k - 2})")
         level = written(met.select("key", "lang", F.concat("words", F.array(F.element_at("_words", -1))).alias("words")), f"level{k}")
         found = level if found is None else found.union(level)
-    return found.select("lang", "words").distinct()
+    sieves.append(_bitmap(level))
+    return found.select("lang", "words", "key"), sieves
 
 
 class Trie:
@@ -308,6 +317,18 @@ class Trie:
             hit = self.accept[state]
             out += np.bincount(hit[hit >= 0], minlength=len(out))
 
+    def follow(self, start: int, columns: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+        """Advance whole windows (a row a place, 0 after the end, -1: no symbol) together, add ``n`` to accepted rows of ``out``."""
+        state, good = np.full(len(n), start, np.int64), np.ones(len(n), bool)
+        for codes in columns:
+            good &= codes >= 0
+            t = self.base[state] + np.maximum(codes, 0)
+            good &= (codes == 0) | (self.check[t] == state)
+            state = np.where(good & (codes > 0), t, state)
+        hit = self.accept[state]
+        good &= hit >= 0
+        np.add.at(out, hit[good], n[good])
+
 
 def _trie(rows: pa.Table) -> tuple[Trie, pa.Array, int]:
     """The trie of phrases (lang, words) and its symbols in order: words, and languages after a line feed."""
@@ -324,51 +345,104 @@ def _trie(rows: pa.Table) -> tuple[Trie, pa.Array, int]:
     return Trie(table, len(both.dictionary)), both.dictionary, int(longest.max())
 
 
-def _counted(batches, shared):
-    """Counts (id, a) of the phrases of one trie in a task's parts."""
-    trie, symbols, longest, ids = shared.value
-    out = np.zeros(len(ids), np.int64)
-    for b in batches:
-        for k, (lang, z) in enumerate(zip(b.column("lang").to_pylist(), b.column("codes").to_pylist())):
-            first = pc.index_in(pa.array(["\n" + lang]), symbols)[0].as_py()
-            if first is None:
-                continue
-            own = pc.index_in(b.column("words")[k].values, symbols).fill_null(-1).to_numpy() + 1
-            own = np.concatenate([[0], own[1:]])  # the end of a piece
-            trie.count(int(trie.base[0]) + first + 1, own[_codes(z)], longest, out)
+def _dealt(batches, sieves, blocks: int):
+    """Windows of 2 words or more that pass the sieves, each sent to the block of its key.
+
+    Rows (block, lang, words, windows, wide): windows as numbers of ``words`` from 1, ``wide``
+    columns (0 after the end) and a last one for their count.  Windows are told apart by
+    their words; keys only say which block a window goes to.
+    """
+    pack = zstandard.ZstdCompressor(level=1).compress
+    bits = [np.frombuffer(s.value, np.uint8) for s in sieves]
+    held: dict[str, tuple[dict, list]] = {}
+    size = 0
+
+    def flush(lang, number, found):
+        rows, n, block = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((*rows.T[::-1], block))
+        rows, n, block = rows[order], n[order], block[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1) | (block[1:] != block[:-1])])
+        first = np.flatnonzero(new)
+        rows, n, block = rows[first], np.add.reduceat(n, first), block[first]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
+        used, packed = [], []
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = np.unique(rows[s:e])
+            own = own[own > 0]
+            local = np.searchsorted(own, rows[s:e], "right")  # 0 stays 0
+            used.append(own - 1)
+            packed.append(pack(np.vstack([local.T, n[s:e]]).astype(np.uint32).tobytes()))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in used])]).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(number), pa.string()).take(pa.array(np.concatenate(used))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[edge[:-1]]), pa.array([lang] * len(packed)), words, pa.array(packed, pa.binary()), pa.array([len(bits)] * len(packed))],
+            names=["block", "lang", "words", "windows", "wide"])
+
+    for lang, words, z in _one_by_one(batches):
+        codes = _codes(z)
+        keys = _word_keys(lang, words)
+        good = _held(bits[0], keys)
+        good[0] = False  # the end of a piece
+        number, found = held.setdefault(lang, ({}, []))
+        rows = np.zeros((len(words), 1), np.uint32)
+        known = np.flatnonzero(good)
+        rows[known, 0] = [number.setdefault(words[w], len(number) + 1) for w in known.tolist()]
+        at = np.flatnonzero(good[codes])
+        here = codes[at].astype(np.uint64)  # the word or window at a place, as a row of ``rows`` and ``keys``
+        for level in bits[1:]:
+            next_to = np.flatnonzero(np.diff(at) == 1)  # the next place starts a frequent phrase too
+            both, here, n = np.unique(
+                here[next_to] << np.uint64(32) | here[next_to + 1], return_inverse=True, return_counts=True)
+            head, tail = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            keys = _mix((keys[head] & _UPPER) | (keys[tail] >> np.uint64(32)))
+            rows = np.hstack([rows[head], rows[tail, -1:]])
+            good = _held(level, keys)
+            wide = np.zeros((int(good.sum()), len(bits)), np.uint32)
+            wide[:, :rows.shape[1]] = rows[good]
+            found.append((wide, n[good], keys[good].view(np.int64) % blocks))
+            size += len(wide)
+            keep = good[here]
+            at, here = at[next_to[keep]], here[keep].astype(np.uint64)
+        if size >= BUFFER // 4:  # they are wider here
+            yield from (flush(lang, *x) for lang, x in held.items() if sum(len(f[0]) for f in x[1]))
+            held.clear()
+            size = 0
+    yield from (flush(lang, *x) for lang, x in held.items() if sum(len(f[0]) for f in x[1]))
+
+
+def _counted(phrases: pa.Table, windows: pa.Table) -> pa.Table:
+    """Counts (lang, words, a) of the phrases of one block that its windows hold, by their trie."""
+    out = np.zeros(phrases.num_rows, np.int64)
+    if phrases.num_rows and windows.num_rows:
+        trie, symbols, _ = _trie(phrases)
+        number = {s: k for k, s in enumerate(symbols.to_pylist(), 1)}
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in windows.to_batches():
+            for k, lang in enumerate(batch.column("lang").to_pylist()):
+                first = number.get("\n" + lang)
+                if first is None:
+                    continue
+                own = np.array([0, *(number.get(w, -1) for w in batch.column("words")[k].as_py())], np.int32)
+                raw = np.frombuffer(open_(batch.column("windows")[k].as_py()), np.uint32).reshape(batch.column("wide")[k].as_py() + 1, -1)
+                trie.follow(int(trie.base[0]) + first, own[raw[:-1]], raw[-1].astype(np.int64), out)
     met = np.flatnonzero(out)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(out[met])], names=["id", "a"])
+    mine = phrases.select(["lang", "words"]).take(pa.array(met))
+    return mine.append_column("a", pa.array(out[met]))
 
 
-def count_phrases(parts: DataFrame, phrases: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Exact counts (lang, words, a) of phrases (lang, words) in ``parts``, trie by trie.
+def count_phrases(parts: DataFrame, phrases: DataFrame, sieves: list, block: int = BLOCK) -> DataFrame:
+    """Exact counts (lang, words, a) of phrases (lang, words, key) in ``parts``, in one pass over the text.
 
-    The driver holds one block of about ``block`` phrases at a time; which phrases go
-    together is a matter of their hash.
+    Phrases are dealt by their keys to blocks of about ``block``, and the windows of the text
+    that pass the sieves (of phrases of 1 word and more, by length) to the same blocks.
     """
     spark = parts.sparkSession
-    phrases = written(phrases.withColumn("id", F.monotonically_increasing_id()), "phrases")
-    blocks = -(-phrases.count() // block)
-    dealt = phrases
-    if blocks > 1:
-        dealt = phrases.withColumn("block", F.pmod(F.xxhash64("lang", "words"), F.lit(blocks)))
-        dealt = written(dealt.repartition("block").sortWithinPartitions("block"), "blocks")
-    found = None
-    for k in range(blocks):
-        mine = dealt.where(F.col("block") == k) if blocks > 1 else dealt
-        rows = mine.select("id", "lang", "words").toArrow()
-        if not rows.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((*_trie(rows), rows.column("id").to_numpy()))
-        del rows
-        sums = parts.select("lang", "words", "codes").mapInArrow(
-            lambda batches, shared=shared: _counted(batches, shared), "id long, a long")
-        done = written(sums.groupBy("id").agg(F.sum("a").alias("a")), "counted")
-        shared.destroy()
-        found = done if found is None else found.union(done)
-    if found is None:
-        return phrases.select("lang", "words", F.lit(0).cast("long").alias("a")).limit(0)
-    return phrases.join(found, "id").select("lang", "words", "a")
+    blocks = max(-(-phrases.count() // block), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    windows = parts.select("lang", "words", "codes").mapInArrow(
+        lambda batches: _dealt(batches, sieves, blocks), "block long, lang string, words array<string>, windows binary, wide long")
+    mine = phrases.select(F.pmod("key", F.lit(blocks).cast("long")).alias("block"), "lang", "words")
+    return mine.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(
+        _counted, "lang string, words array<string>, a long")
 
 
 def _said(words: Column) -> Column:
@@ -386,8 +460,9 @@ def rank_phrases(found: DataFrame, words: DataFrame, top: int = TOP, percent: in
     cuts = whole.select("lang", "phrase", "words", "a", F.explode(F.expr("sequence(1, size(words) - 1)")).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _said(F.slice("words", F.lit(1), F.col("k"))).alias("head"),
                        _said(F.expr("slice(words, k + 1, size(words) - k)")).alias("tail"))
-    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
-    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"])
+    # Rows after an explode count as before it in Spark's estimate: unasked it may broadcast them.
+    cuts = cuts.hint("merge").join(counts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["head", "lang"])
+    cuts = cuts.hint("merge").join(counts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["tail", "lang"])
     score = F.expr(f"cast({SCALE} as decimal(10, 0)) * cast(a as decimal(20, 0)) div (l + r)").cast("long")
     scored = cuts.select("lang", "phrase", "a", F.struct(score.alias("score"), "k", "l", "r").alias("cut")).groupBy(
         "lang", "phrase").agg(F.max("a").alias("a"), F.min("cut").alias("cut"))
@@ -396,7 +471,7 @@ def rank_phrases(found: DataFrame, words: DataFrame, top: int = TOP, percent: in
         flatten(transform(sequence(2, size(words) - 1), n -> transform(sequence(1, size(words) - n + 1), i -> slice(words, i, n))))
         """)).alias("part"))
     around = inner.groupBy("lang", _said(F.col("part")).alias("phrase")).agg(F.max("a").alias("longer"))
-    kept = scored.join(around, ["lang", "phrase"], "left").where(
+    kept = scored.join(around.hint("merge"), ["phrase", "lang"], "left").where(
         F.expr(f"longer is null or cast(100 as decimal(20, 0)) * longer < cast({percent} as decimal(20, 0)) * a"))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
@@ -414,5 +489,5 @@ def mine_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
     """
     parts = encode(docs)
     words = written(word_counts(parts), "words")
-    found = count_phrases(parts, candidates(parts, words, least, longest), block).where(F.col("a") >= least)
+    found = count_phrases(parts, *candidates(parts, words, least, longest), block).where(F.col("a") >= least)
     return rank_phrases(written(found, "frequent"), words, top)

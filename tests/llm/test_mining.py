@@ -73,6 +73,27 @@ def test_phrases_equal_plain_counts(spark, spoken, monkeypatch, block, part):
     assert found_phrases(spark, rows, least=6, block=block) == plain_phrases(rows, 6)
 
 
+def test_more_tries_read_the_text_no_more_often(spark, spoken, monkeypatch):
+    ready(spark)
+    encode, reads = phrase_tries.encode, []
+
+    def counted(docs):
+        parts, seen = encode(docs), spark.sparkContext.accumulator(0)
+        reads.append(seen)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return parts.mapInArrow(run, parts.schema)
+
+    monkeypatch.setattr(phrase_tries, "encode", counted)
+    for block in (400_000, 3):
+        found_phrases(spark, spoken[:60], least=6, block=block)
+    assert reads[0].value == reads[1].value > 0
+
+
 def test_phrases_top_and_empty(spark, spoken):
     ready(spark)
     assert found_phrases(spark, spoken[:90], least=4, top=3) == plain_phrases(spoken[:90], 4, top=3)
